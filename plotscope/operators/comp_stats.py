@@ -1,0 +1,82 @@
+"""Task-local part of the comparable search: order statistics of matching comps.
+
+Matching a subject with every comp of its neighbourhood as joined rows would grow with
+the square of the neighbourhood, so no pairs are emitted: Spark brings a bounded block of
+comps together with a bounded block of distinct lookups, and these helpers answer the
+lookups from the block.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+
+NO_EXCLUSION = ""
+
+
+def quantile(values: np.ndarray, p: float) -> float:
+    """Linearly interpolated quantile of sorted values."""
+    position = p * (len(values) - 1)
+    low = int(position)
+    a, b = values[low], values[min(low + 1, len(values) - 1)]
+    share = position - low
+    if p == 0.5:
+        return a if share == 0 else (a + b) / 2.0
+    return a + (b - a) * share if share < 0.5 else b - (b - a) * (1 - share)
+
+
+def without_outliers(values: np.ndarray, multiplier: float) -> np.ndarray:
+    """Sorted values inside the quartile fences, bounds included; all of them when the
+    quartiles coincide."""
+    if len(values) == 0:
+        return values
+    q1, q3 = quantile(values, 0.25), quantile(values, 0.75)
+    reach = q3 - q1
+    if reach <= 0:
+        return values
+    start = np.searchsorted(values, q1 - multiplier * reach, "left")
+    stop = np.searchsorted(values, q3 + multiplier * reach, "right")
+    return values[start:stop]
+
+
+def summary(values: np.ndarray) -> tuple:
+    """Count, median and quartiles of sorted values."""
+    if len(values) == 0:
+        return 0, None, None, None
+    return len(values), quantile(values, 0.5), quantile(values, 0.25), quantile(values, 0.75)
+
+
+def matches(
+    lookups: pd.DataFrame, comps: pd.DataFrame, area_tolerance: float, year_tolerance: int
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each lookup: its row position, the sorted prices of matching comps, and
+    the value tercile of each.
+
+    The block is sorted by price once; lookups of one area, and of one year within
+    it, share their comp mask.
+    """
+    comps = comps.sort_values("psf", kind="stable")
+    area, year = comps["living_area"].to_numpy(float), comps["year_built"].to_numpy(float)
+    psf, tercile = comps["psf"].to_numpy(float), comps["tercile"].to_numpy(int)
+    excluded = lookups["excluded"].to_numpy()
+    codes = known = None
+    if (excluded != NO_EXCLUSION).any():
+        codes, ids = pd.factorize(comps["parcel_id"])
+        known = {name: code for code, name in enumerate(ids)}
+    for a, same_area in lookups.groupby("living_area", sort=False):
+        near = np.flatnonzero((area >= a * (1 - area_tolerance)) & (area <= a * (1 + area_tolerance)))
+        near_year = year[near]
+        for y, positions in same_area.groupby("year_built", sort=False).indices.items():
+            found = near[(near_year >= y - year_tolerance) & (near_year <= y + year_tolerance)]
+            prices, bands = psf[found], tercile[found]
+            own = codes[found] if codes is not None else None
+            rows = same_area.index.to_numpy()[positions]
+            for row in rows:
+                code = known.get(excluded[row]) if excluded[row] != NO_EXCLUSION else None
+                if code is None:
+                    yield row, prices, bands
+                else:
+                    keep = own != code
+                    yield row, prices[keep], bands[keep]
