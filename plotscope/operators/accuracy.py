@@ -23,17 +23,19 @@ def valuation_errors(
     return joined.withColumn("error", F.try_divide(F.abs(F.col("arv_estimate") - F.col("price")), F.col("price")))
 
 
-def accuracy_by_band(errors: DataFrame, keys: Sequence[str] = ("as_of", "version")) -> DataFrame:
+def accuracy_by_band(
+    errors: DataFrame, keys: Sequence[str] = ("as_of", "version"), rows: int | None = None
+) -> DataFrame:
     """Per key and confidence band: n, median and mean error, share within 10 and 20 %."""
     by = [*keys, "band"]
     own_band = F.when(F.col("high_confidence"), "high_conf").otherwise("low_conf")
-    rows = errors.select(*keys, "error", F.explode(F.array(F.lit("overall"), own_band)).alias("band"))
+    banded = errors.select(*keys, "error", F.explode(F.array(F.lit("overall"), own_band)).alias("band"))
     within = lambda limit: F.avg(F.coalesce(F.col("error") <= limit, F.lit(False)).cast("double")) * 100.0
-    means = rows.groupBy(*by).agg(
+    means = banded.groupBy(*by).agg(
         F.count("*").alias("n"),
         (F.avg("error") * 100.0).alias("mean"),
         within(0.10).alias("w10"),
         within(0.20).alias("w20"),
     )
-    medians = exact_quantiles(rows, by, "error", {"median": 0.5}, few_groups=True).drop("n")
+    medians = exact_quantiles(banded, by, "error", {"median": 0.5}, few_groups=True, rows=rows).drop("n")
     return means.join(F.broadcast(medians), by, "left").withColumn("median", F.col("median") * 100.0)

@@ -6,112 +6,74 @@ all rows, so each routine works in two levels: a histogram over value bins (comb
 map-side, so its shuffle is tiny), then only the bins that hold a wanted rank. Results
 are exact; bins only decide where to look.
 
-Key columns must not be null.
+Key columns must not be null. ``few_groups`` says that the number of groups is bounded by
+the caller (dates, years, report cells), so that the wanted bins can be broadcast; with
+many groups, distinct values are counted first, which spreads a hot group over its values.
+``rows`` is a row count known to the caller (from a stored table): where even a single
+group of that size fits a task easily, one plain shuffle replaces the two levels.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 _BINS_PER_OCTAVE = 1024
+_ONE_TASK_ROWS = 2_000_000
 
 
-def value_bin(c: Column) -> Column:
-    """Monotone integer bin of a number, about 0.07 % wide (0.0007 near zero)."""
-    return (F.signum(c) * F.floor(F.log2(F.abs(c) + 1.0) * _BINS_PER_OCTAVE)).cast("long")
+def fits_one_task(rows: int | None) -> bool:
+    return rows is not None and rows <= _ONE_TASK_ROWS
 
 
-def hash_bin(c: Column) -> Column:
-    """Monotone bin of a 64-bit tie-breaker: its leading bits."""
-    return F.shiftright(c.cast("long"), 44)
+def _bin(c: str) -> str:
+    """Monotone integer bin of a number, about 0.07 % wide (0.0007 near zero)."""
+    return f"CAST(signum({c}) * floor(log2(abs({c}) + 1e0) * {_BINS_PER_OCTAVE}) AS BIGINT)"
 
 
-def _bounded(df: DataFrame, few_groups: bool) -> DataFrame:
-    return F.broadcast(df) if few_groups else df
+def _names(keys: Sequence[str]) -> str:
+    return ", ".join(f"`{k}`" for k in keys)
 
 
-def values_at_ranks(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    ranks: Callable[[Column], Mapping[str, Column]] | DataFrame,
-    bin_of: Callable[[Column], Column] = value_bin,
-    few_groups: bool = False,
-) -> DataFrame:
-    """The values at given 0-based ascending ranks of each group, nulls left out.
+def _hit(ranks: Sequence[str]) -> str:
+    """SQL: one of the ranks lies in the rows [below, below + w)."""
+    return " OR ".join(f"({r} >= below AND {r} < below + w)" for r in ranks)
 
-    ``ranks`` maps the group size to named ranks, or is a table (keys, label, rank) with
-    one row per group. ``few_groups`` says that the number of groups is bounded by the
-    caller (dates, years, report cells), which lets the wanted bins be broadcast.
 
-    Returns keys, label, rank, value, below (rows before the value), weight (rows equal
-    to it) and n; ranks outside the group yield no row.
-    """
-    keys = list(keys)
-    data = df.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
-    data = data.withColumn("_bin", bin_of(F.col("_v")))
+def _placed_values(k: str, value: str, ranks: Sequence[str], few_groups: bool, extra: str = "") -> str:
+    """CTEs ending in ``placed``: the distinct values ``v`` of the bins that hold a rank,
+    with ``w`` rows each, ``below`` rows before them, and the group size ``n``."""
     if few_groups:
-        histogram = data.groupBy(*keys, "_bin").agg(F.count("*").alias("_w"))
+        histogram = f"SELECT {k}, bin, count(*) AS w FROM data GROUP BY {k}, bin"
+        inside = f"""SELECT /*+ BROADCAST(hit) */ {k}, bin, v, count(*) AS w, min(below) AS below, min(n) AS n
+            FROM data JOIN hit USING ({k}, bin) GROUP BY {k}, bin, v"""
     else:
-        # Many groups: count distinct values first, so that a hot group is spread over
-        # its values and the later join on (group, bin) only meets distinct values.
-        values = data.groupBy(*keys, "_bin", "_v").agg(F.count("*").alias("_w"))
-        histogram = values.groupBy(*keys, "_bin").agg(F.sum("_w").alias("_w"))
-    bins = (
-        histogram.withColumn("_upto", F.sum("_w").over(Window.partitionBy(*keys).orderBy("_bin")))
-        .withColumn("_n", F.sum("_w").over(Window.partitionBy(*keys)))
-        .withColumn("_below", F.col("_upto") - F.col("_w"))
+        histogram = f"SELECT {k}, bin, sum(w) AS w FROM distinct_values GROUP BY {k}, bin"
+        inside = f"SELECT {k}, bin, v, w, below, n FROM distinct_values JOIN hit USING ({k}, bin)"
+    return f"""
+        data AS (SELECT {k}, v, {_bin("v")} AS bin{extra}
+            FROM (SELECT *, {value} AS v FROM {{df}}) WHERE v IS NOT NULL),
+        distinct_values AS (SELECT {k}, bin, v, count(*) AS w FROM data GROUP BY {k}, bin, v),
+        histogram AS ({histogram}),
+        bins AS (SELECT {k}, bin, w, sum(w) OVER (PARTITION BY {k} ORDER BY bin) - w AS below,
+            sum(w) OVER (PARTITION BY {k}) AS n FROM histogram),
+        hit AS (SELECT {k}, bin, below, n FROM bins WHERE {_hit(ranks)}),
+        inside AS ({inside}),
+        placed AS (SELECT {k}, v, w, n,
+            below + sum(w) OVER (PARTITION BY {k}, bin ORDER BY v) - w AS below FROM inside)"""
+
+
+def _quantile(name: str, p: float) -> str:
+    """SQL: linear interpolation, taken from the nearer end as numeric libraries do it."""
+    low, high, share = f"`{name}_lo`", f"`{name}_hi`", f"({p!r}D * (n - 1) - floor({p!r}D * (n - 1)))"
+    if math.isclose(p, 0.5):
+        return f"CASE WHEN {share} = 0 THEN {low} ELSE ({low} + {high}) / 2 END AS `{name}`"
+    return (
+        f"CASE WHEN {share} < 0.5D THEN {low} + ({high} - {low}) * {share}"
+        f" ELSE {high} - ({high} - {low}) * (1 - {share}) END AS `{name}`"
     )
-    if isinstance(ranks, DataFrame):
-        wanted = ranks.select(*keys, F.array(F.struct("label", F.col("rank").cast("long").alias("rank"))).alias("_want"))
-        bins = bins.join(_bounded(wanted, few_groups), keys)
-    else:
-        named = ranks(F.col("_n"))
-        bins = bins.withColumn(
-            "_want",
-            F.array(*[F.struct(F.lit(k).alias("label"), r.cast("long").alias("rank")) for k, r in named.items()]),
-        )
-    in_bin = lambda t: (t["rank"] >= F.col("_below")) & (t["rank"] < F.col("_upto"))
-    bins = bins.withColumn("_want", F.filter("_want", in_bin)).filter(F.size("_want") > 0)
-    hit = _bounded(bins.select(*keys, "_bin", "_below", "_n", "_want"), few_groups)
-
-    wanted_bins = hit.select(*keys, "_bin")
-    if few_groups:
-        inside = data.join(F.broadcast(wanted_bins), [*keys, "_bin"], "left_semi")
-        counts = inside.groupBy(*keys, "_bin", "_v").agg(F.count("*").alias("_w"))
-    else:
-        counts = values.join(wanted_bins, [*keys, "_bin"], "left_semi")
-    running = F.sum("_w").over(Window.partitionBy(*keys, "_bin").orderBy("_v"))
-    placed = (
-        counts.withColumn("_run", running)
-        .join(hit, [*keys, "_bin"])
-        .withColumn("_upto", F.col("_below") + F.col("_run"))
-        .withColumn("_below", F.col("_upto") - F.col("_w"))
-        .withColumn("_hit", F.explode(F.filter("_want", in_bin)))
-    )
-    return placed.select(
-        *keys,
-        F.col("_hit.label").alias("label"),
-        F.col("_hit.rank").alias("rank"),
-        F.col("_v").alias("value"),
-        F.col("_below").alias("below"),
-        F.col("_w").alias("weight"),
-        F.col("_n").alias("n"),
-    )
-
-
-def interpolate(low: Column, high: Column, share: Column) -> Column:
-    """Linear interpolation, taken from the nearer end as numeric libraries do it."""
-    step = high - low
-    return F.when(share < 0.5, low + step * share).otherwise(high - step * (1 - share))
-
-
-def quantile_position(p: float, n: Column) -> Column:
-    return F.lit(float(p)) * (n - 1)
 
 
 def exact_quantiles(
@@ -120,113 +82,101 @@ def exact_quantiles(
     value: str,
     probs: Mapping[str, float],
     few_groups: bool = False,
+    rows: int | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles per group: keys, n (non-null rows), one column
     per name in ``probs``. Groups without any non-null value yield no row."""
-    keys = list(keys)
-
-    def ranks(n: Column) -> dict[str, Column]:
-        named = {}
-        for name, p in probs.items():
-            low = F.floor(quantile_position(p, n))
-            named[f"{name}_lo"] = low
-            named[f"{name}_hi"] = F.least(low + 1, n - 1)
-        return named
-
-    found = values_at_ranks(df, keys, value, ranks, few_groups=few_groups)
-    pick = lambda label: F.max(F.when(F.col("label") == label, F.col("value"))).alias(label)
-    wide = found.groupBy(*keys).agg(
-        F.max("n").alias("n"), *[pick(f"{name}_{end}") for name in probs for end in ("lo", "hi")]
-    )
-    out = [*keys, "n"]
+    k = _names(keys)
+    ranks = {}
     for name, p in probs.items():
-        low, high = F.col(f"{name}_lo"), F.col(f"{name}_hi")
-        position = quantile_position(p, F.col("n"))
-        if math.isclose(p, 0.5):
-            out.append(
-                F.when(F.floor(position) == position, low).otherwise((low + high) / 2.0).alias(name)
-            )
-        else:
-            out.append(interpolate(low, high, position - F.floor(position)).alias(name))
-    return wide.select(*out)
-
-
-def average_rank(df: DataFrame, keys: Sequence[str], value: str, rank: str, size: str) -> DataFrame:
+        ranks[f"{name}_lo"] = f"floor({p!r}D * (n - 1))"
+        ranks[f"{name}_hi"] = f"least(floor({p!r}D * (n - 1)) + 1, n - 1)"
+    if fits_one_task(rows):
+        ends = ", ".join(f"v[CAST({r} AS INT)] AS `{name}`" for name, r in ranks.items())
+        found = f"""
+            lists AS (SELECT {k}, array_sort(collect_list(`{value}`)) AS v, count(`{value}`) AS n FROM {{df}} GROUP BY {k}),
+            ends AS (SELECT {k}, n, {ends} FROM lists WHERE n > 0)"""
+    else:
+        ends = ", ".join(f"max(CASE WHEN {_hit([r])} THEN v END) AS `{name}`" for name, r in ranks.items())
+        found = f"""{_placed_values(k, f"`{value}`", list(ranks.values()), few_groups)},
+            ends AS (SELECT {k}, max(n) AS n, {ends} FROM placed GROUP BY {k})"""
+    query = f"""
+        WITH {found}
+        SELECT {k}, n, {", ".join(_quantile(name, p) for name, p in probs.items())} FROM ends"""
+    return df.sparkSession.sql(query, df=df)
+
+
+def average_rank(
+    df: DataFrame, keys: Sequence[str], value: str, rank: str, size: str, rows: int | None = None
+) -> DataFrame:
     """Add the 1-based rank (ties share their average) and the group's non-null size.
 
     Distinct values are counted first, so a value held by most rows of a group is one
     row in the ordered part; the ranks are then joined back by value.
     """
-    keys = list(keys)
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count("*").alias("_w"))
-        .withColumn("_bin", value_bin(F.col(value)))
-    )
-    offsets = (
-        counts.groupBy(*keys, "_bin")
-        .agg(F.sum("_w").alias("_bw"))
-        .withColumn("_upto", F.sum("_bw").over(Window.partitionBy(*keys).orderBy("_bin")))
-        .withColumn(size, F.sum("_bw").over(Window.partitionBy(*keys)))
-        .select(*keys, "_bin", (F.col("_upto") - F.col("_bw")).alias("_below"), size)
-    )
-    running = F.sum("_w").over(Window.partitionBy(*keys, "_bin").orderBy(value))
-    ranks = (
-        counts.withColumn("_run", running)
-        .join(offsets, [*keys, "_bin"])
-        .select(
-            *keys,
-            value,
-            (F.col("_below") + F.col("_run") - F.col("_w") + (F.col("_w") + 1) / 2.0).alias(rank),
-            size,
-        )
-    )
-    return df.join(ranks, [*keys, value], "left")
-
-
-def percent_rank_average(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    k, v = _names(keys), f"`{value}`"
+    if fits_one_task(rows):
+        ordered = f"""rank() OVER (PARTITION BY {k} ORDER BY {v} NULLS LAST)
+            + (count(*) OVER (PARTITION BY {k} ORDER BY {v} NULLS LAST RANGE CURRENT ROW) - 1) / 2D"""
+        query = f"""SELECT *, CASE WHEN {v} IS NOT NULL THEN {ordered} END AS `{rank}`,
+            count({v}) OVER (PARTITION BY {k}) AS `{size}` FROM {{df}}"""
+        return df.sparkSession.sql(query, df=df)
+    query = f"""
+        WITH counts AS (SELECT {k}, {v}, {_bin(v)} AS bin, count(*) AS w
+            FROM {{df}} WHERE {v} IS NOT NULL GROUP BY {k}, {v}),
+        bins AS (SELECT {k}, bin, sum(w) AS w FROM counts GROUP BY {k}, bin),
+        offsets AS (SELECT {k}, bin, sum(w) OVER (PARTITION BY {k} ORDER BY bin) - w AS below,
+            sum(w) OVER (PARTITION BY {k}) AS n FROM bins),
+        running AS (SELECT {k}, bin, {v}, w,
+            sum(w) OVER (PARTITION BY {k}, bin ORDER BY {v}) - w AS inside FROM counts)
+        SELECT {k}, {v}, below + inside + (w + 1) / 2D AS `{rank}`, n AS `{size}`
+        FROM running JOIN offsets USING ({k}, bin)"""
+    return df.join(df.sparkSession.sql(query, df=df), [*keys, value], "left")
+
+
+def percent_rank_average(
+    df: DataFrame, keys: Sequence[str], value: str, out: str, rows: int | None = None
+) -> DataFrame:
     """Average rank as a percentage of the group's non-null rows; null stays null."""
-    ranked = average_rank(df, keys, value, "_rank", "_size")
-    return ranked.withColumn(out, F.col("_rank") / F.col("_size") * 100.0).drop("_rank", "_size")
+    ranked = average_rank(df, keys, value, "_rank", "_size", rows)
+    return ranked.selectExpr("* EXCEPT (_rank, _size)", f"_rank / _size * 100D AS `{out}`")
 
 
 def cut_points(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    tie: str,
-    positions: Callable[[Column], Mapping[str, Column]],
+    df: DataFrame, keys: Sequence[str], value: str, tie: str, positions: Mapping[str, str]
 ) -> DataFrame:
-    """Exact cut rows of the order (value descending, tie ascending).
-
-    ``positions`` maps the group size to named 0-based positions. Returns keys, n and,
-    per name, ``<name>_value``, ``<name>_tie`` and ``<name>_weight`` (rows sharing the
-    value). A row is at or before a cut if its value is larger, or equal with a tie
-    not larger. The number of groups must be small; their size need not be.
+    """Exact cut rows of the order (value descending, tie ascending) in a few groups of
+    any size.
+
+    ``positions`` maps names to 0-based positions, as SQL in the group size ``n``.
+    Returns keys, n and, per name, ``<name>_value``, ``<name>_tie`` and ``<name>_weight``
+    (rows sharing the value). A row is at or before a cut if its value is larger, or
+    equal with a tie-breaker not larger. The tied rows at a cut may be most of the
+    group, so their tie-breakers are selected through a histogram as well.
     """
-    keys = list(keys)
-    data = df.select(*keys, (-F.col(value)).alias("_neg"), F.col(tie).cast("long").alias("_tie"))
-    by_value = values_at_ranks(data, keys, "_neg", positions, few_groups=True)
-    edges = by_value.select(
-        *keys, "label", F.col("value").alias("_neg"), (F.col("rank") - F.col("below")).alias("rank"), "weight", "n"
-    )
-    tied = data.join(F.broadcast(edges.select(*keys, "label", "_neg")), [*keys, "_neg"])
-    by_tie = values_at_ranks(
-        tied.withColumnRenamed("label", "cut"),
-        [*keys, "cut"],
-        "_tie",
-        edges.select(*keys, F.col("label").alias("cut"), F.lit("tie").alias("label"), "rank"),
-        bin_of=hash_bin,
-        few_groups=True,
-    ).select(*keys, F.col("cut").alias("label"), F.col("value").alias("_tie"))
-    names = list(positions(F.lit(0)))
-    cuts = edges.join(F.broadcast(by_tie), [*keys, "label"])
-    return cuts.groupBy(*keys).agg(
-        F.max("n").alias("n"),
-        *[
-            F.max(F.when(F.col("label") == name, c)).alias(f"{name}_{suffix}")
-            for name in names
-            for suffix, c in (("value", -F.col("_neg")), ("tie", F.col("_tie")), ("weight", F.col("weight")))
-        ],
+    k = _names(keys)
+    wanted = ", ".join(f"named_struct('cut', '{name}', 'rank', {p})" for name, p in positions.items())
+    columns = ", ".join(
+        f"max(CASE WHEN cut = '{name}' THEN {c} END) AS `{name}_{suffix}`"
+        for name in positions
+        for suffix, c in (("value", "-v"), ("tie", "tie"), ("weight", "weight"))
     )
+    query = f"""
+        WITH {_placed_values(k, f"-`{value}`", list(positions.values()), True, f", `{tie}` AS tie")},
+        edges AS (SELECT {k}, v, w AS weight, n, cut, rank - below AS tie_rank FROM placed
+            LATERAL VIEW inline(filter(array({wanted}), c -> c.rank >= below AND c.rank < below + w)) t AS cut, rank),
+        tied AS (SELECT /*+ BROADCAST(edges) */ {k}, cut, tie, {_bin("tie")} AS tie_bin, tie_rank
+            FROM data JOIN edges USING ({k}, v)),
+        tie_histogram AS (SELECT {k}, cut, tie_bin, count(*) AS w, min(tie_rank) AS tie_rank
+            FROM tied GROUP BY {k}, cut, tie_bin),
+        tie_bins AS (SELECT {k}, cut, tie_bin, w, tie_rank,
+            sum(w) OVER (PARTITION BY {k}, cut ORDER BY tie_bin) - w AS below FROM tie_histogram),
+        tie_hit AS (SELECT {k}, cut, tie_bin, tie_rank - below AS inner_rank FROM tie_bins
+            WHERE tie_rank >= below AND tie_rank < below + w),
+        candidates AS (SELECT /*+ BROADCAST(tie_hit) */ {k}, cut, tie, inner_rank,
+            row_number() OVER (PARTITION BY {k}, cut ORDER BY tie) - 1 AS place
+            FROM tied JOIN tie_hit USING ({k}, cut, tie_bin)),
+        ties AS (SELECT {k}, cut, tie FROM candidates WHERE place = inner_rank)
+        SELECT /*+ BROADCAST(ties) */ {k}, max(n) AS n, {columns}
+        FROM edges JOIN ties USING ({k}, cut) GROUP BY {k}"""
+    return df.sparkSession.sql(query, df=df)

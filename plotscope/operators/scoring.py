@@ -12,7 +12,9 @@ from plotscope.operators.order_stats import exact_quantiles, percent_rank_averag
 from plotscope.params import COMPOSITE_WEIGHTS, MOTIVATION_WEIGHTS, OFFER_RULE, OFFER_RULES, WINSOR_BAND
 
 
-def _bounds(df: DataFrame, keys: Sequence[str], winsorised: str, plain: Sequence[str]) -> DataFrame:
+def _bounds(
+    df: DataFrame, keys: Sequence[str], winsorised: str, plain: Sequence[str], rows: int | None
+) -> DataFrame:
     """One row per population: scaling range of each column, the winsorised one's from
     its quantile band. Clipping to a band inside the data makes the band the range."""
     ranges = df.groupBy(*keys).agg(
@@ -20,32 +22,38 @@ def _bounds(df: DataFrame, keys: Sequence[str], winsorised: str, plain: Sequence
     )
     low, high = WINSOR_BAND
     band = exact_quantiles(
-        df, keys, winsorised, {f"_{winsorised}_min": low, f"_{winsorised}_max": high}, few_groups=True
+        df, keys, winsorised, {f"_{winsorised}_min": low, f"_{winsorised}_max": high}, few_groups=True, rows=rows
     ).drop("n")
     return ranges.join(F.broadcast(band), list(keys), "left")
 
 
-def _scale(df: DataFrame, keys: Sequence[str], winsorised: str, scores: Mapping[str, str]) -> DataFrame:
+def _scale(
+    df: DataFrame, keys: Sequence[str], winsorised: str, scores: Mapping[str, str], rows: int | None
+) -> DataFrame:
     """Min-max scores (output name -> column) per population. The range table has one
     row per as-of date, so it is broadcast instead of shuffling the population."""
     plain = [c for c in scores.values() if c != winsorised]
-    wide = df.join(F.broadcast(_bounds(df, keys, winsorised, plain)), list(keys), "left")
+    wide = df.join(F.broadcast(_bounds(df, keys, winsorised, plain, rows)), list(keys), "left")
+    scaled = {}
     for name, c in scores.items():
         low, high = F.col(f"_{c}_min"), F.col(f"_{c}_max")
         value = clip(F.col(c), low, high) if c == winsorised else F.col(c)
-        wide = wide.withColumn(name, min_max(value, low, high))
-    return wide.drop(*[f"_{c}_{end}" for c in scores.values() for end in ("min", "max")])
+        scaled[name] = min_max(value, low, high)
+    return wide.withColumns(scaled).drop(*[f"_{c}_{end}" for c in scores.values() for end in ("min", "max")])
 
 
 def motivation_score(
-    parcels: DataFrame, weights: Mapping[str, float] = MOTIVATION_WEIGHTS, keys: Sequence[str] = ()
+    parcels: DataFrame,
+    weights: Mapping[str, float] = MOTIVATION_WEIGHTS,
+    keys: Sequence[str] = (),
+    rows: int | None = None,
 ) -> DataFrame:
     """Add the three component scores, their weighted mean and its grade, scaled over the
     whole frame (or per ``keys``, which must be few, such as as-of dates)."""
     df = parcels if keys else parcels.withColumn("_all", F.lit(1))
     by = list(keys) or ["_all"]
     df = _scale(
-        df, by, "equity_proxy", {"tenure_score": "ownership_tenure_years", "equity_proxy_score": "equity_proxy"}
+        df, by, "equity_proxy", {"tenure_score": "ownership_tenure_years", "equity_proxy_score": "equity_proxy"}, rows
     )
     df = df.withColumn("absentee_score", F.col("absentee").cast("double") * 100.0)
     df = df.withColumn("motivation_score", weighted_mean(weights))
@@ -64,16 +72,17 @@ def composite_score(
     normalization: str = "minmax",
     weights: Mapping[str, float] = COMPOSITE_WEIGHTS,
     keys: Sequence[str] = ("as_of",),
+    rows: int | None = None,
 ) -> DataFrame:
     """Equal-weight composite of absentee, tenure, equity and relative spread, scaled
     per as-of date either by range (equity winsorised) or by percentile rank."""
     df = scored.withColumn("absentee_score", F.col("absentee").cast("double") * 100.0)
     columns = {"tenure_score": "ownership_tenure_years", "equity_score": "equity_proxy", "pct_spread_score": "pct_spread"}
     if normalization == "minmax":
-        df = _scale(df, keys, "equity_proxy", columns)
+        df = _scale(df, keys, "equity_proxy", columns, rows)
     elif normalization == "rank":
         for name, c in columns.items():
-            df = percent_rank_average(df, keys, c, name)
+            df = percent_rank_average(df, keys, c, name, rows)
     else:
         raise ValueError(f"normalization must be 'minmax' or 'rank', not {normalization!r}")
     return df.withColumn("composite_score", weighted_mean(weights))

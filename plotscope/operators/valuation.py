@@ -17,9 +17,9 @@ from plotscope.functions.scores import round_half_even, spread
 from plotscope.operators import comp_stats
 from plotscope.operators.guard import guarded
 from plotscope.operators.index import INDEX_STRATEGIES, month_levels
-from plotscope.operators.order_stats import exact_quantiles, interpolate, quantile_position
+from plotscope.operators.order_stats import exact_quantiles, fits_one_task
 from plotscope.params import AS_OF_SETTINGS, MIN_DOLLAR_SPREAD, ValuationSettings
-from plotscope.storage import materialize
+from plotscope.storage import materialize, materialize_counted
 
 # The helpers travel with the tasks, so executors need no installed copy of the package.
 cloudpickle.register_pickle_by_value(comp_stats)
@@ -74,10 +74,12 @@ def comp_pool(
     as_of_dates: Sequence[dt.date],
     settings: ValuationSettings = AS_OF_SETTINGS,
     index: str = "asof",
+    event_rows: int | None = None,
 ) -> DataFrame:
     """Comps usable at each date: sold inside [date - window, date), price per area
     carried to the date by the index. Guarded against later sales inside the plan."""
-    levels = month_levels(INDEX_STRATEGIES[index](events, as_of_dates), as_of_dates, settings.window_months)
+    anchors = INDEX_STRATEGIES[index](events, as_of_dates, event_rows)
+    levels = month_levels(anchors, as_of_dates, settings.window_months)
     windows = matching_dates(
         as_of_dates,
         lambda d: (F.col("sale_date") < d) & (F.col("sale_date") >= F.add_months(d, -settings.window_months)),
@@ -96,16 +98,16 @@ def _tercile(value, cut1, cut2):
     return F.coalesce((value >= cut1).cast("int") + (value >= cut2).cast("int"), F.lit(2))
 
 
-def _pool_profile(pool: DataFrame, settings: ValuationSettings) -> DataFrame:
+def _pool_profile(pool: DataFrame, settings: ValuationSettings, rows: int) -> DataFrame:
     """Per date and neighbourhood: comps and, where banding applies, tercile cuts."""
     keys = ["as_of", "nbrhd_cd"]
     sizes = pool.groupBy(*keys).agg(F.count("*").alias("pool_size"))
+    low, high = settings.tercile_cuts
     if not settings.value_band:
         return sizes.withColumns({"cut1": F.lit(None).cast("double"), "cut2": F.lit(None).cast("double")}).withColumn(
             "banded", F.lit(False)
         )
-    low, high = settings.tercile_cuts
-    cuts = exact_quantiles(pool, keys, "just_value", {"cut1": low, "cut2": high}).drop("n")
+    cuts = exact_quantiles(pool, keys, "just_value", {"cut1": low, "cut2": high}, rows=rows).drop("n")
     return sizes.join(cuts, keys, "left").withColumn("banded", F.col("pool_size") >= settings.min_band_pool)
 
 
@@ -232,7 +234,7 @@ def _sliced(lookups: DataFrame, pool: DataFrame, settings: ValuationSettings) ->
         counts = counts.withColumn("_below", F.col("_upto") - F.col("found"))
         ranks = []
         for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
-            low = F.floor(quantile_position(p, F.col("n")))
+            low = F.floor(p * (F.col("n") - 1))
             ranks += [(f"{name}_lo", low), (f"{name}_hi", F.least(low + 1, F.col("n") - 1))]
         wanted = F.array(*[F.struct(F.lit(k).alias("label"), r.cast("long").alias("rank")) for k, r in ranks])
         here = F.filter(wanted, lambda w: (w["rank"] >= F.col("_below")) & (w["rank"] < F.col("_upto")))
@@ -250,8 +252,10 @@ def _sliced(lookups: DataFrame, pool: DataFrame, settings: ValuationSettings) ->
         wide = wide.join(counts.select("lookup", "n").distinct(), "lookup")
         out = ["lookup", "n"]
         for name, p in (("q1", 0.25), ("q3", 0.75)):
-            at = quantile_position(p, F.col("n"))
-            out.append(interpolate(F.col(f"{name}_lo"), F.col(f"{name}_hi"), at - F.floor(at)).alias(name))
+            low, high, at = F.col(f"{name}_lo"), F.col(f"{name}_hi"), p * (F.col("n") - 1)
+            share = at - F.floor(at)
+            nearer = F.when(share < 0.5, low + (high - low) * share).otherwise(high - (high - low) * (1 - share))
+            out.append(nearer.alias(name))
         middle = F.when(F.col("n") % 2 == 1, F.col("median_lo")).otherwise((F.col("median_lo") + F.col("median_hi")) / 2.0)
         return wide.select(*out, middle.alias("median"))
 
@@ -287,8 +291,11 @@ def comp_statistics(subjects: DataFrame, pool: DataFrame, settings: ValuationSet
     pool = pool.select(*keys, "parcel_id", "living_area", "year_built", "just_value", "psf").filter(
         F.col("nbrhd_cd").isNotNull() & F.col("psf").isNotNull()
     )
-    pool = materialize(pool)
-    profile = _pool_profile(pool, settings)
+    pool, pool_rows = materialize_counted(pool)
+    profile = _pool_profile(pool, settings, pool_rows)
+    if not fits_one_task(pool_rows):
+        profile = materialize(profile)  # used three times below
+    own = pool.select("as_of", "nbrhd_cd", "parcel_id").distinct().withColumn("excluded", F.col("parcel_id"))
     if not settings.value_band:
         pool = pool.withColumn("tercile", F.lit(0))
     else:
@@ -296,7 +303,6 @@ def comp_statistics(subjects: DataFrame, pool: DataFrame, settings: ValuationSet
         pool = pool.join(cuts, keys).withColumn("tercile", _tercile(F.col("just_value"), F.col("cut1"), F.col("cut2")))
     pool = pool.filter(F.col("year_built").isNotNull()).drop("cut1", "cut2", "just_value")
 
-    own = pool.select("as_of", "nbrhd_cd", "parcel_id").distinct().withColumn("excluded", F.col("parcel_id"))
     asked = (
         subjects.select("as_of", "parcel_id", "nbrhd_cd", "living_area", "year_built", "just_value")
         .join(profile, keys)
@@ -309,8 +315,11 @@ def comp_statistics(subjects: DataFrame, pool: DataFrame, settings: ValuationSet
     )
     asked = materialize(asked.select("parcel_id", "pool_size", *LOOKUP_KEY))
 
-    # One cheap pass over the stored subjects tells whether any pool outgrows a task.
-    largest = asked.agg(F.max("pool_size")).first()[0] or 0
+    # Unless all comps together fit one task, a cheap pass over the stored subjects tells
+    # whether any single pool outgrows it.
+    largest = pool_rows
+    if largest > settings.max_block_comps:
+        largest = asked.agg(F.max("pool_size")).first()[0] or 0
     lookups = asked.select(*LOOKUP_KEY, "pool_size").distinct()
     if largest <= settings.max_block_comps:
         answers = _direct(lookups.drop("pool_size"), pool, settings)
@@ -370,9 +379,10 @@ def value_as_of(
     as_of_dates: Sequence[dt.date],
     settings: ValuationSettings = AS_OF_SETTINGS,
     index: str = "asof",
+    event_rows: int | None = None,
 ) -> DataFrame:
     """As-of valuation of ``subjects`` (one row per as_of and parcel)."""
-    return estimate(subjects, comp_pool(events, as_of_dates, settings, index), settings)
+    return estimate(subjects, comp_pool(events, as_of_dates, settings, index, event_rows), settings)
 
 
 # -- spread, ranking, diagnostics ---------------------------------------------------------

@@ -13,7 +13,7 @@ from plotscope.operators.scoring import composite_score
 from plotscope.operators.signals import attach_outcomes, owner_signals
 from plotscope.operators.valuation import comp_events, value_as_of, with_spread
 from plotscope.params import AS_OF_SETTINGS, OUTCOME_WINDOW_MONTHS, ValuationSettings
-from plotscope.storage import materialize
+from plotscope.storage import materialize_counted
 
 
 def valued_subjects(
@@ -25,8 +25,8 @@ def valued_subjects(
 ) -> DataFrame:
     """Every subject of every date with its valuation and spread."""
     subjects = subjects_as_of(snapshots, as_of_dates)
-    events = materialize(comp_events(sales, snapshots))
-    valued = value_as_of(subjects, events, as_of_dates, settings, index)
+    events, rows = materialize_counted(comp_events(sales, snapshots))
+    valued = value_as_of(subjects, events, as_of_dates, settings, index, rows)
     return with_spread(subjects.join(valued, ["as_of", "parcel_id"], "left"))
 
 
@@ -41,8 +41,8 @@ def score_dates(
     """Valuation, spread, owner signals, composite and outcomes of all dates at once.
     Scaling runs over all subjects of a date; populations are chosen afterwards."""
     valued = valued_subjects(sales, snapshots, as_of_dates, settings)
-    signals = materialize(owner_signals(valued, sales, as_of_dates))
-    scored = composite_score(signals, normalization)
+    signals, rows = materialize_counted(owner_signals(valued, sales, as_of_dates))
+    scored = composite_score(signals, normalization, rows=rows)
     return attach_outcomes(scored, sales, snapshots, as_of_dates, window_months)
 
 
@@ -54,5 +54,5 @@ def run_backtest(
     tie: Column | None = None,
 ) -> DataFrame:
     """The evaluation table with p-values and the Bonferroni verdict."""
-    scored = materialize(score_dates(sales, snapshots, as_of_dates, normalization))
-    return with_verdict(evaluate(scored, tie))
+    scored, rows = materialize_counted(score_dates(sales, snapshots, as_of_dates, normalization))
+    return with_verdict(evaluate(scored, tie, rows=rows))

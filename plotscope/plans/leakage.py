@@ -14,7 +14,7 @@ from plotscope.operators.parcels import subjects_as_of
 from plotscope.operators.signals import owner_signals
 from plotscope.operators.valuation import comp_events, value_as_of
 from plotscope.params import AS_OF_SETTINGS, TIE_BREAK_SEED, ValuationSettings
-from plotscope.storage import materialize
+from plotscope.storage import materialize, materialize_counted
 
 VERSIONS = {"leaky": "leaky (before)", "asof": "fixed (after)"}
 
@@ -27,13 +27,14 @@ def accuracy_before_after(
 ) -> DataFrame:
     """Accuracy by date, index version and confidence band; only the index differs."""
     subjects = subjects_as_of(snapshots, as_of_dates)
-    events = materialize(comp_events(sales, snapshots))
+    events, rows = materialize_counted(comp_events(sales, snapshots))
     errors = None
     for strategy, label in VERSIONS.items():
-        valued = value_as_of(subjects, events, as_of_dates, settings, strategy)
+        valued = value_as_of(subjects, events, as_of_dates, settings, strategy, rows)
         part = valuation_errors(valued, sales, as_of_dates).withColumn("version", F.lit(label))
         errors = part if errors is None else errors.unionByName(part)
-    return accuracy_by_band(errors)
+    stored, error_rows = materialize_counted(errors)
+    return accuracy_by_band(stored, rows=error_rows)
 
 
 def seeded_sample(subjects: DataFrame, n: int, seed: int = TIE_BREAK_SEED) -> DataFrame:
@@ -61,14 +62,14 @@ def invariance(
     subjects = subjects_as_of(snapshots, [as_of])
     if sample is not None:
         subjects = materialize(seeded_sample(subjects, sample))
-    events = materialize(comp_events(sales, snapshots))
+    events, rows = materialize_counted(comp_events(sales, snapshots))
     past_events, past_sales = (df.filter(F.col("sale_date") < F.lit(as_of)) for df in (events, sales))
     signal_columns = ["parcel_id", "absentee", "ownership_tenure_years", "equity_proxy"]
     pairs = {
-        "index": (index_asof(events, [as_of]), index_asof(past_events, [as_of])),
+        "index": (index_asof(events, [as_of], rows), index_asof(past_events, [as_of], rows)),
         "valuation": (
-            value_as_of(subjects, events, [as_of], settings),
-            value_as_of(subjects, past_events, [as_of], settings),
+            value_as_of(subjects, events, [as_of], settings, event_rows=rows),
+            value_as_of(subjects, past_events, [as_of], settings, event_rows=rows),
         ),
         "signals": (
             owner_signals(subjects, sales, [as_of]).select(*signal_columns),

@@ -12,7 +12,7 @@ from plotscope.operators.parcels import subjects_as_of
 from plotscope.operators.scoring import motivation_score
 from plotscope.operators.valuation import comp_events, value_as_of, with_spread
 from plotscope.params import AS_OF_SETTINGS, DISPLAY_ROWS, MIN_DOLLAR_SPREAD, MOTIVATION_WEIGHTS, ValuationSettings
-from plotscope.storage import materialize
+from plotscope.storage import materialize_counted
 
 # Display names of the screen and its export.
 DISPLAY_NAMES = {
@@ -46,18 +46,20 @@ def screen_base(
     subjects = subjects_as_of(snapshots, [as_of]).select(
         "as_of", "parcel_id", "nbrhd_cd", "living_area", "year_built", "just_value"
     )
-    events = materialize(comp_events(sales, snapshots))
-    valued = value_as_of(subjects, events, [as_of], settings).drop("used_value_band")
+    events, rows = materialize_counted(comp_events(sales, snapshots))
+    valued = value_as_of(subjects, events, [as_of], settings, event_rows=rows).drop("used_value_band")
     engine = subjects.select("as_of", "parcel_id", "just_value").join(valued, ["as_of", "parcel_id"], "left")
     engine = engine.withColumn("high_confidence", F.coalesce("high_confidence", F.lit(False)))
     return with_spread(parcels.drop("just_value").join(engine, "parcel_id"))
 
 
-def score_screen(base: DataFrame, weights: Mapping[str, float] = MOTIVATION_WEIGHTS) -> DataFrame:
+def score_screen(
+    base: DataFrame, weights: Mapping[str, float] = MOTIVATION_WEIGHTS, rows: int | None = None
+) -> DataFrame:
     """Motivation score and grade over the whole base, before any filter."""
     if sum(weights.values()) <= 0:
         raise ValueError("at least one weight must be above zero")
-    return motivation_score(base, weights, keys=("as_of",))
+    return motivation_score(base, weights, keys=("as_of",), rows=rows)
 
 
 def filter_screen(
@@ -99,7 +101,8 @@ def screen(
     limit: int | None = None,
 ) -> DataFrame:
     """The whole screen with every control as an argument; all columns are kept."""
-    scored = score_screen(screen_base(parcels, sales, snapshots, as_of), weights)
+    base, rows = materialize_counted(screen_base(parcels, sales, snapshots, as_of))
+    scored = score_screen(base, weights, rows)
     kept = filter_screen(scored, min_spread, max_just_value, high_confidence, absentee_only)
     return rank_screen(kept, sort_by, limit)
 

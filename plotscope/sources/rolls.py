@@ -6,7 +6,6 @@ rows into a Parquet table once; every later step scans that table.
 
 from __future__ import annotations
 
-import csv
 import io
 import os
 import zipfile
@@ -60,8 +59,8 @@ def require_paths(spark: SparkSession, paths: Sequence[str]) -> None:
 
 
 def _unzip_rows(columns: list[str], member: str | None):
-    """Task body: stream the wanted columns of one CSV member per zip, in batches. The
-    zip bytes are one row, the decoded rows are never all in memory."""
+    """Task body: parse the wanted columns of one CSV member per zip, in batches, so the
+    decoded rows are never all in memory."""
     label, batch_rows = "file_label", _BATCH_ROWS
 
     def read(batches):
@@ -70,22 +69,11 @@ def _unzip_rows(columns: list[str], member: str | None):
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
                     inner = member or archive.namelist()[0]
                     with archive.open(inner) as raw:
-                        reader = csv.reader(io.TextIOWrapper(raw, encoding="utf-8", newline=""))
-                        header = {c: i for i, c in enumerate(next(reader))}
-                        absent = [c for c in columns if c not in header]
-                        if absent:
-                            raise ValueError(f"{name}: columns {absent} not in {inner}")
-                        places = [header[c] for c in columns]
-                        rows = []
-                        for line in reader:
-                            if not line:
-                                continue
-                            rows.append([line[i] if i < len(line) else None for i in places] + [name])
-                            if len(rows) == batch_rows:
-                                yield pd.DataFrame(rows, columns=[*columns, label])
-                                rows = []
-                        if rows:
-                            yield pd.DataFrame(rows, columns=[*columns, label])
+                        chunks = pd.read_csv(
+                            raw, usecols=columns, dtype=str, keep_default_na=False, chunksize=batch_rows
+                        )
+                        for chunk in chunks:
+                            yield chunk[columns].assign(**{label: name})
 
     return read
 

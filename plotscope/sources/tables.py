@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from plotscope.operators.parcels import PARCEL_COLUMNS
 
+_KEEP_BLANKS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 _FLAGS = ("absentee", "out_of_state")
 _PARCEL_TEXT = {
     "parcel_id", "county", "dor_use_code", "nbrhd_cd", "situs_addr1", "situs_city", "situs_zip", "owner_name",
@@ -41,9 +42,10 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV sink; blanks at the ends of text are kept."""
+    df.write.mode("overwrite").options(header=True, **_KEEP_BLANKS).csv(path)
 
 
 def read_parcels_csv(spark: SparkSession, path: str) -> DataFrame:
     """Parcel table written as CSV; codes stay text with their leading zeros."""
-    return spark.read.schema(PARCEL_SCHEMA).option("header", True).csv(path)
+    return spark.read.schema(PARCEL_SCHEMA).options(header=True, **_KEEP_BLANKS).csv(path)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _CONF = "spark.checkpoint.dir"
 _local_folder: dict[str, str] = {}
@@ -22,10 +23,16 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder.setdefault(app, tempfile.mkdtemp(prefix="plotscope-"))
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """Write ``df`` once and read it back, so later steps neither recompute it nor
-    depend on the executors that produced it."""
+    depend on the executors that produced it. Also returns its row count, observed
+    during the write, as a proven bound for later steps."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = Observation()
+    df.observe(written, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), written.get["rows"]
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    return materialize_counted(df)[0]
