@@ -695,9 +695,9 @@ ORACLES: dict[str, str] = {
         "flip_backtest": "SELECT * FROM flip_results",
         "flip_hits": "SELECT count(*) FILTER (in_top_decile) AS hits, count(*) AS flips FROM flip_results",
         "accuracy": f"""
-            SELECT as_of, version, band, count(*) AS n, round({_q("list_sort(list(error))", 0.5)} * 100, 6) AS median,
-                round(avg(error) * 100, 6) AS mean, round(avg((error <= 0.1)::INTEGER) * 100, 6) AS w10,
-                round(avg((error <= 0.2)::INTEGER) * 100, 6) AS w20
+            SELECT as_of, version, band, count(*) AS n, round({_q("list_sort(list(error) FILTER (error IS NOT NULL))", 0.5)} * 100, 6) AS median,
+                round(avg(error) * 100, 6) AS mean, round(avg(coalesce(error <= 0.1, false)::INTEGER) * 100, 6) AS w10,
+                round(avg(coalesce(error <= 0.2, false)::INTEGER) * 100, 6) AS w20
             FROM error_bands GROUP BY as_of, version, band""",
         "leaky_vs_fixed": f"""
             SELECT f.as_of, round(f.level, 6) AS fixed_level, round(l.level, 6) AS leaky_level,

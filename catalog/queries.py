@@ -303,11 +303,8 @@ def adjusted_psf(spark, d):
 
 
 def _statistics(spark: SparkSession, d: str) -> DataFrame:
-    subjects_ = _subjects(spark, d)
-    stats = valuation.comp_statistics(subjects_, valuation.comp_pool(_events(spark, d), DATES), AS_OF_SETTINGS)
-    stats = stats.drop("nbrhd_cd", "living_area", "year_built")
-    joined = subjects_.select("as_of", "parcel_id", "living_area").join(stats, ["as_of", "parcel_id"], "left")
-    return joined.fillna(0, ["all_n", "band_n"])
+    pool = valuation.comp_pool(_events(spark, d), DATES)
+    return valuation.comp_statistics(_subjects(spark, d), pool, AS_OF_SETTINGS).fillna(0, ["all_n", "band_n"])
 
 
 @query

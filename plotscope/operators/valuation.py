@@ -303,15 +303,12 @@ def comp_statistics(subjects: DataFrame, pool: DataFrame, settings: ValuationSet
         pool = pool.join(cuts, keys).withColumn("tercile", _tercile(F.col("just_value"), F.col("cut1"), F.col("cut2")))
     pool = pool.filter(F.col("year_built").isNotNull()).drop("cut1", "cut2", "just_value")
 
+    subjects = subjects.select("as_of", "parcel_id", "nbrhd_cd", "living_area", "year_built", "just_value")
+    tercile = F.when(F.col("banded"), _tercile(F.col("just_value"), F.col("cut1"), F.col("cut2"))).otherwise(-1)
     asked = (
-        subjects.select("as_of", "parcel_id", "nbrhd_cd", "living_area", "year_built", "just_value")
-        .join(profile, keys)
-        .withColumn(
-            "tercile",
-            F.when(F.col("banded"), _tercile(F.col("just_value"), F.col("cut1"), F.col("cut2"))).otherwise(-1),
-        )
+        subjects.join(profile, keys, "left")
         .join(own, ["as_of", "nbrhd_cd", "parcel_id"], "left")
-        .withColumn("excluded", F.coalesce("excluded", F.lit(comp_stats.NO_EXCLUSION)))
+        .withColumns({"tercile": tercile, "excluded": F.coalesce("excluded", F.lit(comp_stats.NO_EXCLUSION))})
     )
     asked = materialize(asked.select("parcel_id", "pool_size", *LOOKUP_KEY))
 
@@ -320,7 +317,7 @@ def comp_statistics(subjects: DataFrame, pool: DataFrame, settings: ValuationSet
     largest = pool_rows
     if largest > settings.max_block_comps:
         largest = asked.agg(F.max("pool_size")).first()[0] or 0
-    lookups = asked.select(*LOOKUP_KEY, "pool_size").distinct()
+    lookups = asked.filter("pool_size > 0").select(*LOOKUP_KEY, "pool_size").distinct()
     if largest <= settings.max_block_comps:
         answers = _direct(lookups.drop("pool_size"), pool, settings)
     else:
@@ -344,8 +341,7 @@ def _dispersion(n, median, q1, q3):
 
 def estimate(subjects: DataFrame, pool: DataFrame, settings: ValuationSettings) -> DataFrame:
     """Estimate, comp count, dispersion, band use and confidence, one row per subject."""
-    stats = comp_statistics(subjects, pool, settings).drop("nbrhd_cd", "living_area", "year_built", "tercile")
-    df = subjects.select("as_of", "parcel_id", "living_area").join(stats, ["as_of", "parcel_id"], "left")
+    df = comp_statistics(subjects, pool, settings)
     all_n, band_n = F.coalesce("all_n", F.lit(0)), F.coalesce("band_n", F.lit(0))
     tighter = _dispersion(band_n, F.col("band_median"), F.col("band_q1"), F.col("band_q3")) < _dispersion(
         all_n, F.col("all_median"), F.col("all_q1"), F.col("all_q3")
