@@ -33,7 +33,13 @@ def _bin(c: str) -> str:
     return f"CAST(signum({c}) * floor(log2(abs({c}) + 1e0) * {_BINS_PER_OCTAVE}) AS BIGINT)"
 
 
+# Column names the statements use themselves; a key may not be called so.
+_RESERVED = {"v", "w", "n", "bin", "below", "cut", "tie", "tie_bin", "tie_rank", "weight", "rank", "place"}
+
+
 def _names(keys: Sequence[str]) -> str:
+    if clash := _RESERVED.intersection(keys):
+        raise ValueError(f"key columns {sorted(clash)} must be renamed first")
     return ", ".join(f"`{k}`" for k in keys)
 
 
@@ -53,8 +59,8 @@ def _placed_values(k: str, value: str, ranks: Sequence[str], few_groups: bool, e
         histogram = f"SELECT {k}, bin, sum(w) AS w FROM distinct_values GROUP BY {k}, bin"
         inside = f"SELECT {k}, bin, v, w, below, n FROM distinct_values JOIN hit USING ({k}, bin)"
     return f"""
-        data AS (SELECT {k}, v, {_bin("v")} AS bin{extra}
-            FROM (SELECT *, {value} AS v FROM {{df}}) WHERE v IS NOT NULL),
+        data AS (SELECT *, {_bin("v")} AS bin
+            FROM (SELECT {k}, {value} AS v{extra} FROM {{df}}) WHERE v IS NOT NULL),
         distinct_values AS (SELECT {k}, bin, v, count(*) AS w FROM data GROUP BY {k}, bin, v),
         histogram AS ({histogram}),
         bins AS (SELECT {k}, bin, w, sum(w) OVER (PARTITION BY {k} ORDER BY bin) - w AS below,

@@ -31,12 +31,19 @@ def _scale(
     df: DataFrame, keys: Sequence[str], winsorised: str, scores: Mapping[str, str], rows: int | None
 ) -> DataFrame:
     """Min-max scores (output name -> column) per population. The range table has one
-    row per as-of date, so it is broadcast instead of shuffling the population."""
+    row per as-of date, so it is broadcast instead of shuffling the population; for one
+    population its single row is a scalar subquery."""
     plain = [c for c in scores.values() if c != winsorised]
-    wide = df.join(F.broadcast(_bounds(df, keys, winsorised, plain, rows)), list(keys), "left")
+    if keys:
+        wide = df.join(F.broadcast(_bounds(df, keys, winsorised, plain, rows)), list(keys), "left")
+        limit = F.col
+    else:
+        one = _bounds(df.withColumn("_all", F.lit(1)), ["_all"], winsorised, plain, rows)
+        row = one.select(F.struct("*")).scalar()
+        wide, limit = df, row.getField
     scaled = {}
     for name, c in scores.items():
-        low, high = F.col(f"_{c}_min"), F.col(f"_{c}_max")
+        low, high = limit(f"_{c}_min"), limit(f"_{c}_max")
         value = clip(F.col(c), low, high) if c == winsorised else F.col(c)
         scaled[name] = min_max(value, low, high)
     return wide.withColumns(scaled).drop(*[f"_{c}_{end}" for c in scores.values() for end in ("min", "max")])
@@ -50,14 +57,11 @@ def motivation_score(
 ) -> DataFrame:
     """Add the three component scores, their weighted mean and its grade, scaled over the
     whole frame (or per ``keys``, which must be few, such as as-of dates)."""
-    df = parcels if keys else parcels.withColumn("_all", F.lit(1))
-    by = list(keys) or ["_all"]
-    df = _scale(
-        df, by, "equity_proxy", {"tenure_score": "ownership_tenure_years", "equity_proxy_score": "equity_proxy"}, rows
-    )
+    columns = {"tenure_score": "ownership_tenure_years", "equity_proxy_score": "equity_proxy"}
+    df = _scale(parcels, list(keys), "equity_proxy", columns, rows)
     df = df.withColumn("absentee_score", F.col("absentee").cast("double") * 100.0)
     df = df.withColumn("motivation_score", weighted_mean(weights))
-    return df.withColumn("grade", letter_grade(F.col("motivation_score"))).drop("_all")
+    return df.withColumn("grade", letter_grade(F.col("motivation_score")))
 
 
 def with_offer(scored: DataFrame, rule: float = OFFER_RULE) -> DataFrame:

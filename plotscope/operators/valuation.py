@@ -35,11 +35,16 @@ _STATS_SCHEMA = ", ".join(
 # -- inputs ------------------------------------------------------------------------
 
 
-def comp_events(sales: DataFrame, snapshots: DataFrame, use_code: str = "001") -> DataFrame:
-    """Eligible sales joined to the roll of their own sale year, with price per area."""
+def comp_events(
+    sales: DataFrame, snapshots: DataFrame, use_code: str = "001", min_price: float | None = None
+) -> DataFrame:
+    """Eligible sales joined to the roll of their own sale year, with price per area.
+    Sales without a price are left out; a lowest price is only applied if given."""
     eligible = sales.filter(
         F.col("comp_eligible") & (F.col("dor_use_code") == use_code) & F.col("price").isNotNull()
     )
+    if min_price is not None:
+        eligible = eligible.filter(F.col("price") >= min_price)
     then = snapshots.select(
         "parcel_id", F.col("vintage_year").alias("sale_year"), "nbrhd_cd", "living_area", "year_built", "just_value"
     ).filter(F.col("living_area") > 0)
@@ -189,7 +194,7 @@ def _sliced(lookups: DataFrame, pool: DataFrame, settings: ValuationSettings) ->
     slices = max(1, math.ceil(offered.count() / settings.max_block_comps))
     order = [*area, F.col("psf"), F.xxhash64("parcel_id", "living_area", "year_built")]
     offered = materialize(offered.repartitionByRange(slices, *order).withColumn("slice", F.spark_partition_id()))
-    directory = offered.groupBy(*area, "slice").agg(F.count("*").alias("comps"))
+    directory = materialize(offered.select(*area, "slice").distinct())
     copies = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     offered = offered.withColumn("block", copies).drop("_blocks")
     by = [*area, "slice", "block"]
@@ -222,7 +227,7 @@ def _sliced(lookups: DataFrame, pool: DataFrame, settings: ValuationSettings) ->
 
     def quartiles(bounded: DataFrame) -> DataFrame:
         """lookup, n, q1, median, q3 of the matches with price in [low, high]."""
-        spread_out = bounded.join(directory.drop("comps"), area)
+        spread_out = bounded.join(directory, area)
         counts = materialize(
             spread_out.groupBy(*by)
             .cogroup(offered.groupBy(*by))

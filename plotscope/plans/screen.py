@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotscope.operators.parcels import subjects_as_of
@@ -62,23 +62,27 @@ def score_screen(
     return motivation_score(base, weights, keys=("as_of",), rows=rows)
 
 
-def filter_screen(
-    scored: DataFrame,
+def in_view(
     min_spread: float = MIN_DOLLAR_SPREAD,
     max_just_value: float | None = None,
     high_confidence: bool = True,
     absentee_only: bool = False,
-) -> DataFrame:
-    kept = scored.filter(F.col("arv_estimate").isNotNull() & (F.col("spread_estimate") >= min_spread))
+) -> Column:
+    """The row condition of a view."""
+    kept = F.col("arv_estimate").isNotNull() & (F.col("spread_estimate") >= min_spread)
     if max_just_value is not None:
-        kept = kept.filter(F.col("just_value") <= max_just_value)
+        kept = kept & (F.col("just_value") <= max_just_value)
     if high_confidence:
-        kept = kept.filter("high_confidence")
+        kept = kept & F.col("high_confidence")
     if absentee_only:
-        kept = kept.filter("absentee")
+        kept = kept & F.col("absentee")
     return kept
 
 
+def filter_screen(scored: DataFrame, **controls) -> DataFrame:
+    return scored.filter(in_view(**controls))
+
+
 def rank_screen(filtered: DataFrame, sort_by: str = "pct_spread", limit: int | None = None) -> DataFrame:
     """Sorted view; with a limit, a top-k that never sorts the whole table."""
     if sort_by not in SORT_COLUMNS:
@@ -103,7 +107,7 @@ def screen(
     """The whole screen with every control as an argument; all columns are kept."""
     base, rows = materialize_counted(screen_base(parcels, sales, snapshots, as_of))
     scored = score_screen(base, weights, rows)
-    kept = filter_screen(scored, min_spread, max_just_value, high_confidence, absentee_only)
+    kept = scored.filter(in_view(min_spread, max_just_value, high_confidence, absentee_only))
     return rank_screen(kept, sort_by, limit)
 
 
@@ -115,10 +119,10 @@ def display(view: DataFrame, limit: int | None = DISPLAY_ROWS) -> DataFrame:
 
 def screen_header(scored: DataFrame, **controls) -> DataFrame:
     """One row of counts: parcels, parcels with an estimate, parcels in the view."""
-    in_view = filter_screen(scored, **controls).select("parcel_id", F.lit(True).alias("_in"))
-    joined = scored.select("parcel_id", "arv_estimate").join(in_view, "parcel_id", "left")
-    return joined.agg(
-        F.count("*").alias("parcels"), F.count("arv_estimate").alias("with_arv"), F.count("_in").alias("in_view")
+    return scored.agg(
+        F.count("*").alias("parcels"),
+        F.count("arv_estimate").alias("with_arv"),
+        F.count_if(in_view(**controls)).alias("in_view"),
     )
 
 
