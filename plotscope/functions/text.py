@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Text accepted as a number: optional sign, digits, optional fraction and exponent.
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def strip(c: Column) -> Column:
@@ -21,8 +21,7 @@ def clean_text(c: Column) -> Column:
 
 def to_number(c: Column) -> Column:
     """Text to double; anything that is not a plain finite number becomes null."""
-    text = strip(c)
-    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    return F.when(c.rlike(_NUMBER), c.try_cast("double"))
 
 
 def zip5(c: Column) -> Column:

@@ -2,8 +2,8 @@
 
 Matching a subject with every comp of its neighbourhood as joined rows would grow with
 the square of the neighbourhood, so no pairs are emitted: Spark brings a bounded block of
-comps together with a bounded block of distinct lookups, and these helpers answer the
-lookups from the block.
+comps together with a bounded block of distinct lookups (both as Arrow tables), and these
+helpers answer the lookups from the block.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 
 NO_EXCLUSION = ""
 
@@ -36,8 +37,8 @@ def without_outliers(values: np.ndarray, multiplier: float) -> np.ndarray:
     reach = q3 - q1
     if reach <= 0:
         return values
-    start = np.searchsorted(values, q1 - multiplier * reach, "left")
-    stop = np.searchsorted(values, q3 + multiplier * reach, "right")
+    start = values.searchsorted(q1 - multiplier * reach, "left")
+    stop = values.searchsorted(q3 + multiplier * reach, "right")
     return values[start:stop]
 
 
@@ -48,35 +49,39 @@ def summary(values: np.ndarray) -> tuple:
     return len(values), quantile(values, 0.5), quantile(values, 0.25), quantile(values, 0.75)
 
 
+def array(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()
+
+
+def _exclusions(lookups: pa.Table, comps: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Parcel codes of the comps, and the code each lookup leaves out (-1 for none)."""
+    parcels = comps.column("parcel_id").combine_chunks().dictionary_encode()
+    left_out = pc.fill_null(pc.index_in(lookups.column("excluded"), parcels.dictionary), -1)
+    return parcels.indices.to_numpy(), left_out.to_numpy()
+
+
 def matches(
-    lookups: pd.DataFrame, comps: pd.DataFrame, area_tolerance: float, year_tolerance: int
+    lookups: pa.Table, comps: pa.Table, area_tolerance: float, year_tolerance: int
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each lookup: its row position, the sorted prices of matching comps, and
     the value tercile of each.
 
     The block is sorted by price once; lookups of one area, and of one year within
-    it, share their comp mask.
+    it, share their comp selection.
     """
-    comps = comps.sort_values("psf", kind="stable")
-    area, year = comps["living_area"].to_numpy(float), comps["year_built"].to_numpy(float)
-    psf, tercile = comps["psf"].to_numpy(float), comps["tercile"].to_numpy(int)
-    excluded = lookups["excluded"].to_numpy()
-    codes = known = None
-    if (excluded != NO_EXCLUSION).any():
-        codes, ids = pd.factorize(comps["parcel_id"])
-        known = {name: code for code, name in enumerate(ids)}
-    for a, same_area in lookups.groupby("living_area", sort=False):
-        near = np.flatnonzero((area >= a * (1 - area_tolerance)) & (area <= a * (1 + area_tolerance)))
-        near_year = year[near]
-        for y, positions in same_area.groupby("year_built", sort=False).indices.items():
+    comps = comps.sort_by("psf")
+    area, year, psf = (array(comps, c) for c in ("living_area", "year_built", "psf"))
+    tercile = array(comps, "tercile").astype(np.int8)
+    owner, left_out = _exclusions(lookups, comps)
+    areas, years = array(lookups, "living_area"), array(lookups, "year_built")
+    last_area = last_year = None
+    for row in np.lexsort((years, areas)):
+        a, y = areas[row], years[row]
+        if a != last_area:
+            near = np.flatnonzero((area >= a * (1 - area_tolerance)) & (area <= a * (1 + area_tolerance)))
+            near_year, last_area, last_year = year[near], a, None
+        if y != last_year:
             found = near[(near_year >= y - year_tolerance) & (near_year <= y + year_tolerance)]
-            prices, bands = psf[found], tercile[found]
-            own = codes[found] if codes is not None else None
-            rows = same_area.index.to_numpy()[positions]
-            for row in rows:
-                code = known.get(excluded[row]) if excluded[row] != NO_EXCLUSION else None
-                if code is None:
-                    yield row, prices, bands
-                else:
-                    keep = own != code
-                    yield row, prices[keep], bands[keep]
+            last_year = y
+        kept = found if left_out[row] < 0 else found[owner[found] != left_out[row]]
+        yield row, psf[kept], tercile[kept]

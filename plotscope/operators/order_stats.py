@@ -19,6 +19,7 @@ import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _BINS_PER_OCTAVE = 1024
 _ONE_TASK_ROWS = 2_000_000
@@ -89,26 +90,32 @@ def exact_quantiles(
     probs: Mapping[str, float],
     few_groups: bool = False,
     rows: int | None = None,
+    total: str | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles per group: keys, n (non-null rows), one column
-    per name in ``probs``. Groups without any non-null value yield no row."""
+    per name in ``probs``. Groups without any non-null value yield no row, unless
+    ``total`` names a column for the count of all rows: then every group is kept."""
     k = _names(keys)
+    if total and not fits_one_task(rows):
+        totals = df.groupBy(*keys).agg(F.count("*").alias(total))
+        return totals.join(exact_quantiles(df, keys, value, probs, few_groups, rows), list(keys), "left")
     ranks = {}
     for name, p in probs.items():
         ranks[f"{name}_lo"] = f"floor({p!r}D * (n - 1))"
         ranks[f"{name}_hi"] = f"least(floor({p!r}D * (n - 1)) + 1, n - 1)"
     if fits_one_task(rows):
-        ends = ", ".join(f"v[CAST({r} AS INT)] AS `{name}`" for name, r in ranks.items())
+        ends = ", ".join(f"get(v, CAST({r} AS INT)) AS `{name}`" for name, r in ranks.items())
         found = f"""
-            lists AS (SELECT {k}, array_sort(collect_list(`{value}`)) AS v, count(`{value}`) AS n FROM {{df}} GROUP BY {k}),
-            ends AS (SELECT {k}, n, {ends} FROM lists WHERE n > 0)"""
+            lists AS (SELECT {k}, array_sort(collect_list(`{value}`)) AS v, count(`{value}`) AS n, count(*) AS every
+                FROM {{df}} GROUP BY {k}),
+            ends AS (SELECT {k}, n, every, {ends} FROM lists{"" if total else " WHERE n > 0"})"""
     else:
         ends = ", ".join(f"max(CASE WHEN {_hit([r])} THEN v END) AS `{name}`" for name, r in ranks.items())
         found = f"""{_placed_values(k, f"`{value}`", list(ranks.values()), few_groups)},
             ends AS (SELECT {k}, max(n) AS n, {ends} FROM placed GROUP BY {k})"""
     query = f"""
         WITH {found}
-        SELECT {k}, n, {", ".join(_quantile(name, p) for name, p in probs.items())} FROM ends"""
+        SELECT {k}, n, {f"every AS `{total}`, " if total else ""}{", ".join(_quantile(name, p) for name, p in probs.items())} FROM ends"""
     return df.sparkSession.sql(query, df=df)
 
 

@@ -7,7 +7,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +26,7 @@ cloudpickle.register_pickle_by_value(comp_stats)
 
 # All subjects with these values in common have the same comps.
 LOOKUP_KEY = ["as_of", "nbrhd_cd", "living_area", "year_built", "tercile", "excluded"]
+_FEW_SUBJECTS = 200_000
 _STATS = ["n", "median", "q1", "q3"]
 _STATS_SCHEMA = ", ".join(
     f"{prefix}_n bigint, {prefix}_median double, {prefix}_q1 double, {prefix}_q3 double" for prefix in ("all", "band")
@@ -106,44 +107,39 @@ def _tercile(value, cut1, cut2):
 def _pool_profile(pool: DataFrame, settings: ValuationSettings, rows: int) -> DataFrame:
     """Per date and neighbourhood: comps and, where banding applies, tercile cuts."""
     keys = ["as_of", "nbrhd_cd"]
-    sizes = pool.groupBy(*keys).agg(F.count("*").alias("pool_size"))
-    low, high = settings.tercile_cuts
     if not settings.value_band:
-        return sizes.withColumns({"cut1": F.lit(None).cast("double"), "cut2": F.lit(None).cast("double")}).withColumn(
-            "banded", F.lit(False)
-        )
-    cuts = exact_quantiles(pool, keys, "just_value", {"cut1": low, "cut2": high}, rows=rows).drop("n")
-    return sizes.join(cuts, keys, "left").withColumn("banded", F.col("pool_size") >= settings.min_band_pool)
+        none = F.lit(None).cast("double")
+        sizes = pool.groupBy(*keys).agg(F.count("*").alias("pool_size"))
+        return sizes.withColumns({"cut1": none, "cut2": none, "banded": F.lit(False)})
+    low, high = settings.tercile_cuts
+    cuts = exact_quantiles(pool, keys, "just_value", {"cut1": low, "cut2": high}, rows=rows, total="pool_size")
+    return cuts.drop("n").withColumn("banded", F.col("pool_size") >= settings.min_band_pool)
 
 
-def _block_summaries(settings: ValuationSettings):
+def _block_summaries(settings: ValuationSettings, keys: list[str]):
     area_tol, year_tol, multiplier = settings.area_tolerance, settings.year_tolerance, settings.iqr_multiplier
-    keys, stats = LOOKUP_KEY, _STATS
-
-    def answer(lookups: pd.DataFrame, comps: pd.DataFrame) -> pd.DataFrame:
-        columns = [*keys, *[f"{p}_{s}" for p in ("all", "band") for s in stats]]
-        if lookups.empty:
-            return pd.DataFrame(columns=columns)
-        lookups = lookups.reset_index(drop=True)
-        wanted = lookups["tercile"].to_numpy()
-        results = [None] * len(lookups)
+    stats = _STATS
+
+    def answer(lookups: pa.Table, comps: pa.Table) -> pa.Table:
+        wanted = comp_stats.array(lookups, "tercile")
+        results = [(0, None, None, None) * 2] * len(wanted)
         for row, prices, bands in comp_stats.matches(lookups, comps, area_tol, year_tol):
             whole = comp_stats.summary(comp_stats.without_outliers(prices, multiplier))
             inside = prices[bands == wanted[row]] if wanted[row] >= 0 else prices[:0]
             results[row] = whole + comp_stats.summary(comp_stats.without_outliers(inside, multiplier))
-        answers = pd.DataFrame(results, columns=columns[len(keys):])
-        return pd.concat([lookups[keys], answers], axis=1)
+        found = lookups.select(keys)
+        for i, name in enumerate(f"{prefix}_{s}" for prefix in ("all", "band") for s in stats):
+            kind = pa.int64() if name.endswith("_n") else pa.float64()
+            found = found.append_column(name, pa.array([r[i] for r in results], kind))
+        return found
 
     return answer
 
 
-def _lookup_schema(lookups: DataFrame) -> str:
-    return ", ".join(f"{c} {lookups.schema[c].dataType.simpleString()}" for c in LOOKUP_KEY)
-
-
 def _direct(lookups: DataFrame, pool: DataFrame, settings: ValuationSettings) -> DataFrame:
     """Neighbourhood pools that fit one task: one pass per block of lookups. The pool is
     repeated for as many blocks as the lookups of the neighbourhood need."""
+    schema = ", ".join(f"{c} {kind}" for c, kind in lookups.dtypes)
     keys = ["as_of", "nbrhd_cd"]
     blocks = (
         lookups.groupBy(*keys)
@@ -158,7 +154,7 @@ def _direct(lookups: DataFrame, pool: DataFrame, settings: ValuationSettings) ->
     return (
         asked.groupBy(*by)
         .cogroup(offered.groupBy(*by))
-        .applyInPandas(_block_summaries(settings), f"{_lookup_schema(lookups)}, {_STATS_SCHEMA}")
+        .applyInArrow(_block_summaries(settings, lookups.columns), f"{schema}, {_STATS_SCHEMA}")
     )
 
 
@@ -201,29 +197,31 @@ def _sliced(lookups: DataFrame, pool: DataFrame, settings: ValuationSettings) ->
 
     area_tol, year_tol = settings.area_tolerance, settings.year_tolerance
 
-    def selected(prices, bands, lookup):
-        if lookup.band >= 0:
-            prices = prices[bands == lookup.band]
-        start = np.searchsorted(prices, lookup.low, "left")
-        return prices[start : np.searchsorted(prices, lookup.high, "right")]
-
-    def count_matches(asked_part: pd.DataFrame, comps: pd.DataFrame) -> pd.DataFrame:
-        asked_part = asked_part.reset_index(drop=True)
-        rows = list(asked_part.itertuples(index=False))
-        found = [
-            (rows[i].lookup, rows[i].slice, len(selected(prices, bands, rows[i])))
-            for i, prices, bands in comp_stats.matches(asked_part, comps, area_tol, year_tol)
-        ]
-        return pd.DataFrame(found, columns=["lookup", "slice", "found"])
-
-    def pick_values(asked_part: pd.DataFrame, comps: pd.DataFrame) -> pd.DataFrame:
-        asked_part = asked_part.reset_index(drop=True)
-        rows = list(asked_part.itertuples(index=False))
-        picked = []
+    def selections(asked_part: pa.Table, comps: pa.Table):
+        """Row position and the matches in [low, high] of the lookup's set."""
+        band, low, high = (comp_stats.array(asked_part, c) for c in ("band", "low", "high"))
         for i, prices, bands in comp_stats.matches(asked_part, comps, area_tol, year_tol):
-            values = selected(prices, bands, rows[i])
-            picked += [(rows[i].lookup, w["label"], values[w["rank"]]) for w in rows[i].wanted]
-        return pd.DataFrame(picked, columns=["lookup", "label", "value"])
+            if band[i] >= 0:
+                prices = prices[bands == band[i]]
+            start = prices.searchsorted(low[i], "left")
+            yield i, prices[start : prices.searchsorted(high[i], "right")]
+
+    def count_matches(asked_part: pa.Table, comps: pa.Table) -> pa.Table:
+        found = np.zeros(asked_part.num_rows, dtype=np.int64)
+        for i, prices in selections(asked_part, comps):
+            found[i] = len(prices)
+        return asked_part.select(["lookup", "slice"]).append_column("found", pa.array(found))
+
+    def pick_values(asked_part: pa.Table, comps: pa.Table) -> pa.Table:
+        lookup, wanted = asked_part.column("lookup").to_pylist(), asked_part.column("wanted").to_pylist()
+        picked = [
+            (lookup[i], w["label"], prices[w["rank"]])
+            for i, prices in selections(asked_part, comps)
+            for w in wanted[i]
+        ]
+        columns = [list(c) for c in zip(*picked)] if picked else [[], [], []]
+        kinds = (pa.int64(), pa.string(), pa.float64())
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("lookup", "label", "value"), columns, kinds)})
 
     def quartiles(bounded: DataFrame) -> DataFrame:
         """lookup, n, q1, median, q3 of the matches with price in [low, high]."""
@@ -231,7 +229,7 @@ def _sliced(lookups: DataFrame, pool: DataFrame, settings: ValuationSettings) ->
         counts = materialize(
             spread_out.groupBy(*by)
             .cogroup(offered.groupBy(*by))
-            .applyInPandas(count_matches, "lookup bigint, slice int, found bigint")
+            .applyInArrow(count_matches, "lookup bigint, slice int, found bigint")
             .filter("found > 0")
         )
         running = F.sum("found").over(Window.partitionBy("lookup").orderBy("slice"))
@@ -249,7 +247,7 @@ def _sliced(lookups: DataFrame, pool: DataFrame, settings: ValuationSettings) ->
             bounded.join(tasks, "lookup")
             .groupBy(*by)
             .cogroup(offered.groupBy(*by))
-            .applyInPandas(pick_values, "lookup bigint, label string, value double")
+            .applyInArrow(pick_values, "lookup bigint, label string, value double")
         )
         wide = values.groupBy("lookup").agg(
             *[F.max(F.when(F.col("label") == k, F.col("value"))).alias(k) for k, _ in ranks]
@@ -315,13 +313,18 @@ def comp_statistics(subjects: DataFrame, pool: DataFrame, settings: ValuationSet
         .join(own, ["as_of", "nbrhd_cd", "parcel_id"], "left")
         .withColumns({"tercile": tercile, "excluded": F.coalesce("excluded", F.lit(comp_stats.NO_EXCLUSION))})
     )
-    asked = materialize(asked.select("parcel_id", "pool_size", *LOOKUP_KEY))
+    asked, asked_rows = materialize_counted(asked.select("parcel_id", "pool_size", *LOOKUP_KEY))
 
     # Unless all comps together fit one task, a cheap pass over the stored subjects tells
     # whether any single pool outgrows it.
     largest = pool_rows
     if largest > settings.max_block_comps:
         largest = asked.agg(F.max("pool_size")).first()[0] or 0
+    if largest <= settings.max_block_comps and asked_rows <= _FEW_SUBJECTS:
+        # Too few subjects for alike ones to matter: each is its own lookup.
+        answers = _direct(asked.filter("pool_size > 0").drop("pool_size"), pool, settings)
+        without = asked.filter("pool_size IS NULL").drop("pool_size")
+        return answers.unionByName(without, allowMissingColumns=True)
     lookups = asked.filter("pool_size > 0").select(*LOOKUP_KEY, "pool_size").distinct()
     if largest <= settings.max_block_comps:
         answers = _direct(lookups.drop("pool_size"), pool, settings)

@@ -53,7 +53,7 @@ class ValuationSettings:
     confidence_max_dispersion_pct: float = 30.0
     # A task never holds more than this many comps or answers more lookups.
     max_block_comps: int = 200_000
-    max_block_lookups: int = 2_000
+    max_block_lookups: int = 1_000
 
 
 AS_OF_SETTINGS = ValuationSettings()

@@ -250,7 +250,7 @@ def test_no_pairs_are_joined(spark, random_case):
     df = V.estimate(subjects(spark, parcels), pool(spark, comps), AS_OF_SETTINGS)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan and "SinglePartition" not in plan
-    assert "FlatMapCoGroupsInPandas" in plan
+    assert "FlatMapCoGroupsInArrow" in plan
 
 
 def test_result_is_the_same_without_broadcasts(spark, random_case):
