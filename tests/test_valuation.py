@@ -23,10 +23,6 @@ def pool(spark, data):
     return spark.createDataFrame([(D, *r) for r in data], SUBJECT + ", psf double")
 
 
-def one(spark, subject, comps, settings=AS_OF_SETTINGS):
-    return V.estimate(subjects(spark, [subject]), pool(spark, comps), settings).first()
-
-
 # -- brute force, straight from the definitions -------------------------------------------
 
 
@@ -101,7 +97,7 @@ def test_matches_brute_force(spark, random_case):
     assert any(v[3] for v in expected.values()) and any(v[0] is None for v in expected.values())
 
 
-@pytest.mark.parametrize("comps_per_task, lookups_per_task", [(60, 2000), (37, 25), (400, 7), (10_000, 11)])
+@pytest.mark.parametrize("comps_per_task, lookups_per_task", [(60, 2000), (37, 25), (10_000, 11)])
 def test_blocks_and_slices_change_nothing(spark, random_case, comps_per_task, lookups_per_task):
     parcels, comps = random_case
     small = dataclasses.replace(AS_OF_SETTINGS, max_block_comps=comps_per_task, max_block_lookups=lookups_per_task)
@@ -116,69 +112,91 @@ def test_without_band(spark, random_case):
         assert as_dict(V.estimate(subjects(spark, parcels), pool(spark, comps), settings)) == expected
 
 
-# -- one rule at a time ------------------------------------------------------------------------
-
-SUBJ = ("s", "n", 1000.0, 1980.0, 1.0)
+# -- one rule at a time, each in a neighbourhood of its own --------------------------------------
 
 
 def same(n, psf=100.0, **change):
-    base = {"pid": "c", "nb": "n", "area": 1000.0, "yb": 1980.0, "jv": 1.0} | change
+    base = {"pid": "c", "nb": None, "area": 1000.0, "yb": 1980.0, "jv": 1.0} | change
     return [(f"{base['pid']}{i}", base["nb"], base["area"], base["yb"], base["jv"], psf) for i in range(n)]
 
 
-@pytest.mark.parametrize(
-    "change, counted",
-    [
-        ({"area": 800.0}, 6), ({"area": 799.0}, 5), ({"area": 1200.0}, 6), ({"area": 1201.0}, 5), ({"yb": 1965.0}, 6),
-        ({"yb": 1995.0}, 6), ({"yb": 1964.0}, 5), ({"nb": "other"}, 5), ({"nb": None}, 5),
-    ],
-)
-def test_matching_bounds(spark, change, counted):
-    assert one(spark, SUBJ, same(5) + same(1, pid="x", **change)).arv_comp_count == counted
+def spread_out(values):
+    return [c for i, v in enumerate(values) for c in same(1, float(v), pid=f"v{i}")]
+
+
+BOUNDS = {
+    "area x0.8": ({"area": 800.0}, 6), "area below": ({"area": 799.0}, 5), "area x1.2": ({"area": 1200.0}, 6),
+    "area above": ({"area": 1201.0}, 5), "year -15": ({"yb": 1965.0}, 6), "year +15": ({"yb": 1995.0}, 6),
+    "year before": ({"yb": 1964.0}, 5), "year after": ({"yb": 1996.0}, 5), "elsewhere": ({"nb": "other"}, 5),
+}
+BAND = {"band": (5, 0, 15, True), "thin band": (4, 1, 15, False), "small pool": (5, 0, 14, False)}
 
 
-def test_own_sale_is_no_comp(spark):
-    own = [("s", "n", 1000.0, 1980.0, 1.0, 100.0)]
-    assert one(spark, SUBJ, same(5) + own).arv_comp_count == 5
+def _band_case(near, far, pool_size):
+    """The own tercile needs 5 matching comps and the neighbourhood 15 in all."""
+    mine = same(near, 100.0, pid="m", jv=1.0) + same(far, 100.0, pid="far", jv=1.0, area=5000.0)
+    return mine + [c for i in range(pool_size - 5) for c in same(1, 60.0 + 10 * i, pid=f"w{i}", jv=50.0 + i)]
+
 
+CASES = {name: same(5) + same(1, pid="x", **change) for name, (change, _) in BOUNDS.items()}
+CASES |= {name: _band_case(*case[:3]) for name, case in BAND.items()}
+CASES |= {
+    "own sale": same(5) + [("own sale", None, 1000.0, 1980.0, 1.0, 100.0)],
+    "four": same(4),
+    "seven": same(7),
+    "eight": same(8),
+    "no trim": same(8) + same(1, 900.0, pid="x"),  # the quartiles coincide
+    "outlier": spread_out([90, 95, 100, 105, 110]) + same(1, 900.0, pid="x"),
+    "on the fence": spread_out([100, 100, 100, 110, 110, 125]),  # quartiles 100 and 110, so the fence is 125
+    "equal dispersion": same(10, jv=1.0) + same(10, pid="d", jv=9.0),
+    "no year": same(5) + same(1, pid="x", yb=None),
+}
 
-def test_null_neighbourhood_has_no_comps(spark):
-    got = one(spark, ("s", None, 1000.0, 1980.0, 1.0), same(9, nb=None))
-    assert (got.arv_comp_count, got.arv_estimate) == (0, None)
+
+@pytest.fixture(scope="module")
+def ruled(spark):
+    asked = [(name, name, 1000.0, 1980.0, 1.0) for name in CASES] + [("nowhere", None, 1000.0, 1980.0, 1.0)]
+    comps = [(f"{name}:{c[0]}" if c[0] != name else c[0], c[1] or name, *c[2:]) for name, v in CASES.items() for c in v]
+    comps += [(f"n{i}", None, 1000.0, 1980.0, 1.0, 100.0) for i in range(9)]
+    got = V.estimate(subjects(spark, asked), pool(spark, comps), AS_OF_SETTINGS)
+    return {r.parcel_id: r for r in got.collect()}
 
 
-def test_minimum_count_is_still_reported(spark):
-    got = one(spark, SUBJ, same(4))
+def test_matching_bounds(ruled):
+    assert {name: ruled[name].arv_comp_count for name in BOUNDS} == {name: n for name, (_, n) in BOUNDS.items()}
+
+
+def test_own_sale_is_no_comp(ruled):
+    assert ruled["own sale"].arv_comp_count == 5 and ruled["no year"].arv_comp_count == 5
+
+
+def test_null_neighbourhood_has_no_comps(ruled):
+    assert (ruled["nowhere"].arv_comp_count, ruled["nowhere"].arv_estimate) == (0, None)
+
+
+def test_minimum_count_is_still_reported(ruled):
+    got = ruled["four"]
     assert (got.arv_estimate, got.arv_comp_count, got.high_confidence) == (None, 4, False)
 
 
-def test_trim(spark):
-    flat = one(spark, SUBJ, same(8) + same(1, 900.0, pid="x"))  # quartiles coincide: nothing is trimmed
-    assert flat.arv_comp_count == 9
-    spread_out = [c for i, v in enumerate([90, 95, 100, 105, 110]) for c in same(1, float(v), pid=f"v{i}")]
-    assert one(spark, SUBJ, spread_out + same(1, 900.0, pid="x")).arv_comp_count == 5
-    # quartiles 100 and 110, so 125 lies exactly on the upper fence
-    edge = [c for i, v in enumerate([100, 100, 100, 110, 110, 125]) for c in same(1, float(v), pid=f"v{i}")]
-    q1, q3 = np.percentile([100, 100, 100, 110, 110, 125], [25, 75])
-    assert q3 + 1.5 * (q3 - q1) == 125 and one(spark, SUBJ, edge).arv_comp_count == 6
+def test_trim(ruled):
+    assert [ruled[c].arv_comp_count for c in ("no trim", "outlier", "on the fence")] == [9, 5, 6]
 
 
-@pytest.mark.parametrize("near, far, pool_size, banded", [(5, 0, 15, True), (4, 1, 15, False), (5, 0, 14, False)])
-def test_band_gate(spark, near, far, pool_size, banded):
-    """The own tercile needs 5 matching comps and the neighbourhood 15 in all."""
-    mine = same(near, 100.0, pid="m", jv=1.0) + same(far, 100.0, pid="far", jv=1.0, area=5000.0)
-    wide = [c for i in range(pool_size - 5) for c in same(1, 60.0 + 10 * i, pid=f"w{i}", jv=50.0 + i)]
-    got = one(spark, SUBJ, mine + wide)
-    assert got.used_value_band is banded
+def test_band_gate(ruled):
+    assert {name: ruled[name].used_value_band for name in BAND} == {name: case[3] for name, case in BAND.items()}
+    assert ruled["equal dispersion"].used_value_band is False
 
 
-def test_equal_dispersion_keeps_the_whole_set(spark):
-    assert one(spark, SUBJ, same(10, jv=1.0) + same(10, pid="d", jv=9.0)).used_value_band is False
+def test_confidence_gate(ruled):
+    assert [ruled[c].high_confidence for c in ("seven", "eight")] == [False, True]
 
 
-def test_confidence_gate(spark):
-    assert one(spark, SUBJ, same(7)).high_confidence is False
-    assert one(spark, SUBJ, same(8)).high_confidence is True
+def test_alike_subjects_share_a_lookup(spark, random_case, monkeypatch):
+    """The path for large subject tables, where lookups are made distinct first."""
+    parcels, comps = random_case
+    monkeypatch.setattr(V, "_FEW_SUBJECTS", 0)
+    assert as_dict(V.estimate(subjects(spark, parcels), pool(spark, comps), AS_OF_SETTINGS)) == brute(parcels, comps)
 
 
 # -- index and windows ----------------------------------------------------------------------------
