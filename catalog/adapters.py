@@ -25,10 +25,11 @@ _stored: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Derived source tables are written once per session and folder, then scanned."""
+    """Derived source tables are written once per session and folder, then scanned. They
+    are spread over several files, as a real table would be; the driver's are one each."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _stored:
-        _stored[key] = materialize(build())
+        _stored[key] = materialize(build().repartition(spark.sparkContext.defaultParallelism))
     return _stored[key]
 
 

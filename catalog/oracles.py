@@ -699,6 +699,8 @@ ORACLES: dict[str, str] = {
                 round(avg(error) * 100, 6) AS mean, round(avg(coalesce(error <= 0.1, false)::INTEGER) * 100, 6) AS w10,
                 round(avg(coalesce(error <= 0.2, false)::INTEGER) * 100, 6) AS w20
             FROM error_bands GROUP BY as_of, version, band""",
+        "guard_leaky_rows": """SELECT sale_date, count(*) AS n FROM events
+            WHERE sale_date >= DATE '2000-01-01' AND sale_date <= DATE '2000-02-01' GROUP BY sale_date""",
         "leaky_vs_fixed": f"""
             SELECT f.as_of, round(f.level, 6) AS fixed_level, round(l.level, 6) AS leaky_level,
                 round(m.median_psf, 6) AS prior_year_median, round((l.level / f.level - 1) * 100, 6) AS overstated_pct,

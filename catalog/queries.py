@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from catalog import adapters as A
 from plotscope.functions.dates import month_start
 from plotscope.functions.text import normalize_address, to_number, zip5
-from plotscope.operators import accuracy, evaluation, flips, index, parcels, sales, scoring, signals, stability, valuation
+from plotscope.operators import evaluation, flips, guard, index, parcels, sales, scoring, signals, stability, valuation
 from plotscope.operators.order_stats import percent_rank_average
 from plotscope.params import AS_OF_SETTINGS, COARSE_DISPERSION, COARSE_MIN_SALES
 from plotscope.plans import backtest, leakage, screen
@@ -578,6 +578,21 @@ def leaky_vs_fixed(spark, d):
     return rounded(index.compare_index_levels(_events(spark, d), DATES))
 
 
+@query
+def guard_leaky_rows(spark, d):
+    """What the guard catches in a pool that reaches a month past the date, per month."""
+    date = DATES[-1]
+    pool = _events(spark, d).filter(F.col("sale_date") <= F.add_months(F.lit(date), 1))
+    return guard.late_rows(pool, date).groupBy("sale_date").agg(F.count("*").alias("n"))
+
+
+@query
+def seeded_sample(spark, d):
+    """A reproducible sample of exactly 1000 subjects (or all, if fewer)."""
+    sample = leakage.seeded_sample(parcels.subjects_as_of(A.snapshots(spark, d), DATES[:1]), 1000)
+    return sample.select("as_of", "parcel_id")
+
+
 @query
 def invariance(spark, d):
     return leakage.invariance(A.history(spark, d), A.snapshots(spark, d), DATES[-1])

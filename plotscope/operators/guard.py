@@ -12,11 +12,16 @@ class LookaheadError(AssertionError):
     """An as-of input holds rows dated on or after its as-of date."""
 
 
-def assert_no_lookahead(rows: DataFrame, as_of: dt.date, date_col: str = "sale_date") -> None:
-    """Check a whole input now; names up to five offending parcels."""
+def late_rows(rows: DataFrame, as_of: dt.date, date_col: str = "sale_date") -> DataFrame:
+    """The rows that may not feed an input of this date. Rows without a date may."""
     if date_col not in rows.columns:
         raise LookaheadError(f"column {date_col!r} is missing, so the input cannot be checked")
-    late = rows.filter(F.col(date_col) >= F.lit(as_of))
+    return rows.filter(F.col(date_col) >= F.lit(as_of))
+
+
+def assert_no_lookahead(rows: DataFrame, as_of: dt.date, date_col: str = "sale_date") -> None:
+    """Check a whole input now; names up to five offending parcels."""
+    late = late_rows(rows, as_of, date_col)
     n = late.count()
     if n:
         ids = "unknown"

@@ -89,9 +89,8 @@ def read_zips(
     if len({os.path.basename(p) for p in paths.values()}) < len(paths):
         raise ValueError("file names must differ")
     name = F.url_decode(F.element_at(F.split("path", "/"), -1))
+    # A file is never split, so every large zip is a scan task of its own; no shuffle.
     zips = files.select(F.element_at(by_name, name).alias("file_label"), "content")
-    # One task per zip: the content column holds a whole file.
-    zips = zips.repartition(len(paths), "file_label")
     raw = zips.mapInPandas(_unzip_rows(list(columns), member), text_schema([*columns, "file_label"]))
     return raw.select(*[clean_text(F.col(c)).alias(c) for c in columns], "file_label")
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plotscope.operators.parcels import PARCEL_COLUMNS
@@ -27,14 +26,11 @@ PARCEL_SCHEMA = T.StructType(
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Parquet sink. Partition columns are years or counties; rows are spread over a few
-    files per partition instead of one per task."""
-    writer = df
+    """Parquet sink. Rows are gathered per year or county so that each gets few files;
+    the rebalance hint lets adaptive execution split a large one over many tasks."""
     if partition_by:
-        # A salt keeps one large year or county from landing in a single task.
-        salt = F.pmod(F.xxhash64(*[c for c in df.columns if c not in partition_by][:3]), F.lit(16))
-        writer = df.repartition(*partition_by, salt)
-    writer.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+        df = df.hint("rebalance", *partition_by)
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
