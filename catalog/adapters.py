@@ -21,16 +21,16 @@ SCREEN_DATE = dt.date(2002, 1, 1)
 ASSESSMENT_YEAR = 2002
 VINTAGES = (1996, 2001)
 
-_stored: dict[tuple[str, str, str], DataFrame] = {}
+_tables: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """Derived source tables are written once per session and folder, then scanned. They
     are spread over several files, as a real table would be; the driver's are one each."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _stored:
-        _stored[key] = materialize(build().repartition(spark.sparkContext.defaultParallelism))
-    return _stored[key]
+    if key not in _tables:
+        _tables[key] = materialize(build().repartition(spark.sparkContext.defaultParallelism))
+    return _tables[key]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,7 +89,7 @@ def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
             "sale_year + 1 - back AS source_year",
         )
 
-    return _once(spark, sf_dir, "raw_sales", build)
+    return stored(spark, sf_dir, "raw_sales", build)
 
 
 _OWNER_COLUMNS = [
@@ -125,7 +125,7 @@ def raw_rolls(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = table(spark, sf_dir, "part").select("*", years)
         return rows.selectExpr(*_roll_columns("vintage_year"), *_OWNER_COLUMNS, "vintage_year")
 
-    return _once(spark, sf_dir, "raw_rolls", build)
+    return stored(spark, sf_dir, "raw_rolls", build)
 
 
 def stability_rolls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +138,7 @@ def stability_rolls(spark: SparkSession, sf_dir: str) -> DataFrame:
         parcel = f"CASE WHEN {changed} THEN concat('R', CAST(p_partkey AS STRING)) ELSE CAST(p_partkey AS STRING) END"
         return rows.selectExpr(f"{parcel} AS PARCEL_ID", _OWNER_COLUMNS[-1], _OWNER_COLUMNS[0], "vintage_year")
 
-    return _once(spark, sf_dir, "stability_rolls", build)
+    return stored(spark, sf_dir, "stability_rolls", build)
 
 
 def raw_county_roll(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,19 +177,19 @@ def raw_county_roll(spark: SparkSession, sf_dir: str) -> DataFrame:
             "CASE WHEN p_partkey % 3 = 0 THEN 'North' ELSE 'South' END AS county",
         )
 
-    return _once(spark, sf_dir, "raw_county_roll", build)
+    return stored(spark, sf_dir, "raw_county_roll", build)
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _once(spark, sf_dir, "history", lambda: sale_history(raw_sales(spark, sf_dir)))
+    return stored(spark, sf_dir, "history", lambda: sale_history(raw_sales(spark, sf_dir)))
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _once(spark, sf_dir, "snapshots", lambda: build_snapshots(raw_rolls(spark, sf_dir)))
+    return stored(spark, sf_dir, "snapshots", lambda: build_snapshots(raw_rolls(spark, sf_dir)))
 
 
 def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _once(
+    return stored(
         spark,
         sf_dir,
         "parcels",

@@ -42,7 +42,7 @@ def rounded(df: DataFrame, digits: int = 6, *columns: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    return A._once(spark, d, "events", lambda: valuation.comp_events(A.history(spark, d), A.snapshots(spark, d)))
+    return A.stored(spark, d, "events", lambda: valuation.comp_events(A.history(spark, d), A.snapshots(spark, d)))
 
 
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
@@ -50,13 +50,13 @@ def _subjects(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _valued(spark: SparkSession, d: str) -> DataFrame:
-    return A._once(
+    return A.stored(
         spark, d, "valued", lambda: backtest.valued_subjects(A.history(spark, d), A.snapshots(spark, d), DATES)
     )
 
 
 def _signals(spark: SparkSession, d: str) -> DataFrame:
-    return A._once(
+    return A.stored(
         spark, d, "signals", lambda: signals.owner_signals(_valued(spark, d), A.history(spark, d), DATES)
     )
 
@@ -66,18 +66,18 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
         composite = scoring.composite_score(_signals(spark, d))
         return signals.attach_outcomes(composite, A.history(spark, d), A.snapshots(spark, d), DATES)
 
-    return A._once(spark, d, "scored", build)
+    return A.stored(spark, d, "scored", build)
 
 
 def _screen_base(spark: SparkSession, d: str) -> DataFrame:
     def build() -> DataFrame:
         return screen.screen_base(A.parcels(spark, d), A.history(spark, d), A.snapshots(spark, d), A.SCREEN_DATE)
 
-    return A._once(spark, d, "screen_base", build)
+    return A.stored(spark, d, "screen_base", build)
 
 
 def _flip_results(spark: SparkSession, d: str) -> DataFrame:
-    return A._once(spark, d, "flip_results", lambda: flips.flip_backtest(A.parcels(spark, d)))
+    return A.stored(spark, d, "flip_results", lambda: flips.flip_backtest(A.parcels(spark, d)))
 
 
 # -- cleaning and row-wise derivations -----------------------------------------------

@@ -104,7 +104,7 @@ def _rates(counts: DataFrame) -> DataFrame:
 def evaluate_ranks(rows: DataFrame, row_bound: int | None = None) -> DataFrame:
     """Top tenth against bottom half of each cell, in the order value descending, tie
     ascending. The cut rows are found by exact selection, so a cell of any size is
-    counted in place: no cell is ever sorted or gathered in one task."""
+    counted in place; only where ``row_bound`` shows that a cell fits a task is it sorted."""
     if fits_one_task(row_bound):
         cell = Window.partitionBy(*CELL)
         place = F.row_number().over(cell.orderBy(F.col("value").desc(), "tie"))

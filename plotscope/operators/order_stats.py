@@ -178,7 +178,7 @@ def cut_points(
         WITH {_placed_values(k, f"-`{value}`", list(positions.values()), True, f", `{tie}` AS tie")},
         edges AS (SELECT {k}, v, w AS weight, n, cut, rank - below AS tie_rank FROM placed
             LATERAL VIEW inline(filter(array({wanted}), c -> c.rank >= below AND c.rank < below + w)) t AS cut, rank),
-        tied AS (SELECT /*+ BROADCAST(edges) */ {k}, cut, tie, {_bin("tie")} AS tie_bin, tie_rank
+        tied AS (SELECT /*+ BROADCAST(edges) */ {k}, cut, tie, {_bin("CAST(tie AS DOUBLE)")} AS tie_bin, tie_rank
             FROM data JOIN edges USING ({k}, v)),
         tie_histogram AS (SELECT {k}, cut, tie_bin, count(*) AS w, min(tie_rank) AS tie_rank
             FROM tied GROUP BY {k}, cut, tie_bin),
