@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotscope.llm import pii, secrets, token_tree, topk
+from plotscope.llm import mixing, packing, pii, secrets, token_tree, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,20 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(table(spark, sf_dir, "documents"))
+
+
+def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed; ids travel no further than their checksum."""
+    return pack_digest(table(spark, sf_dir, "documents"))
+
+
+def pack_digest(docs: DataFrame) -> DataFrame:
+    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.best_fit(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_digest(table(spark, sf_dir, "documents"))
 
@@ -51,6 +65,8 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_edit_token_counts": op1_edit_token_counts,
     "op2_pii": op2_pii,
+    "op4_pivotal_mix": op4_pivotal_mix,
+    "op5_best_fit": op5_best_fit,
     "op8_secrets": op8_secrets,
     "op10_top_k": op10_top_k,
 }
