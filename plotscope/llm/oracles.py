@@ -1,6 +1,28 @@
 """SQL twins of the queries that SQL can express, for DuckDB over the same tables."""
 
 ORACLES = {
+    "op9_jaccard": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 2),
+                    lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3]))) END AS s FROM words),
+        sized AS (SELECT doc_id, len(s) AS n FROM sets),
+        listed AS (SELECT doc_id, unnest(s) AS shingle FROM sets),
+        shared AS (
+            SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS overlap
+            FROM listed a JOIN listed b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        links AS (
+            SELECT u, v FROM shared JOIN sized x ON x.doc_id = u JOIN sized y ON y.doc_id = v
+            WHERE 100 * overlap >= 85 * (x.n + y.n - overlap)),
+        reached AS (
+            SELECT doc_id, doc_id AS other FROM sized
+            UNION SELECT r.doc_id, l.v FROM reached r JOIN links l ON l.u = r.other)
+        SELECT doc_id, CAST(any_value(n) AS BIGINT) AS n_shingles, min(other) AS component_id
+        FROM reached JOIN sized USING (doc_id) GROUP BY doc_id""",
     "op10_top_k": """
         WITH usable AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v FROM embeddings

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotscope.llm import mixing, packing, pii, secrets, token_tree, topk
+from plotscope.llm import jaccard, mixing, packing, pii, secrets, token_tree, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest rows, by integer inner product, of every fiftieth vector."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", topk.quantized(F.col("embedding")).alias("vector"))
@@ -68,5 +72,6 @@ QUERIES = {
     "op4_pivotal_mix": op4_pivotal_mix,
     "op5_best_fit": op5_best_fit,
     "op8_secrets": op8_secrets,
+    "op9_jaccard": op9_jaccard,
     "op10_top_k": op10_top_k,
 }
