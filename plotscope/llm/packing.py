@@ -10,8 +10,10 @@ are taken, the fullest bin closes.
 from __future__ import annotations
 
 import json
+import sys
+from array import array
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,13 +32,27 @@ END_ID = 1
 OPEN_BINS = 1024
 #: Pieces per lane: many enough that the bins still open at its end hardly count.
 LANE_PIECES = 16_384
-#: Chunks and words a worker remembers before it starts again.
-REMEMBERED = 300_000
+#: Chunks, and words, that a worker remembers before it starts again: some 100 MB each.
+REMEMBERED = 600_000
 
 #: Up to here letters have one code point in every normal form and lower-case alone.
 _PLAIN = "ƀ"
 
 
+class Remembered(dict):
+    """Answers of ``compute`` by argument; starts again when it has grown large."""
+
+    def __init__(self, compute: Callable):
+        self.compute = compute
+
+    def __missing__(self, asked):
+        answer = self.compute(asked)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[asked] = answer
+        return answer
+
+
 class WordTokenizer:
     """Token ids of whole texts, as little-endian 32-bit numbers.
 
@@ -47,43 +63,34 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are laid out as the machine's own unsigned 32-bit numbers")
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             split = json.load(file)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.split = regex.compile(split)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        names = [regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = regex.compile("|".join(names) or "(?!)")
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         shifted = [b for b in range(256) if b not in printable]
         self.byte_letters = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(shifted)}
-        self.chunks: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.chunks = Remembered(self._chunk)
+        self.words = Remembered(self._word)
 
     def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            letters = word.encode().decode("latin-1").translate(self.byte_letters)
-            ids = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            self.words[word] = ids
-        return ids
+        letters = word.encode().decode("latin-1").translate(self.byte_letters)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
 
     def _chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode()
-        if max(text) < _PLAIN and not any(s in text for s in self.special):
-            return b"".join([self._word(w) for w in self.split.findall(text.lower())])
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if max(text) < _PLAIN and not self.special.search(text):
+            words = self.words
+            return b"".join([words[w] for w in self.split.findall(text.lower())])
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str) -> bytes:
-        if len(self.chunks) >= REMEMBERED:
-            self.chunks.clear()
-        known, parts = self.chunks, []
-        for chunk in text.encode().split():
-            ids = known.get(chunk)
-            if ids is None:
-                ids = known[chunk] = self._chunk(chunk)
-            parts.append(ids)
-        return b"".join(parts)
+        chunks = self.chunks
+        return b"".join([chunks[c] for c in text.encode().split()])
 
 
 @lru_cache(maxsize=1)
