@@ -3,18 +3,81 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plotscope.llm import common, jaccard, mixing, quality, secrets
+from plotscope.llm.queries import pack_digest, table
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the classifier rejects. It learns from the labelled ones of
+    the raw documents outside the held-out fold."""
+    net = quality.train_on_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.keep_good(docs, net)
+
+
+#: Up to so many keys are broadcast to the documents; beyond, they are joined by shuffle.
+FEW_KEYS = 1_000_000
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies: the one whose key names the group.
+
+    Documents without words link with nothing and stay. Rows with a null key name no
+    group and stay. Of rows that agree in key and text one stays.
+    """
+    groups = common.cut_lineage(
+        jaccard.jaccard_components(docs)
+        .groupBy("doc_id")
+        .agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows"))
+    )
+    lead = groups.filter("doc_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("lead"))
+    if lead.count() <= FEW_KEYS:
+        lead = F.broadcast(lead)
+    kept = docs.join(lead, F.col("doc_id").eqNullSafe(F.col("lead")), "left_semi")
+    if groups.filter("rows > 1").isEmpty():
+        return kept
+    return kept.dropDuplicates(["doc_id", "text"])
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace every secret found; n_chars follows the text."""
+    clean = secrets.redact_secrets(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's target asks for."""
+    return mixing.mix_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_digest(docs)
+
 
 #: (name, function of (spark, docs, sf_dir)); all but the last return documents' columns.
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", keep_one_of_each),
+    ("secret scans", hide_secrets),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
 
 #: The learned stages have no SQL form; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over the documents. Each result is written once to the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            path = f"{common.shared_folder(spark)}/pipeline-{uuid4().hex}-{i}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs

@@ -46,6 +46,8 @@ CLASS_GROWTH = 1.4
 TILE = 2048
 #: Up to so many nodes a table of them is broadcast; beyond, it is joined by shuffle.
 FEW_NODES = 1_000_000
+#: The same for candidate pairs.
+FEW_PAIRS = 400_000
 SKETCH_BITS = 1024
 #: Sets a task remembers to post equal ones once.
 _SEEN = 1_000_000
@@ -204,19 +206,22 @@ def _lists(found: list[tuple]) -> pa.RecordBatch:
 
 
 def member_sets(docs: DataFrame, nodes: DataFrame, key: str, text: str, width: int, few: bool) -> DataFrame:
-    """name, n, sketch and elements (packed) of the nodes, each from one of its documents."""
+    """name, n, sketch and elements (packed) of the nodes, each from one of its documents. If
+    the rows of that document repeat, a task gives them once, but several tasks may."""
     picked = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        powers, seen = Powers(), set()
         for batch in batches:
-            rows = [
-                (set_name(e), len(e), sketch(e), e.tobytes(), k)
-                for k, e in zip(
-                    batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), width, powers), strict=True
-                )
-                if len(e)
-            ]
+            rows = []
+            texts = shingle_sets(batch.column(1).to_pylist(), width, powers)
+            for k, e in zip(batch.column(0).to_pylist(), texts, strict=True):
+                mark = (set_name(e), k)
+                if len(e) and mark not in seen:
+                    if len(seen) >= _SEEN:
+                        seen.clear()
+                    seen.add(mark)
+                    rows.append((mark[0], len(e), sketch(e), e.tobytes(), k))
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), batch.schema.field(0).type]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             arrays = [pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)]
@@ -255,7 +260,9 @@ def _verify(percent: int):
     return run
 
 
-def verified_links(pairs: DataFrame, sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
+def verified_links(
+    pairs: DataFrame, sets: DataFrame, percent: int, few_pairs: int = FEW_PAIRS, block: int = 256
+) -> DataFrame:
     """The pairs (u, v) that link. The candidates of a leader are checked in blocks, each of
     which gets the leader's set, so a leader with very many of them is spread over tasks."""
     dealt = pairs.distinct().withColumn("block", F.pmod(F.xxhash64("v"), F.lit(1 << 20)))
@@ -263,10 +270,11 @@ def verified_links(pairs: DataFrame, sets: DataFrame, percent: int, block: int =
     dealt = cut_lineage(
         dealt.join(size, "u").withColumn("block", F.expr(f"block % ((many + {block - 1}) div {block})")).drop("many")
     )
-    content = sets.select("name", "elements")
     members = dealt.select(F.col("u").alias("leader"), "block", F.col("v").alias("name"))
     leaders = dealt.select(F.col("u").alias("leader"), "block", F.col("u").alias("name")).distinct()
-    rows = members.union(leaders).join(content, "name").select("leader", "block", "name", "elements")
+    asked = members.union(leaders)
+    asked = F.broadcast(asked) if dealt.count() <= few_pairs else asked
+    rows = sets.select("name", "elements").join(asked, "name").select("leader", "block", "name", "elements")
     return rows.groupBy("leader", "block").applyInArrow(_verify(percent), "u BIGINT, v BIGINT")
 
 
@@ -320,13 +328,14 @@ def open_pairs(lists: DataFrame, labels: DataFrame, sets: DataFrame, percent: in
 
 
 def star_pairs(lists: DataFrame) -> DataFrame:
-    """Every member of a list with the member that shares most lists with most others."""
+    """Every set with one leader: of the members of its lists, the one that shares most
+    lists with most others. What this leaves out is compared later."""
     rows = lists.select("key", F.explode("members").alias("name"), F.size("members").alias("many"))
     weight = rows.groupBy("name").agg(F.sum("many").alias("weight"))
     rows = rows.select("key", "name").join(weight, "name")
     leader = rows.groupBy("key").agg(F.max(F.struct("weight", "name")).alias("lead"))
-    pairs = rows.join(leader, "key").select(F.col("lead.name").alias("u"), F.col("name").alias("v"))
-    return pairs.filter("u <> v").distinct()
+    best = rows.join(leader, "key").groupBy("name").agg(F.max("lead").alias("lead"))
+    return best.select(F.col("lead.name").alias("u"), F.col("name").alias("v")).filter("u <> v")
 
 
 def jaccard_components(
@@ -338,6 +347,7 @@ def jaccard_components(
     scan_cost: float = SCAN_COST,
     tile: int = TILE,
     few_nodes: int = FEW_NODES,
+    few_pairs: int = FEW_PAIRS,
 ) -> DataFrame:
     """Per document its key, n_shingles and component_id, the smallest key that links reach.
 
@@ -360,10 +370,10 @@ def jaccard_components(
     in_lists = lists.select(F.explode("members").alias("node")).distinct()
     nodes = cut_lineage(in_lists.join(first.withColumnRenamed("name", "node"), "node"))
     few = nodes.count() <= few_nodes
-    sets = cut_lineage(member_sets(docs, nodes, key, text, width, few).dropDuplicates(["name"]))
-    links = cut_lineage(verified_links(star_pairs(lists), sets, percent))
+    sets = cut_lineage(member_sets(docs, nodes, key, text, width, few))
+    links = cut_lineage(verified_links(star_pairs(lists), sets, percent, few_pairs))
     labels = component_labels(links)
-    rest = verified_links(open_pairs(lists, labels, sets, percent), sets, percent)
+    rest = verified_links(open_pairs(lists, labels, sets, percent), sets, percent, few_pairs)
     labels = component_labels(links.union(cut_lineage(rest)))
     named = first.join(labels.withColumnRenamed("node", "name"), "name", "left")
     named = named.withColumn("label", F.coalesce("label", "name"))

@@ -24,6 +24,8 @@ WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
 #: Up to so many sources their table is broadcast; beyond, it is joined by shuffle.
 FEW_SOURCES = 10_000
+#: The same for the documents taken, in ``mix_documents``.
+FEW_KEYS = 1_000_000
 #: Equal rows are counted, and dealt out again in blocks of so many.
 _BLOCK = 4096
 #: Fractions this close to a whole number of copies count as whole.
@@ -197,8 +199,15 @@ def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", s
     names = docs.columns
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")).withColumn("key", F.xxhash64("row"))
     units = row.select("key", F.col(f"row.{source}").alias("source"), word_count(F.col(f"row.{text}")).alias("size"))
-    taken = pivotal_copies(units, seed=seed).groupBy("key").agg(F.sum("copies").alias("taken")).filter("taken > 0")
-    once = row.join(taken, "key").groupBy("key").agg(F.first("row").alias("row"), F.first("taken").alias("taken"))
+    copies = pivotal_copies(units, seed=seed).groupBy("key")
+    taken = cut_lineage(copies.agg(F.sum("copies").alias("taken"), F.count("*").alias("rows")))
+    several = not taken.filter("rows > 1").isEmpty()
+    taken = taken.filter("taken > 0").select("key", "taken")
+    if taken.count() <= FEW_KEYS:
+        taken = F.broadcast(taken)
+    once = row.join(taken, "key")
+    if several:
+        once = once.groupBy("key").agg(F.first("row").alias("row"), F.first("taken").alias("taken"))
     repeated = once.withColumn("block", F.explode(F.expr(f"sequence(0L, (taken - 1) div {_BLOCK})")))
     repeated = repeated.withColumn(
         "copy", F.explode(F.expr(f"sequence(block * {_BLOCK}, least(taken, (block + 1) * {_BLOCK}) - 1)"))

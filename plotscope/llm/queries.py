@@ -6,7 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotscope.llm import jaccard, mixing, packing, pii, secrets, token_tree, topk
+from plotscope.llm import edit_prints, jaccard, mixing, packing, pii, quality, secrets, token_tree, topk, url_templates
+
+# The rules that the URL verdicts are asked for with.
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +47,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
@@ -52,6 +65,16 @@ def pack_digest(docs: DataFrame) -> DataFrame:
     return packing.best_fit(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
+def op6_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = quality.train_on_sample(docs, table(spark, sf_dir, "labels"))
+    return quality.score_documents(docs, net)
+
+
+def op7_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_prints.edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_digest(table(spark, sf_dir, "documents"))
 
@@ -69,8 +92,11 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_edit_token_counts": op1_edit_token_counts,
     "op2_pii": op2_pii,
+    "op3_url_templates": op3_url_templates,
     "op4_pivotal_mix": op4_pivotal_mix,
     "op5_best_fit": op5_best_fit,
+    "op6_quality_cnn": op6_quality_cnn,
+    "op7_edit_fingerprints": op7_edit_fingerprints,
     "op8_secrets": op8_secrets,
     "op9_jaccard": op9_jaccard,
     "op10_top_k": op10_top_k,

@@ -66,7 +66,7 @@ def families(seed, many=60, sizes=(5, 8, 12, 16, 20, 40, 90, 200)):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize(("seed", "settings"), [(1, {}), (2, {"tile": 3}), (3, {"scan_cost": 0}), (4, {"few_nodes": 0, "tile": 5})])
+@pytest.mark.parametrize(("seed", "settings"), [(1, {}), (2, {"tile": 3}), (3, {"scan_cost": 0}), (4, {"few_nodes": 0, "few_pairs": 0, "tile": 5})])
 def test_components_match_brute_force(spark, seed, settings):
     rows = families(seed)
     assert run(spark, rows, **settings) == brute(rows)
