@@ -256,7 +256,7 @@ def near_classes(prints: DataFrame, least: float = 0.8, key: str = "doc_id") ->
     listed = first.filter("fingerprint <> ''").select("node", F.explode(bands).alias("band"))
     leader = listed.groupBy("band").agg(F.min("node").alias("u"))
     pairs = listed.join(leader, "band").filter("u <> node").select("u", F.col("node").alias("v")).distinct()
-    alike = F.udf(likeness, "double")
+    alike = F.udf(likeness, "double", useArrow=True)
     left, right = (first.select(F.col("node").alias(c), F.col("fingerprint").alias(f"f{c}")) for c in "uv")
     links = pairs.join(left, "u").join(right, "v").filter(alike("fu", "fv") >= least).select("u", "v")
     labels = component_labels(links)

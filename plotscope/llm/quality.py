@@ -105,7 +105,7 @@ def _filtered(net: Network, lay: Layout) -> tuple[np.ndarray, np.ndarray]:
 def _combine(net: Network, pooled: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
     """Scores from the pooled chunks; chunks of a document are adjacent."""
     chunks = np.bincount(doc, minlength=n)
-    mean, most = np.zeros((n, FILTERS), np.float32), np.zeros((n, FILTERS), np.float32)
+    mean, most = np.zeros((n, FILTERS), pooled.dtype), np.zeros((n, FILTERS), pooled.dtype)
     some = np.flatnonzero(chunks)
     if len(some):
         begin = np.cumsum(chunks) - chunks
@@ -181,7 +181,7 @@ def _gradients(net: Network, lay: Layout, wanted: np.ndarray) -> dict[str, np.nd
     back = error[lay.doc, None] * (net.mean / np.maximum(per_doc[lay.doc], 1)[:, None])
     top = pooled == most[lay.doc]
     back += error[lay.doc, None] * net.most * top
-    back = (back * (raw_pooled > 0)).astype(np.float32)
+    back = (back * (raw_pooled > 0)).astype(filtered.dtype)
     near, far, embed = np.zeros_like(net.near), np.zeros_like(net.far), np.zeros_like(net.embed)
     steps = lay.raw.reshape(-1, STEP)
     for f in range(FILTERS):
