@@ -179,8 +179,11 @@ def _gradients(net: Network, lay: Layout, wanted: np.ndarray) -> dict[str, np.nd
         "base": np.array([error.sum()], np.float32),
     }
     back = error[lay.doc, None] * (net.mean / np.maximum(per_doc[lay.doc], 1)[:, None])
-    top = pooled == most[lay.doc]
-    back += error[lay.doc, None] * net.most * top
+    # Overlapping chunks may hold the same maximum; the first of them gets its gradient.
+    chunk, f = np.nonzero(pooled == most[lay.doc])
+    first = np.full((n, FILTERS), chunks)
+    np.minimum.at(first, (lay.doc[chunk], f), chunk)
+    back += error[lay.doc, None] * net.most * (first[lay.doc] == np.arange(chunks)[:, None])
     back = (back * (raw_pooled > 0)).astype(filtered.dtype)
     near, far, embed = np.zeros_like(net.near), np.zeros_like(net.far), np.zeros_like(net.embed)
     steps = lay.raw.reshape(-1, STEP)
