@@ -24,7 +24,7 @@ def valuation_errors(
 
 
 def accuracy_by_band(
-    errors: DataFrame, keys: Sequence[str] = ("as_of", "version"), rows: int | None = None
+    errors: DataFrame, keys: Sequence[str] = ("as_of", "version")
 ) -> DataFrame:
     """Per key and confidence band: n, median and mean error, share within 10 and 20 %."""
     by = [*keys, "band"]
@@ -37,5 +37,5 @@ def accuracy_by_band(
         within(0.10).alias("w10"),
         within(0.20).alias("w20"),
     )
-    medians = exact_quantiles(banded, by, "error", {"median": 0.5}, few_groups=True, rows=rows).drop("n")
+    medians = exact_quantiles(banded, by, "error", {"median": 0.5}, few_groups=True).drop("n")
     return means.join(F.broadcast(medians), by, "left").withColumn("median", F.col("median") * 100.0)

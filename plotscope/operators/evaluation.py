@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotscope.functions.scores import two_proportion_z, two_sided_p
-from plotscope.operators.order_stats import average_rank, cut_points, exact_quantiles, fits_one_task
+from plotscope.operators.order_stats import average_rank, cut_points, exact_quantiles
 from plotscope.params import (
     COMPOSITE_WEIGHTS,
     MIN_DOLLAR_SPREAD,
@@ -101,27 +101,17 @@ def _rates(counts: DataFrame) -> DataFrame:
     )
 
 
-def evaluate_ranks(rows: DataFrame, row_bound: int | None = None) -> DataFrame:
+def evaluate_ranks(rows: DataFrame) -> DataFrame:
     """Top tenth against bottom half of each cell, in the order value descending, tie
     ascending. The cut rows are found by exact selection, so a cell of any size is
-    counted in place; only where ``row_bound`` shows that a cell fits a task is it sorted."""
-    if fits_one_task(row_bound):
-        cell = Window.partitionBy(*CELL)
-        place = F.row_number().over(cell.orderBy(F.col("value").desc(), "tie"))
-        placed = rows.select("*", place.alias("_place"), F.count("*").over(cell).alias("n"))
-        placed = placed.filter(F.col("n") >= MIN_RANK_ROWS)
-        top, bottom = F.expr("_place <= n div 10"), F.expr("_place > n - n div 2")
-        edge = F.max(F.when(F.expr("_place = n div 10"), F.col("value"))).over(cell)
-        placed = placed.withColumn("_edge", edge)
-        tied = F.count_if(F.col("value") == F.col("_edge"))
-    else:
-        positions = {"top": "n div 10 - 1", "bottom": "n - n div 2"}
-        cuts = cut_points(rows, CELL, "value", "tie", positions).filter(F.col("n") >= MIN_RANK_ROWS)
-        placed = rows.join(F.broadcast(cuts), CELL)
-        value, tie = F.col("value"), F.col("tie")
-        top = (value > F.col("top_value")) | ((value == F.col("top_value")) & (tie <= F.col("top_tie")))
-        bottom = (value < F.col("bottom_value")) | ((value == F.col("bottom_value")) & (tie >= F.col("bottom_tie")))
-        tied = F.max("top_weight")
+    counted in place."""
+    positions = {"top": "n div 10 - 1", "bottom": "n - n div 2"}
+    cuts = cut_points(rows, CELL, "value", "tie", positions).filter(F.col("n") >= MIN_RANK_ROWS)
+    placed = rows.join(F.broadcast(cuts), CELL)
+    value, tie = F.col("value"), F.col("tie")
+    top = (value > F.col("top_value")) | ((value == F.col("top_value")) & (tie <= F.col("top_tie")))
+    bottom = (value < F.col("bottom_value")) | ((value == F.col("bottom_value")) & (tie >= F.col("bottom_tie")))
+    tied = F.max("top_weight")
     counts = placed.groupBy(*CELL).agg(
         F.max("n").alias("n"),
         F.sum("hit").alias("hits"),
@@ -167,12 +157,11 @@ def evaluate_groups(pops: DataFrame) -> DataFrame:
 
 
 def evaluate(
-    scored: DataFrame, tie: Column | None = None, seed: int = TIE_BREAK_SEED, rows: int | None = None
+    scored: DataFrame, tie: Column | None = None, seed: int = TIE_BREAK_SEED
 ) -> DataFrame:
-    """The whole matrix, one row per as-of date, population, outcome and signal.
-    ``rows`` is the size of ``scored`` where known: no cell can be larger."""
+    """The whole matrix, one row per as-of date, population, outcome and signal."""
     pops = populations(scored)
-    return evaluate_ranks(rank_rows(pops, tie, seed), rows).unionByName(evaluate_groups(pops))
+    return evaluate_ranks(rank_rows(pops, tie, seed)).unionByName(evaluate_groups(pops))
 
 
 def with_verdict(results: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -184,7 +173,7 @@ def with_verdict(results: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 
 def component_diagnostic(
-    pops: DataFrame, components: Sequence[str] = tuple(COMPOSITE_WEIGHTS), rows: int | None = None
+    pops: DataFrame, components: Sequence[str] = tuple(COMPOSITE_WEIGHTS)
 ) -> DataFrame:
     """How much each component moves the composite, per date and population: sample
     deviation, quartile range, rank correlation with the composite, coverage."""
@@ -194,10 +183,10 @@ def component_diagnostic(
     spread_stats = long.groupBy(*cell).agg(
         F.stddev_samp("value").alias("std"), F.avg(F.col("value").isNotNull().cast("double")).alias("coverage")
     )
-    quartiles = exact_quantiles(long, cell, "value", {"q1": 0.25, "q3": 0.75}, few_groups=True, rows=rows)
+    quartiles = exact_quantiles(long, cell, "value", {"q1": 0.25, "q3": 0.75}, few_groups=True)
     both = long.filter(F.col("value").isNotNull() & F.col("score").isNotNull())
-    ranked = average_rank(both, cell, "value", "rank_value", "_n1", rows)
-    ranked = average_rank(ranked, cell, "score", "rank_score", "_n2", rows)
+    ranked = average_rank(both, cell, "value", "rank_value", "_n1")
+    ranked = average_rank(ranked, cell, "score", "rank_score", "_n2")
     # Correlation from sums, so that a constant side gives null rather than an error.
     x, y = F.col("rank_value"), F.col("rank_score")
     sums = ranked.groupBy(*cell).agg(

@@ -24,7 +24,7 @@ from plotscope.params import (
     TOP_DECILE_PCT,
     ValuationSettings,
 )
-from plotscope.storage import materialize, materialize_counted
+from plotscope.storage import materialize
 
 
 def sale_events(parcels: DataFrame) -> DataFrame:
@@ -155,8 +155,8 @@ def flip_backtest(parcels: DataFrame, settings: ValuationSettings = SINGLE_ROLL_
         field = valued.select(
             "as_of", "parcel_id", spread(F.col("arv_estimate"), F.col("just_value")).alias("spread_estimate")
         ).filter(F.col("spread_estimate").isNotNull())
-        field, rows = materialize_counted(field)
-        ranked = percent_rank_average(field, ["as_of"], "spread_estimate", "percentile", rows)
+        field = materialize(field)
+        ranked = percent_rank_average(field, ["as_of"], "spread_estimate", "percentile")
     joined = found.join(ranked.select("as_of", "parcel_id", "percentile"), ["as_of", "parcel_id"], "left")
     known = F.col("percentile").isNotNull()
     return joined.select(

@@ -12,16 +12,16 @@ from plotscope.functions.dates import date_array
 from plotscope.operators.order_stats import exact_quantiles
 
 
-def year_medians(events: DataFrame, rows: int | None = None) -> DataFrame:
+def year_medians(events: DataFrame) -> DataFrame:
     """Median price per square foot of each sale year. The groups are few and huge."""
-    return exact_quantiles(events, ["sale_year"], "price_per_sqft", {"median_psf": 0.5}, few_groups=True, rows=rows)
+    return exact_quantiles(events, ["sale_year"], "price_per_sqft", {"median_psf": 0.5}, few_groups=True)
 
 
 def _next_january(year: Column) -> Column:
     return F.make_date(year + 1, F.lit(1), F.lit(1))
 
 
-def _cutoff_medians(events: DataFrame, as_of_dates: Sequence[dt.date], rows: int | None) -> DataFrame:
+def _cutoff_medians(events: DataFrame, as_of_dates: Sequence[dt.date]) -> DataFrame:
     """Medians by sale year up to a cutoff: the end of the year, which every later date
     shares, or an as-of date within the year (year to date)."""
     last = max(as_of_dates)
@@ -35,11 +35,10 @@ def _cutoff_medians(events: DataFrame, as_of_dates: Sequence[dt.date], rows: int
     used = events.filter(F.col("sale_date") < F.lit(last)).select(
         "sale_year", F.explode(cutoffs).alias("cutoff"), "price_per_sqft"
     )
-    # A group never holds more rows than the events do.
-    return exact_quantiles(used, ["sale_year", "cutoff"], "price_per_sqft", {"level": 0.5}, few_groups=True, rows=rows)
+    return exact_quantiles(used, ["sale_year", "cutoff"], "price_per_sqft", {"level": 0.5}, few_groups=True)
 
 
-def index_asof(events: DataFrame, as_of_dates: Sequence[dt.date], rows: int | None = None) -> DataFrame:
+def index_asof(events: DataFrame, as_of_dates: Sequence[dt.date]) -> DataFrame:
     """Anchors (as_of, anchor_date, level): the median of each complete earlier year at
     1 July, and a running year's median to date at the day before the as-of date."""
     whole_year = F.col("cutoff") == _next_january(F.col("sale_year"))
@@ -47,7 +46,7 @@ def index_asof(events: DataFrame, as_of_dates: Sequence[dt.date], rows: int | No
         date_array(as_of_dates),
         lambda d: F.when(whole_year, F.col("sale_year") < F.year(d)).otherwise(F.col("cutoff") == d),
     )
-    anchors = _cutoff_medians(events, as_of_dates, rows).withColumn("as_of", F.explode(usable))
+    anchors = _cutoff_medians(events, as_of_dates).withColumn("as_of", F.explode(usable))
     return anchors.select(
         "as_of",
         F.when(whole_year, F.make_date("sale_year", F.lit(7), F.lit(1)))
@@ -57,9 +56,9 @@ def index_asof(events: DataFrame, as_of_dates: Sequence[dt.date], rows: int | No
     )
 
 
-def leaky_index(events: DataFrame, as_of_dates: Sequence[dt.date], rows: int | None = None) -> DataFrame:
+def leaky_index(events: DataFrame, as_of_dates: Sequence[dt.date]) -> DataFrame:
     """Control with a known fault: one index over all years, whatever the as-of date."""
-    medians = year_medians(events, rows)
+    medians = year_medians(events)
     return medians.select(
         F.explode(date_array(as_of_dates)).alias("as_of"),
         F.make_date("sale_year", F.lit(7), F.lit(1)).alias("anchor_date"),
@@ -114,7 +113,7 @@ def month_levels(anchors: DataFrame, as_of_dates: Sequence[dt.date], months: int
 
 
 def compare_index_levels(
-    events: DataFrame, as_of_dates: Sequence[dt.date], rows: int | None = None
+    events: DataFrame, as_of_dates: Sequence[dt.date]
 ) -> DataFrame:
     """Per date: fixed and leaky level, overstatement in percent, and whether the fixed
     level equals the median of the year before (it must on 1 January)."""
@@ -122,9 +121,9 @@ def compare_index_levels(
         arrays = anchor_arrays(anchors)
         return arrays.select("as_of", level_at(F.col("anchors"), F.col("as_of")).alias(name))
 
-    fixed = at_date(index_asof(events, as_of_dates, rows), "fixed_level")
-    leaky = at_date(leaky_index(events, as_of_dates, rows), "leaky_level")
-    before = year_medians(events, rows).select(
+    fixed = at_date(index_asof(events, as_of_dates), "fixed_level")
+    leaky = at_date(leaky_index(events, as_of_dates), "leaky_level")
+    before = year_medians(events).select(
         F.col("sale_year").alias("_year"), F.col("median_psf").alias("prior_year_median")
     )
     joined = fixed.join(F.broadcast(leaky), "as_of").join(

@@ -9,8 +9,6 @@ are exact; bins only decide where to look.
 Key columns must not be null. ``few_groups`` says that the number of groups is bounded by
 the caller (dates, years, report cells), so that the wanted bins can be broadcast; with
 many groups, distinct values are counted first, which spreads a hot group over its values.
-``rows`` is a row count known to the caller (from a stored table): where even a single
-group of that size fits a task easily, one plain shuffle replaces the two levels.
 """
 
 from __future__ import annotations
@@ -22,11 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _BINS_PER_OCTAVE = 1024
-_ONE_TASK_ROWS = 2_000_000
-
-
-def fits_one_task(rows: int | None) -> bool:
-    return rows is not None and rows <= _ONE_TASK_ROWS
 
 
 def _bin(c: str) -> str:
@@ -89,38 +82,30 @@ def exact_quantiles(
     value: str,
     probs: Mapping[str, float],
     few_groups: bool = False,
-    rows: int | None = None,
     total: str | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles per group: keys, n (non-null rows), one column
     per name in ``probs``. Groups without any non-null value yield no row, unless
     ``total`` names a column for the count of all rows: then every group is kept."""
     k = _names(keys)
-    if total and not fits_one_task(rows):
+    if total:
         totals = df.groupBy(*keys).agg(F.count("*").alias(total))
-        return totals.join(exact_quantiles(df, keys, value, probs, few_groups, rows), list(keys), "left")
+        return totals.join(exact_quantiles(df, keys, value, probs, few_groups), list(keys), "left")
     ranks = {}
     for name, p in probs.items():
         ranks[f"{name}_lo"] = f"floor({p!r}D * (n - 1))"
         ranks[f"{name}_hi"] = f"least(floor({p!r}D * (n - 1)) + 1, n - 1)"
-    if fits_one_task(rows):
-        ends = ", ".join(f"get(v, CAST({r} AS INT)) AS `{name}`" for name, r in ranks.items())
-        found = f"""
-            lists AS (SELECT {k}, array_sort(collect_list(`{value}`)) AS v, count(`{value}`) AS n, count(*) AS every
-                FROM {{df}} GROUP BY {k}),
-            ends AS (SELECT {k}, n, every, {ends} FROM lists{"" if total else " WHERE n > 0"})"""
-    else:
-        ends = ", ".join(f"max(CASE WHEN {_hit([r])} THEN v END) AS `{name}`" for name, r in ranks.items())
-        found = f"""{_placed_values(k, f"`{value}`", list(ranks.values()), few_groups)},
-            ends AS (SELECT {k}, max(n) AS n, {ends} FROM placed GROUP BY {k})"""
+    ends = ", ".join(f"max(CASE WHEN {_hit([r])} THEN v END) AS `{name}`" for name, r in ranks.items())
+    found = f"""{_placed_values(k, f"`{value}`", list(ranks.values()), few_groups)},
+        ends AS (SELECT {k}, max(n) AS n, {ends} FROM placed GROUP BY {k})"""
     query = f"""
         WITH {found}
-        SELECT {k}, n, {f"every AS `{total}`, " if total else ""}{", ".join(_quantile(name, p) for name, p in probs.items())} FROM ends"""
+        SELECT {k}, n, {", ".join(_quantile(name, p) for name, p in probs.items())} FROM ends"""
     return df.sparkSession.sql(query, df=df)
 
 
 def average_rank(
-    df: DataFrame, keys: Sequence[str], value: str, rank: str, size: str, rows: int | None = None
+    df: DataFrame, keys: Sequence[str], value: str, rank: str, size: str
 ) -> DataFrame:
     """Add the 1-based rank (ties share their average) and the group's non-null size.
 
@@ -128,12 +113,6 @@ def average_rank(
     row in the ordered part; the ranks are then joined back by value.
     """
     k, v = _names(keys), f"`{value}`"
-    if fits_one_task(rows):
-        ordered = f"""rank() OVER (PARTITION BY {k} ORDER BY {v} NULLS LAST)
-            + (count(*) OVER (PARTITION BY {k} ORDER BY {v} NULLS LAST RANGE CURRENT ROW) - 1) / 2D"""
-        query = f"""SELECT *, CASE WHEN {v} IS NOT NULL THEN {ordered} END AS `{rank}`,
-            count({v}) OVER (PARTITION BY {k}) AS `{size}` FROM {{df}}"""
-        return df.sparkSession.sql(query, df=df)
     query = f"""
         WITH counts AS (SELECT {k}, {v}, {_bin(v)} AS bin, count(*) AS w
             FROM {{df}} WHERE {v} IS NOT NULL GROUP BY {k}, {v}),
@@ -144,14 +123,18 @@ def average_rank(
             sum(w) OVER (PARTITION BY {k}, bin ORDER BY {v}) - w AS inside FROM counts)
         SELECT {k}, {v}, below + inside + (w + 1) / 2D AS `{rank}`, n AS `{size}`
         FROM running JOIN offsets USING ({k}, bin)"""
-    return df.join(df.sparkSession.sql(query, df=df), [*keys, value], "left")
+    # Rows without a value match nothing; a spread key keeps them out of one partition.
+    ranks = df.sparkSession.sql(query, df=df).withColumn("_spread", F.lit(0).cast("long"))
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    spread = df.withColumn("_spread", F.when(F.col(v).isNull(), row).otherwise(F.lit(0).cast("long")))
+    return spread.join(ranks, [*keys, value, "_spread"], "left").drop("_spread")
 
 
 def percent_rank_average(
-    df: DataFrame, keys: Sequence[str], value: str, out: str, rows: int | None = None
+    df: DataFrame, keys: Sequence[str], value: str, out: str
 ) -> DataFrame:
     """Average rank as a percentage of the group's non-null rows; null stays null."""
-    ranked = average_rank(df, keys, value, "_rank", "_size", rows)
+    ranked = average_rank(df, keys, value, "_rank", "_size")
     return ranked.selectExpr("* EXCEPT (_rank, _size)", f"_rank / _size * 100D AS `{out}`")
 
 

@@ -23,6 +23,7 @@ def last_sales(sales: DataFrame, as_of_dates: Sequence[dt.date]) -> DataFrame:
     Every sale is first reduced into the earliest date after it, map-side; only those
     reduced rows are then carried to the later dates.
     """
+    sales = sales.filter(F.col("sale_date") < F.lit(max(as_of_dates)))
     first_after = F.array_min(matching_dates(as_of_dates, lambda d: F.col("sale_date") < d))
     priced = F.col("qualified") & F.col("price").isNotNull()
     reduced = (
@@ -67,7 +68,10 @@ def first_sales(
     window = matching_dates(
         as_of_dates, lambda d: (F.col("sale_date") >= d) & (F.col("sale_date") < F.add_months(d, months))
     )
-    kept = sales.filter((F.col("dor_use_code") == use_code) & condition).withColumn("as_of", F.explode(window))
+    last = F.add_months(F.lit(max(as_of_dates)), months)
+    near = sales.filter((F.col("sale_date") >= F.lit(min(as_of_dates))) & (F.col("sale_date") < last))
+    near = near.filter((F.col("sale_year") >= min(as_of_dates).year) & (F.col("sale_year") <= F.year(last)))
+    kept = near.filter((F.col("dor_use_code") == use_code) & condition).withColumn("as_of", F.explode(window))
     first = kept.groupBy("as_of", "parcel_id").agg(F.min(F.struct(*SALE_ORDER, "sale_year")).alias("_first"))
     return first.select("as_of", "parcel_id", "_first.price", "_first.sale_year")
 

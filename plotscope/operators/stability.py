@@ -10,16 +10,13 @@ from plotscope.functions.text import normalize_address
 
 def ids_in_every_year(roll: DataFrame) -> DataFrame:
     """One row: distinct ids over all rolls, ids on every roll, their share."""
-    # The years of an id form one of few sets, so the ids are counted per set.
-    sets = roll.groupBy("PARCEL_ID").agg(F.array_sort(F.collect_set("vintage_year")).alias("years"))
-    per_set = sets.groupBy("years").agg(F.count("*").alias("ids"))
-    row = per_set.agg(F.collect_list(F.struct("years", "ids")).alias("sets"))
-    total = F.size(F.array_distinct(F.flatten(F.transform("sets", lambda s: s["years"]))))
-    add = lambda chosen: F.aggregate(chosen, F.lit(0).cast("long"), lambda acc, s: acc + s["ids"])
-    counted = row.withColumn("all_years", total).select(
-        add(F.col("sets")).alias("all_ids"),
-        add(F.filter("sets", lambda s: F.size(s["years"]) == F.col("all_years"))).alias("ids_every_year"),
-    )
+    years = roll.groupBy("PARCEL_ID").agg(F.count_distinct("vintage_year").alias("years"))
+    rolls = roll.agg(F.count_distinct("vintage_year").alias("rolls"))  # one row
+    per_count = years.groupBy("years").agg(F.count("*").alias("ids"))  # one row per number of years
+    counted = per_count.agg(
+        F.sum("ids").alias("all_ids"),
+        F.sum(F.when(F.col("years") == rolls.scalar(), F.col("ids")).otherwise(0)).alias("ids_every_year"),
+    ).select(*[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("all_ids", "ids_every_year")])
     return counted.withColumn("every_year_pct", F.try_divide(F.col("ids_every_year") * 100.0, F.col("all_ids")))
 
 

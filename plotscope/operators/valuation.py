@@ -17,16 +17,15 @@ from plotscope.functions.scores import round_half_even, spread
 from plotscope.operators import comp_stats
 from plotscope.operators.guard import guarded
 from plotscope.operators.index import INDEX_STRATEGIES, month_levels
-from plotscope.operators.order_stats import exact_quantiles, fits_one_task
+from plotscope.operators.order_stats import exact_quantiles
 from plotscope.params import AS_OF_SETTINGS, MIN_DOLLAR_SPREAD, ValuationSettings
-from plotscope.storage import materialize, materialize_counted
+from plotscope.storage import materialize
 
 # The helpers travel with the tasks, so executors need no installed copy of the package.
 cloudpickle.register_pickle_by_value(comp_stats)
 
 # All subjects with these values in common have the same comps.
 LOOKUP_KEY = ["as_of", "nbrhd_cd", "living_area", "year_built", "tercile", "excluded"]
-_FEW_SUBJECTS = 200_000
 _STATS = ["n", "median", "q1", "q3"]
 _STATS_SCHEMA = ", ".join(
     f"{prefix}_n bigint, {prefix}_median double, {prefix}_q1 double, {prefix}_q3 double" for prefix in ("all", "band")
@@ -80,11 +79,10 @@ def comp_pool(
     as_of_dates: Sequence[dt.date],
     settings: ValuationSettings = AS_OF_SETTINGS,
     index: str = "asof",
-    event_rows: int | None = None,
 ) -> DataFrame:
     """Comps usable at each date: sold inside [date - window, date), price per area
     carried to the date by the index. Guarded against later sales inside the plan."""
-    anchors = INDEX_STRATEGIES[index](events, as_of_dates, event_rows)
+    anchors = INDEX_STRATEGIES[index](events, as_of_dates)
     levels = month_levels(anchors, as_of_dates, settings.window_months)
     windows = matching_dates(
         as_of_dates,
@@ -104,7 +102,7 @@ def _tercile(value, cut1, cut2):
     return F.coalesce((value >= cut1).cast("int") + (value >= cut2).cast("int"), F.lit(2))
 
 
-def _pool_profile(pool: DataFrame, settings: ValuationSettings, rows: int) -> DataFrame:
+def _pool_profile(pool: DataFrame, settings: ValuationSettings) -> DataFrame:
     """Per date and neighbourhood: comps and, where banding applies, tercile cuts."""
     keys = ["as_of", "nbrhd_cd"]
     if not settings.value_band:
@@ -112,7 +110,7 @@ def _pool_profile(pool: DataFrame, settings: ValuationSettings, rows: int) -> Da
         sizes = pool.groupBy(*keys).agg(F.count("*").alias("pool_size"))
         return sizes.withColumns({"cut1": none, "cut2": none, "banded": F.lit(False)})
     low, high = settings.tercile_cuts
-    cuts = exact_quantiles(pool, keys, "just_value", {"cut1": low, "cut2": high}, rows=rows, total="pool_size")
+    cuts = exact_quantiles(pool, keys, "just_value", {"cut1": low, "cut2": high}, total="pool_size")
     return cuts.drop("n").withColumn("banded", F.col("pool_size") >= settings.min_band_pool)
 
 
@@ -294,10 +292,8 @@ def comp_statistics(subjects: DataFrame, pool: DataFrame, settings: ValuationSet
     pool = pool.select(*keys, "parcel_id", "living_area", "year_built", "just_value", "psf").filter(
         F.col("nbrhd_cd").isNotNull() & F.col("psf").isNotNull()
     )
-    pool, pool_rows = materialize_counted(pool)
-    profile = _pool_profile(pool, settings, pool_rows)
-    if not fits_one_task(pool_rows):
-        profile = materialize(profile)  # used three times below
+    pool = materialize(pool)
+    profile = materialize(_pool_profile(pool, settings))  # used three times below
     own = pool.select("as_of", "nbrhd_cd", "parcel_id").distinct().withColumn("excluded", F.col("parcel_id"))
     if not settings.value_band:
         pool = pool.withColumn("tercile", F.lit(0))
@@ -313,25 +309,14 @@ def comp_statistics(subjects: DataFrame, pool: DataFrame, settings: ValuationSet
         .join(own, ["as_of", "nbrhd_cd", "parcel_id"], "left")
         .withColumns({"tercile": tercile, "excluded": F.coalesce("excluded", F.lit(comp_stats.NO_EXCLUSION))})
     )
-    asked, asked_rows = materialize_counted(asked.select("parcel_id", "pool_size", *LOOKUP_KEY))
-
-    # Unless all comps together fit one task, a cheap pass over the stored subjects tells
-    # whether any single pool outgrows it.
-    largest = pool_rows
-    if largest > settings.max_block_comps:
-        largest = asked.agg(F.max("pool_size")).first()[0] or 0
-    if largest <= settings.max_block_comps and asked_rows <= _FEW_SUBJECTS:
-        # Too few subjects for alike ones to matter: each is its own lookup.
-        answers = _direct(asked.filter("pool_size > 0").drop("pool_size"), pool, settings)
-        without = asked.filter("pool_size IS NULL").drop("pool_size")
-        return answers.unionByName(without, allowMissingColumns=True)
+    asked = materialize(asked.select("parcel_id", "pool_size", *LOOKUP_KEY))
     lookups = asked.filter("pool_size > 0").select(*LOOKUP_KEY, "pool_size").distinct()
-    if largest <= settings.max_block_comps:
+    # Each pool goes the way that its own size asks for, whatever the whole table holds.
+    large = F.col("pool_size") > settings.max_block_comps
+    if asked.filter(large).isEmpty():
         answers = _direct(lookups.drop("pool_size"), pool, settings)
     else:
-        large = F.col("pool_size") > settings.max_block_comps
-        sizes = profile.select(*keys, "pool_size")
-        sized = pool.join(sizes, keys)
+        sized = pool.join(profile.select(*keys, "pool_size"), keys)
         answers = _direct(
             lookups.filter(~large).drop("pool_size"), sized.filter(~large).drop("pool_size"), settings
         ).unionByName(_sliced(lookups.filter(large).drop("pool_size"), sized.filter(large).drop("pool_size"), settings))
@@ -383,10 +368,9 @@ def value_as_of(
     as_of_dates: Sequence[dt.date],
     settings: ValuationSettings = AS_OF_SETTINGS,
     index: str = "asof",
-    event_rows: int | None = None,
 ) -> DataFrame:
     """As-of valuation of ``subjects`` (one row per as_of and parcel)."""
-    return estimate(subjects, comp_pool(events, as_of_dates, settings, index, event_rows), settings)
+    return estimate(subjects, comp_pool(events, as_of_dates, settings, index), settings)
 
 
 # -- spread, ranking, diagnostics ---------------------------------------------------------

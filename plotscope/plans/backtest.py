@@ -6,6 +6,7 @@ import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from plotscope.operators.evaluation import evaluate, with_verdict
 from plotscope.operators.parcels import subjects_as_of
@@ -13,7 +14,7 @@ from plotscope.operators.scoring import composite_score
 from plotscope.operators.signals import attach_outcomes, owner_signals
 from plotscope.operators.valuation import comp_events, value_as_of, with_spread
 from plotscope.params import AS_OF_SETTINGS, OUTCOME_WINDOW_MONTHS, ValuationSettings
-from plotscope.storage import materialize_counted
+from plotscope.storage import materialize
 
 
 def valued_subjects(
@@ -25,8 +26,10 @@ def valued_subjects(
 ) -> DataFrame:
     """Every subject of every date with its valuation and spread."""
     subjects = subjects_as_of(snapshots, as_of_dates)
-    events, rows = materialize_counted(comp_events(sales, snapshots))
-    valued = value_as_of(subjects, events, as_of_dates, settings, index, rows)
+    if index == "asof":  # no sale on or after the last date may be used, so none is read
+        sales = sales.filter(F.col("sale_date") < F.lit(max(as_of_dates)))
+    events = materialize(comp_events(sales, snapshots))
+    valued = value_as_of(subjects, events, as_of_dates, settings, index)
     return with_spread(subjects.join(valued, ["as_of", "parcel_id"], "left"))
 
 
@@ -41,8 +44,8 @@ def score_dates(
     """Valuation, spread, owner signals, composite and outcomes of all dates at once.
     Scaling runs over all subjects of a date; populations are chosen afterwards."""
     valued = valued_subjects(sales, snapshots, as_of_dates, settings)
-    signals, rows = materialize_counted(owner_signals(valued, sales, as_of_dates))
-    scored = composite_score(signals, normalization, rows=rows)
+    signals = materialize(owner_signals(valued, sales, as_of_dates))
+    scored = composite_score(signals, normalization)
     return attach_outcomes(scored, sales, snapshots, as_of_dates, window_months)
 
 
@@ -54,5 +57,5 @@ def run_backtest(
     tie: Column | None = None,
 ) -> DataFrame:
     """The evaluation table with p-values and the Bonferroni verdict."""
-    scored, rows = materialize_counted(score_dates(sales, snapshots, as_of_dates, normalization))
-    return with_verdict(evaluate(scored, tie, rows=rows))
+    scored = materialize(score_dates(sales, snapshots, as_of_dates, normalization))
+    return with_verdict(evaluate(scored, tie))

@@ -39,8 +39,11 @@ def build_parcel_file(
     out: str,
     include_extra: bool = False,
     assessment_year: int = ASSESSMENT_YEAR,
+    skip_missing: bool = False,
 ) -> DataFrame:
-    """County rolls to the parcel table, written as CSV."""
-    parcels = build_parcels(read_county_rolls(spark, folder, counties), include_extra, assessment_year)
+    """County rolls to the parcel table, written as CSV. See ``read_county_rolls`` for
+    counties without a file."""
+    rolls = read_county_rolls(spark, folder, counties, skip_missing=skip_missing)
+    parcels = build_parcels(rolls, include_extra, assessment_year)
     write_csv(parcels, out)
     return parcels

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from plotscope.operators.parcels import subjects_as_of
 from plotscope.operators.scoring import motivation_score
 from plotscope.operators.valuation import comp_events, value_as_of, with_spread
-from plotscope.params import AS_OF_SETTINGS, DISPLAY_ROWS, MIN_DOLLAR_SPREAD, MOTIVATION_WEIGHTS, ValuationSettings
-from plotscope.storage import materialize_counted
+from plotscope.params import AS_OF_SETTINGS, MIN_DOLLAR_SPREAD, MOTIVATION_WEIGHTS, ValuationSettings
+from plotscope.storage import materialize
 
 # Display names of the screen and its export.
 DISPLAY_NAMES = {
@@ -46,20 +46,21 @@ def screen_base(
     subjects = subjects_as_of(snapshots, [as_of]).select(
         "as_of", "parcel_id", "nbrhd_cd", "living_area", "year_built", "just_value"
     )
-    events, rows = materialize_counted(comp_events(sales, snapshots))
-    valued = value_as_of(subjects, events, [as_of], settings, event_rows=rows).drop("used_value_band")
+    # No sale on or after the date may be used, so none is read.
+    events = materialize(comp_events(sales.filter(F.col("sale_date") < F.lit(as_of)), snapshots))
+    valued = value_as_of(subjects, events, [as_of], settings).drop("used_value_band")
     engine = subjects.select("as_of", "parcel_id", "just_value").join(valued, ["as_of", "parcel_id"], "left")
     engine = engine.withColumn("high_confidence", F.coalesce("high_confidence", F.lit(False)))
     return with_spread(parcels.drop("just_value").join(engine, "parcel_id"))
 
 
 def score_screen(
-    base: DataFrame, weights: Mapping[str, float] = MOTIVATION_WEIGHTS, rows: int | None = None
+    base: DataFrame, weights: Mapping[str, float] = MOTIVATION_WEIGHTS
 ) -> DataFrame:
     """Motivation score and grade over the whole base, before any filter."""
     if sum(weights.values()) <= 0:
         raise ValueError("at least one weight must be above zero")
-    return motivation_score(base, weights, keys=("as_of",), rows=rows)
+    return motivation_score(base, weights, keys=("as_of",))
 
 
 def in_view(
@@ -105,14 +106,15 @@ def screen(
     limit: int | None = None,
 ) -> DataFrame:
     """The whole screen with every control as an argument; all columns are kept."""
-    base, rows = materialize_counted(screen_base(parcels, sales, snapshots, as_of))
-    scored = score_screen(base, weights, rows)
+    base = materialize(screen_base(parcels, sales, snapshots, as_of))
+    scored = score_screen(base, weights)
     kept = scored.filter(in_view(min_spread, max_just_value, high_confidence, absentee_only))
     return rank_screen(kept, sort_by, limit)
 
 
-def display(view: DataFrame, limit: int | None = DISPLAY_ROWS) -> DataFrame:
-    """Columns of the on-screen table under their display names."""
+def display(view: DataFrame, limit: int | None = None) -> DataFrame:
+    """Columns of the on-screen table under their display names; all rows unless a limit
+    is asked for (the screen itself shows ``DISPLAY_ROWS``)."""
     shown = view.select(*[F.col(c).alias(name) for c, name in DISPLAY_NAMES.items()])
     return shown if limit is None else shown.limit(limit)
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import os
+import warnings
 import zipfile
 from collections.abc import Mapping, Sequence
 
@@ -96,18 +97,26 @@ def read_zips(
 
 
 def read_county_rolls(
-    spark: SparkSession, folder: str, counties: Sequence[str], files: Mapping[str, tuple[str, str]] = COUNTY_FILES
+    spark: SparkSession,
+    folder: str,
+    counties: Sequence[str],
+    files: Mapping[str, tuple[str, str]] = COUNTY_FILES,
+    skip_missing: bool = False,
 ) -> DataFrame:
-    """Rolls of several counties with a county label; a county without a file is left
-    out, and having none at all is an error."""
-    parts = []
+    """Rolls of several counties with a county label. A county without a file is an error,
+    unless ``skip_missing``: then it is left out with a warning. None at all is an error."""
+    parts, missing = [], []
     for county in counties:
         zip_name, member = files[county]
         path = f"{folder}/{zip_name}"
         if _exists(spark, path):
             parts.append(read_zips(spark, {county: path}, ROLL_COLUMNS, member))
-    if not parts:
-        raise RuntimeError(f"no county files found in {folder}")
+        else:
+            missing.append(f"{county} ({path})")
+    if not parts or missing and not skip_missing:
+        raise RuntimeError(f"no county files found in {folder} for {', '.join(missing) or 'any county'}")
+    if missing:
+        warnings.warn(f"left out, no file: {', '.join(missing)}", stacklevel=2)
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)

@@ -5,34 +5,30 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
-_local_folder: dict[str, str] = {}
+_local_folder: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only on a local master."""
+    """The folder named by ``spark.checkpoint.dir``. Only on a local master it may be unset:
+    then one temporary folder per application, removed when the process ends."""
     folder = spark.conf.get(_CONF, None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {_CONF} to a folder that every executor can read")
     app = spark.sparkContext.applicationId
-    return _local_folder.setdefault(app, tempfile.mkdtemp(prefix="plotscope-"))
+    if app not in _local_folder:
+        _local_folder[app] = tempfile.TemporaryDirectory(prefix="plotscope-", ignore_cleanup_errors=True)
+    return _local_folder[app].name
 
 
-def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
+def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once and read it back, so later steps neither recompute it nor
-    depend on the executors that produced it. Also returns its row count, observed
-    during the write, as a proven bound for later steps."""
+    depend on the executors that produced it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    written = Observation()
-    df.observe(written, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), written.get["rows"]
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    return materialize_counted(df)[0]
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

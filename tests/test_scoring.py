@@ -80,10 +80,9 @@ def reference_composite(pdf, rank):
 
 
 @pytest.mark.parametrize("mode", ["minmax", "rank"])
-@pytest.mark.parametrize("known", [None, 1000])
-def test_composite(spark, mode, known):
+def test_composite(spark, mode):
     pdf, df = frame(spark, 400)
-    got = S.composite_score(df, mode, rows=known).toPandas().set_index("parcel_id").loc[pdf.parcel_id]
+    got = S.composite_score(df, mode).toPandas().set_index("parcel_id").loc[pdf.parcel_id]
     np.testing.assert_allclose(got.composite_score, reference_composite(pdf, mode == "rank"), rtol=1e-12)
     assert (got.equity_score.isna().to_numpy() == pdf.equity_proxy.isna().to_numpy()).all()
 
@@ -107,10 +106,9 @@ def rank_frame(spark, n, seed=5):
 
 
 @pytest.mark.parametrize("n, top, bottom", [(50, 5, 25), (109, 10, 54), (3000, 300, 1500)])
-@pytest.mark.parametrize("known", [None, 5000])
-def test_rank_groups(spark, n, top, bottom, known):
+def test_rank_groups(spark, n, top, bottom):
     pdf, df = rank_frame(spark, n)
-    got = E.evaluate_ranks(df, known).collect()
+    got = E.evaluate_ranks(df).collect()
     order = pdf.sort_values(["value", "tie"], ascending=[False, True])
     hi, lo = order.head(n // 10), order.tail(n // 2)
     (r,) = got
@@ -119,10 +117,9 @@ def test_rank_groups(spark, n, top, bottom, known):
     assert r.boundary_tie_share == pytest.approx((pdf.value == hi.value.iloc[-1]).mean())
 
 
-@pytest.mark.parametrize("known", [None, 5000])
-def test_too_few_rows_give_no_result(spark, known):
+def test_too_few_rows_give_no_result(spark):
     _, df = rank_frame(spark, 49)
-    assert E.evaluate_ranks(df, known).count() == 0
+    assert E.evaluate_ranks(df).count() == 0
 
 
 def test_rank_plan_never_sorts_a_cell(spark):

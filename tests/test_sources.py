@@ -72,7 +72,10 @@ def test_county_rolls_and_csv(spark, folder):
     ]
     put_zip(f"{folder}/{name}", member, rolls.ROLL_COLUMNS, records)
     counties = ["Miami-Dade", "Broward"]  # the first has no file
-    parcels = build_parcel_file(spark, folder, counties, f"{folder}/parcels.csv", include_extra=True)
+    with pytest.raises(RuntimeError, match="Miami-Dade"):
+        build_parcel_file(spark, folder, counties, f"{folder}/parcels.csv")
+    with pytest.warns(UserWarning, match="Miami-Dade"):
+        parcels = build_parcel_file(spark, folder, counties, f"{folder}/parcels.csv", include_extra=True, skip_missing=True)
     assert parcels.columns == PARCEL_COLUMNS
     back = tables.read_parcels_csv(spark, f"{folder}/parcels.csv")
     assert back.schema == tables.PARCEL_SCHEMA
@@ -81,7 +84,7 @@ def test_county_rolls_and_csv(spark, folder):
     assert sorted(got) == ["01", "04", "05"] and got["01"].county == "Broward"
     assert (got["01"].equity_proxy, got["01"].equity_proxy_annualized_pct, got["01"].sale1_month) == (20000.0, 5.0, "03")
     assert (got["05"].absentee, got["05"].out_of_state, got["05"].ownership_tenure_years) == (True, True, 100.0)
-    plan = build_parcels(rolls.read_county_rolls(spark, folder, counties))._jdf.queryExecution().executedPlan().toString()
+    plan = build_parcels(rolls.read_county_rolls(spark, folder, counties, skip_missing=True))._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(PARCEL" not in plan
 
 

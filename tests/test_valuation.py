@@ -192,13 +192,6 @@ def test_confidence_gate(ruled):
     assert [ruled[c].high_confidence for c in ("seven", "eight")] == [False, True]
 
 
-def test_alike_subjects_share_a_lookup(spark, random_case, monkeypatch):
-    """The path for large subject tables, where lookups are made distinct first."""
-    parcels, comps = random_case
-    monkeypatch.setattr(V, "_FEW_SUBJECTS", 0)
-    assert as_dict(V.estimate(subjects(spark, parcels), pool(spark, comps), AS_OF_SETTINGS)) == brute(parcels, comps)
-
-
 # -- index and windows ----------------------------------------------------------------------------
 
 
@@ -218,17 +211,16 @@ HISTORY = [
 ]
 
 
-def anchors(spark, as_of, data=HISTORY, rows=None):
-    df = I.index_asof(events(spark, data), [as_of], rows).orderBy("anchor_date")
+def anchors(spark, as_of, data=HISTORY):
+    df = I.index_asof(events(spark, data), [as_of]).orderBy("anchor_date")
     return [(r.anchor_date, r.level) for r in df.collect()]
 
 
 def test_anchors(spark):
     full = [(dt.date(1997, 7, 1), 90.0), (dt.date(1998, 7, 1), 120.0)]
-    for rows in (None, 100):
-        assert anchors(spark, dt.date(1999, 1, 1), rows=rows) == full
-        assert anchors(spark, dt.date(1999, 6, 15), rows=rows) == full + [(dt.date(1999, 6, 14), 150.0)]
-        assert anchors(spark, dt.date(1999, 1, 15), rows=rows) == full  # no sale yet in the running year
+    assert anchors(spark, dt.date(1999, 1, 1)) == full
+    assert anchors(spark, dt.date(1999, 6, 15)) == full + [(dt.date(1999, 6, 14), 150.0)]
+    assert anchors(spark, dt.date(1999, 1, 15)) == full  # no sale yet in the running year
 
 
 def test_many_dates_equal_single_dates(spark):
