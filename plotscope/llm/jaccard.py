@@ -16,7 +16,8 @@ the boundary between the two is where their cost per set crosses.
 Lists are not expanded into all pairs. Every list first checks its members against the
 one that shares most; what links is contracted to components. Only members of a list that
 are then still in different components are compared, in tiles, through bit sketches that
-bound their difference from below. So no link between different sets is lost.
+bound their difference from below, and what the sketches leave is checked exactly, the
+likeliest pair of two components first. So no link between different sets is lost.
 """
 
 from __future__ import annotations
@@ -288,7 +289,7 @@ def _compare(percent: int):
         bits = np.frombuffer(b"".join(group["sketch"].to_pylist()), _U).reshape(len(names), -1)
         left = np.flatnonzero(side == 0)
         far = np.flatnonzero(side == 1)
-        us, vs = [], []
+        us, vs, ds = [], [], []
         for place, i in enumerate(left):
             right = far if len(far) else left[place + 1 :]
             others = right[(labels[right] != labels[i]) & (names[right] != names[i])]
@@ -297,18 +298,20 @@ def _compare(percent: int):
             near = np.abs(sizes[others] - sizes[i]) <= most
             others, most = others[near], most[near]
             differ = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            others = others[differ <= most]
+            others, differ = others[differ <= most], differ[differ <= most]
+            ds.append(differ)
             us.append(np.minimum(names[others], names[i]))
             vs.append(np.maximum(names[others], names[i]))
-        u, v = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (us, vs))
-        both = np.unique(np.stack([u, v], axis=1), axis=0)
-        return pa.table({"u": pa.array(both[:, 0], pa.int64()), "v": pa.array(both[:, 1], pa.int64())})
+        u, v, d = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (us, vs, ds))
+        rows = np.unique(np.stack([u, v, d], axis=1), axis=0)
+        return pa.table({c: pa.array(rows[:, i], pa.int64()) for i, c in enumerate(("u", "v", "differ"))})
 
     return run
 
 
 def open_pairs(lists: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (u, v) that share a list but no component."""
+    """Candidate pairs (u, v) that share a list but no component, and the bits in which
+    their sketches differ."""
     rows = lists.select("key", "tile", F.explode("members").alias("name"))
     rows = rows.join(labels.withColumnRenamed("node", "name"), "name", "left")
     rows = rows.withColumn("label", F.coalesce("label", "name"))
@@ -324,7 +327,22 @@ def open_pairs(lists: DataFrame, labels: DataFrame, sets: DataFrame, percent: in
     )
     met = met.join(sets.select("name", "n", "sketch"), "name")
     met = met.select("key", "a", "b", "side", "name", "label", "n", "sketch")
-    return met.groupBy("key", "a", "b").applyInArrow(_compare(percent), "u BIGINT, v BIGINT").distinct()
+    return met.groupBy("key", "a", "b").applyInArrow(_compare(percent), "u BIGINT, v BIGINT, differ BIGINT").distinct()
+
+
+def labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs with the components ``lu`` and ``lv`` of their ends; a node may have no label yet."""
+    for end in "uv":
+        of = labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
+        pairs = pairs.join(of, end, "left").withColumn(f"l{end}", F.coalesce(f"l{end}", end))
+    return pairs
+
+
+def nearest_pairs(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of all pairs between the same two components the one with the nearest sketches."""
+    ends = labelled(pairs, labels).withColumns({"a": F.least("lu", "lv"), "b": F.greatest("lu", "lv")})
+    best = ends.groupBy("a", "b").agg(F.min(F.struct("differ", "u", "v")).alias("best"))
+    return best.select("best.u", "best.v")
 
 
 def star_pairs(lists: DataFrame) -> DataFrame:
@@ -373,8 +391,13 @@ def jaccard_components(
     sets = cut_lineage(member_sets(docs, nodes, key, text, width, few))
     links = cut_lineage(verified_links(star_pairs(lists), sets, percent, few_pairs))
     labels = component_labels(links)
-    rest = verified_links(open_pairs(lists, labels, sets, percent), sets, percent, few_pairs)
-    labels = component_labels(links.union(cut_lineage(rest)))
+    rest = cut_lineage(open_pairs(lists, labels, sets, percent))
+    # Between two components one link is enough, so the likeliest pair is tried first.
+    links = cut_lineage(links.union(verified_links(nearest_pairs(rest, labels), sets, percent, few_pairs)))
+    labels = component_labels(links)
+    rest = labelled(rest, labels).filter("lu <> lv").select("u", "v")
+    links = links.union(cut_lineage(verified_links(rest, sets, percent, few_pairs)))
+    labels = component_labels(links)
     named = first.join(labels.withColumnRenamed("node", "name"), "name", "left")
     named = named.withColumn("label", F.coalesce("label", "name"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
