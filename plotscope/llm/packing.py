@@ -32,8 +32,8 @@ END_ID = 1
 OPEN_BINS = 1024
 #: Pieces per lane: many enough that the bins still open at its end hardly count.
 LANE_PIECES = 16_384
-#: Chunks, and words, that a worker remembers before it starts again: some 50 MB each.
-REMEMBERED = 250_000
+#: Chunks, and words, that a worker remembers before it starts again: some 70 MB each.
+REMEMBERED = 400_000
 
 #: Up to here letters have one code point in every normal form and lower-case alone.
 _PLAIN = "ƀ"
