@@ -6,6 +6,7 @@ import hashlib
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -13,6 +14,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 Span = tuple[str, int, int]
 
+#: Arrow bytes of the rows that a task holds as Python values at a time; one row may have more.
+SLICE_BYTES = 1 << 21
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that all executors share. A folder of our own is used only
@@ -33,6 +37,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``SLICE_BYTES`` of text, so that a task keeps the
+    Python form of few rows. Freed buffers go back to the system at the end."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = np.full(batch.num_rows, 8, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+                sizes += np.diff(ends)
+        place = np.cumsum(sizes) // SLICE_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            yield batch.slice(lo, hi - lo)
+    pa.default_memory_pool().release_unused()
+
+
 def map_texts(
     df: DataFrame,
     key: str,
@@ -43,8 +65,8 @@ def map_texts(
     """One output row per input row: the key column, then ``fields`` (a DDL string).
 
     ``start`` runs once per task and returns the function that gets the ``inputs`` of a
-    row and returns its ``fields``. Rows stay in their partition; a task holds one Arrow
-    batch, whose bytes Spark bounds, at a time.
+    row and returns its ``fields``. Rows stay in their partition; a task holds a slice of an
+    Arrow batch, whose bytes Spark bounds, at a time.
     """
     picked = df.select(key, *inputs)
     out = T.StructType([picked.schema[key], *T.StructType.fromDDL(fields)])
@@ -53,7 +75,7 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answer = start()
-        for batch in batches:
+        for batch in small_slices(batches):
             rows = [answer(*values) for values in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
             columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
             arrays = [pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)]

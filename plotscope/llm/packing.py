@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from plotscope.llm.common import cut_lineage
+from plotscope.llm.common import cut_lineage, small_slices
 
 CAPACITY = 4096
 END_ID = 1
@@ -118,7 +118,7 @@ def token_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = load_tokenizer(tokenizer)
-        for batch in batches:
+        for batch in small_slices(batches):
             at, piece, start, parts = [], [], [], []
             for row, value in enumerate(batch.column(1).to_pylist()):
                 ids = words.ids(value or "") + end

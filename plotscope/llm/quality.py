@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plotscope.llm.common import small_slices
+
 #: Most labelled rows that the network is trained on.
 TRAIN_ROWS = 1200
 EPOCHS = 14
@@ -234,7 +236,7 @@ def score_documents(docs: DataFrame, net: Network, key: str = "doc_id", text: st
     out = T.StructType([picked.schema[0], *T.StructType.fromDDL("held_out BOOLEAN, score DOUBLE")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_slices(batches):
             found = scores(net, batch.column(1).to_pylist())
             columns = [batch.column(0), batch.column(2), pa.array(found.astype(np.float64))]
             yield pa.RecordBatch.from_arrays(columns, names=out.names)
@@ -248,7 +250,7 @@ def keep_good(docs: DataFrame, net: Network, text: str = "text", least: float =
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_slices(batches):
             good = scores(net, batch.column(place).to_pylist()) >= least
             yield batch.filter(pa.array(good))
 

@@ -16,7 +16,7 @@ from itertools import product
 import ahocorasick
 from pyspark.sql import DataFrame
 
-from plotscope.llm.common import Span, map_texts, sha256_hex, spans_text
+from plotscope.llm.common import Span, map_texts, sha256_hex, small_slices, spans_text
 
 BASE_KINDS = ("assign", "access", "hex")
 EXTRA_KINDS = ("forge", "package")
@@ -139,7 +139,7 @@ def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]")
         import pyarrow as pa
 
         scan = start_scanner()
-        for batch in batches:
+        for batch in small_slices(batches):
             clean = [None if v is None else replace_spans(v, scan(v), mark) for v in batch.column(place).to_pylist()]
             columns = list(batch.columns)
             columns[place] = pa.array(clean, columns[place].type)
