@@ -17,7 +17,8 @@ Lists are not expanded into all pairs. Every list first checks its members again
 one that shares most; what links is contracted to components. Only members of a list that
 are then still in different components are compared, in tiles, through bit sketches that
 bound their difference from below, and what the sketches leave is checked exactly, the
-likeliest pair of two components first. So no link between different sets is lost.
+likeliest pair of two components first. Before whole sets travel, a finer sketch that grows
+with the set turns down most pairs that do not link. So no link between different sets is lost.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plotscope.llm.common import cut_lineage
+from plotscope.llm.common import cut_lineage, small_slices
 from plotscope.llm.components import component_labels
 from plotscope.llm.shingles import Powers, mix, shingle_sets, wrapped
 
@@ -127,13 +128,25 @@ def set_name(elements: np.ndarray) -> int:
     return int(mix(np.array([wrapped(total + len(elements) * _TURN)], _U)).view(np.int64)[0])
 
 
-def sketch(elements: np.ndarray) -> bytes:
-    """Parities of the set in ``SKETCH_BITS`` buckets: two sketches differ in no more bits
-    than the sets differ in elements."""
-    counts = np.bincount((elements & _U(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS)
+def sketch(elements: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
+    """Parities of the set in ``bits`` buckets (a power of two): two sketches differ in no
+    more bits than the sets differ in elements."""
+    counts = np.bincount((elements & _U(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
+def fine_sketch(elements: np.ndarray) -> bytes:
+    """A sketch of at least two buckets an element, a small part of the set's own bytes."""
+    return sketch(elements, max(SKETCH_BITS, 1 << (2 * len(elements) - 1).bit_length()))
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The sketch of the same set in fewer buckets, ``size`` bytes."""
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
 def listed_sets(docs: DataFrame, key: str, text: str, width: int, percent: int, scan_cost: float) -> DataFrame:
     """Per document its key as ``doc_id``, n_shingles, name and list keys. A task leaves out
     the keys of a set that it has listed already."""
@@ -142,7 +155,7 @@ def listed_sets(docs: DataFrame, key: str, text: str, width: int, percent: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, powers, seen = Classes(percent, scan_cost), Powers(), set()
-        for batch in batches:
+        for batch in small_slices(batches):
             sizes, names, keys = [], [], []
             for elements in shingle_sets(batch.column(1).to_pylist(), width, powers):
                 name = set_name(elements) if len(elements) else None
@@ -207,13 +220,15 @@ def _lists(found: list[tuple]) -> pa.RecordBatch:
 
 
 def member_sets(docs: DataFrame, nodes: DataFrame, key: str, text: str, width: int, few: bool) -> DataFrame:
-    """name, n, sketch and elements (packed) of the nodes, each from one of its documents. If
+    """name, n, sketch, fine and elements (packed) of the nodes, each from one of its documents. If
     the rows of that document repeat, a task gives them once, but several tasks may."""
     picked = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    fields = "name BIGINT, n BIGINT, sketch BINARY, fine BINARY, elements BINARY"
+    out = T.StructType([*T.StructType.fromDDL(fields), picked.schema["doc_id"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, seen = Powers(), set()
-        for batch in batches:
+        for batch in small_slices(batches):
             rows = []
             texts = shingle_sets(batch.column(1).to_pylist(), width, powers)
             for k, e in zip(batch.column(0).to_pylist(), texts, strict=True):
@@ -222,20 +237,40 @@ def member_sets(docs: DataFrame, nodes: DataFrame, key: str, text: str, width: i
                     if len(seen) >= _SEEN:
                         seen.clear()
                     seen.add(mark)
-                    rows.append((mark[0], len(e), sketch(e), e.tobytes(), k))
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), batch.schema.field(0).type]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
+                    rows.append((mark[0], len(e), sketch(e), fine_sketch(e), e.tobytes(), k))
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), batch.schema.field(0).type]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
             arrays = [pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["name", "n", "sketch", "elements", "doc_id"])
+            yield pa.RecordBatch.from_arrays(arrays, names=out.names)
 
-    out = T.StructType(
-        [*T.StructType.fromDDL("name BIGINT, n BIGINT, sketch BINARY, elements BINARY"), picked.schema["doc_id"]]
-    )
     sets = picked.mapInArrow(run, out)
     wanted = nodes.select(F.col("node"), F.col("first_id"))
     wanted = F.broadcast(wanted) if few else wanted
     same = (F.col("name") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
-    return sets.join(wanted, same).select("name", "n", "sketch", "elements")
+    return sets.join(wanted, same).select("name", "n", "sketch", "fine", "elements")
+
+
+def _may_link(percent: int):
+    """Pairs of a leader and its candidates that sizes and fine sketches do not rule out."""
+
+    def run(group: pa.Table) -> pa.Table:
+        leader = group["leader"][0].as_py()
+        names = group["name"].to_pylist()
+        at = names.index(leader) if leader in names else None
+        near = set()
+        if at is not None:
+            sizes = group["n"].to_pylist()
+            own = np.frombuffer(group["prints"][at].as_py(), np.uint8)
+            for name, n, raw in zip(names, sizes, group["prints"], strict=True):
+                most = most_differences(n + sizes[at], percent)
+                if name != leader and abs(n - sizes[at]) <= most:
+                    other = np.frombuffer(raw.as_py(), np.uint8)
+                    size = min(len(own), len(other))
+                    if np.bitwise_count(folded(own, size) ^ folded(other, size)).sum(dtype=np.int64) <= most:
+                        near.add(name)
+        return pa.table({"u": pa.array([leader] * len(near), pa.int64()), "v": pa.array(sorted(near), pa.int64())})
+
+    return run
 
 
 def _verify(percent: int):
@@ -247,8 +282,8 @@ def _verify(percent: int):
         at = names.index(leader) if leader in names else None
         linked = []
         if at is not None:
-            own = np.frombuffer(group["elements"][at].as_py(), _U)
-            for name, raw in zip(names, group["elements"], strict=True):
+            own = np.frombuffer(group["prints"][at].as_py(), _U)
+            for name, raw in zip(names, group["prints"], strict=True):
                 if name != leader:
                     other = np.frombuffer(raw.as_py(), _U)
                     place = np.minimum(np.searchsorted(own, other), len(own) - 1)
@@ -261,11 +296,10 @@ def _verify(percent: int):
     return run
 
 
-def verified_links(
-    pairs: DataFrame, sets: DataFrame, percent: int, few_pairs: int = FEW_PAIRS, block: int = 256
-) -> DataFrame:
-    """The pairs (u, v) that link. The candidates of a leader are checked in blocks, each of
-    which gets the leader's set, so a leader with very many of them is spread over tasks."""
+def checked_pairs(pairs: DataFrame, sets: DataFrame, prints: str, check, few_pairs: int, block: int) -> DataFrame:
+    """The pairs (u, v) that ``check`` keeps by the column ``prints`` of their sets. The
+    candidates of a leader are checked in blocks, each of which gets the leader's set, so a
+    leader with very many of them is spread over tasks."""
     dealt = pairs.distinct().withColumn("block", F.pmod(F.xxhash64("v"), F.lit(1 << 20)))
     size = dealt.groupBy("u").agg(F.count("*").alias("many"))
     dealt = cut_lineage(
@@ -275,8 +309,17 @@ def verified_links(
     leaders = dealt.select(F.col("u").alias("leader"), "block", F.col("u").alias("name")).distinct()
     asked = members.union(leaders)
     asked = F.broadcast(asked) if dealt.count() <= few_pairs else asked
-    rows = sets.select("name", "elements").join(asked, "name").select("leader", "block", "name", "elements")
-    return rows.groupBy("leader", "block").applyInArrow(_verify(percent), "u BIGINT, v BIGINT")
+    rows = sets.select("name", "n", F.col(prints).alias("prints")).join(asked, "name")
+    rows = rows.select("leader", "block", "name", "n", "prints")
+    return rows.groupBy("leader", "block").applyInArrow(check, "u BIGINT, v BIGINT")
+
+
+def verified_links(
+    pairs: DataFrame, sets: DataFrame, percent: int, few_pairs: int = FEW_PAIRS, block: int = 256
+) -> DataFrame:
+    """The pairs (u, v) that link: by fine sketches first, what they leave by whole sets."""
+    near = cut_lineage(checked_pairs(pairs, sets, "fine", _may_link(percent), few_pairs, block))
+    return checked_pairs(near, sets, "elements", _verify(percent), few_pairs, block)
 
 
 def _compare(percent: int):

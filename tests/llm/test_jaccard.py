@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plotscope.llm import jaccard
@@ -147,3 +148,23 @@ def test_component_labels(spark):
                 todo.append(x)
         assert got.get(start, start) == min(seen)
     assert component_labels(spark.createDataFrame([], "u BIGINT, v BIGINT")).count() == 0
+
+
+def test_fine_sketches_never_rule_out_a_link():
+    rng = np.random.default_rng(3)
+    for n, gone in ((5, 0), (700, 50), (9000, 700)):
+        own = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        other = np.unique(np.concatenate([own[gone:], rng.integers(0, 1 << 63, gone, dtype=np.uint64)]))
+        differ = len(np.setxor1d(own, other))
+        a, b = (np.frombuffer(jaccard.fine_sketch(x), np.uint8) for x in (own, other))
+        size = min(len(a), len(b))
+        assert np.bitwise_count(jaccard.folded(a, size) ^ jaccard.folded(b, size)).sum() <= differ
+        assert jaccard.folded(a, 128).tobytes() == jaccard.sketch(own)
+
+
+def test_fine_sketches_rule_out_unrelated_long_sets():
+    rng = np.random.default_rng(4)
+    one, two = (np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64)) for _ in range(2))
+    rows = [(1, len(one), jaccard.fine_sketch(one)), (2, len(two), jaccard.fine_sketch(two)), (3, len(one), jaccard.fine_sketch(one))]
+    group = pa.table({"leader": [1] * 3, "name": [r[0] for r in rows], "n": [r[1] for r in rows], "prints": [r[2] for r in rows]})
+    assert jaccard._may_link(85)(group).to_pydict() == {"u": [1], "v": [3]}
