@@ -209,6 +209,14 @@ def shared_lists(postings: DataFrame, tile: int) -> DataFrame:
     return postings.repartition(parts, "key").sortWithinPartitions("key", "name").mapInArrow(run, out)
 
 
+def merged_lists(lists: DataFrame) -> DataFrame:
+    """Lists with the same members say the same, so one stays; those of several tiles keep their key."""
+    long = lists.filter("tile > 0").select("key").distinct()
+    single = lists.filter("tile = 0").join(long, "key", "left_anti")
+    merged = single.groupBy("members").agg(F.min("key").alias("key")).withColumn("tile", F.lit(0).cast("long"))
+    return merged.unionByName(lists.join(long, "key", "left_semi")).select("key", "tile", "members")
+
+
 def _lists(found: list[tuple]) -> pa.RecordBatch:
     keys, tiles, members = zip(*found, strict=True) if found else ((), (), ())
     ends = np.cumsum([0, *map(len, members)]).astype(np.int32)
@@ -250,6 +258,11 @@ def member_sets(docs: DataFrame, nodes: DataFrame, key: str, text: str, width: i
     return sets.join(wanted, same).select("name", "n", "sketch", "fine", "elements")
 
 
+def _dealt(leader: int, block: int, names: list[int]) -> pa.Table:
+    columns = ([leader] * len(names), [block] * len(names), names)
+    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["u", "block", "v"])
+
+
 def _may_link(percent: int):
     """Pairs of a leader and its candidates that sizes and fine sketches do not rule out."""
 
@@ -268,7 +281,7 @@ def _may_link(percent: int):
                     size = min(len(own), len(other))
                     if np.bitwise_count(folded(own, size) ^ folded(other, size)).sum(dtype=np.int64) <= most:
                         near.add(name)
-        return pa.table({"u": pa.array([leader] * len(near), pa.int64()), "v": pa.array(sorted(near), pa.int64())})
+        return _dealt(leader, group["block"][0].as_py(), sorted(near))
 
     return run
 
@@ -290,36 +303,36 @@ def _verify(percent: int):
                     both = int((own[place] == other).sum())
                     if 100 * both >= percent * (len(own) + len(other) - both):
                         linked.append(name)
-        linked = sorted(set(linked))
-        return pa.table({"u": pa.array([leader] * len(linked), pa.int64()), "v": pa.array(linked, pa.int64())})
+        return _dealt(leader, group["block"][0].as_py(), sorted(set(linked)))
 
     return run
 
 
-def checked_pairs(pairs: DataFrame, sets: DataFrame, prints: str, check, few_pairs: int, block: int) -> DataFrame:
-    """The pairs (u, v) that ``check`` keeps by the column ``prints`` of their sets. The
-    candidates of a leader are checked in blocks, each of which gets the leader's set, so a
-    leader with very many of them is spread over tasks."""
-    dealt = pairs.distinct().withColumn("block", F.pmod(F.xxhash64("v"), F.lit(1 << 20)))
-    size = dealt.groupBy("u").agg(F.count("*").alias("many"))
-    dealt = cut_lineage(
-        dealt.join(size, "u").withColumn("block", F.expr(f"block % ((many + {block - 1}) div {block})")).drop("many")
-    )
+def checked_pairs(dealt: DataFrame, sets: DataFrame, prints: str, check, few: bool) -> DataFrame:
+    """The dealt pairs (u, block, v) that ``check`` keeps by the column ``prints`` of their sets."""
     members = dealt.select(F.col("u").alias("leader"), "block", F.col("v").alias("name"))
     leaders = dealt.select(F.col("u").alias("leader"), "block", F.col("u").alias("name")).distinct()
     asked = members.union(leaders)
-    asked = F.broadcast(asked) if dealt.count() <= few_pairs else asked
+    asked = F.broadcast(asked) if few else asked
     rows = sets.select("name", "n", F.col(prints).alias("prints")).join(asked, "name")
     rows = rows.select("leader", "block", "name", "n", "prints")
-    return rows.groupBy("leader", "block").applyInArrow(check, "u BIGINT, v BIGINT")
+    return rows.groupBy("leader", "block").applyInArrow(check, "u BIGINT, block BIGINT, v BIGINT")
 
 
 def verified_links(
     pairs: DataFrame, sets: DataFrame, percent: int, few_pairs: int = FEW_PAIRS, block: int = 256
 ) -> DataFrame:
-    """The pairs (u, v) that link: by fine sketches first, what they leave by whole sets."""
-    near = cut_lineage(checked_pairs(pairs, sets, "fine", _may_link(percent), few_pairs, block))
-    return checked_pairs(near, sets, "elements", _verify(percent), few_pairs, block)
+    """The pairs (u, v) that link: by fine sketches first, what they leave by whole sets. The
+    candidates of a leader are checked in blocks, each of which gets the leader's set, so a
+    leader with very many of them is spread over tasks."""
+    dealt = pairs.distinct().withColumn("block", F.pmod(F.xxhash64("v"), F.lit(1 << 20)))
+    size = dealt.groupBy("u").agg(F.count("*").alias("many"))
+    dealt = cut_lineage(
+        dealt.join(size, "u").select("u", F.expr(f"block % ((many + {block - 1}) div {block})").alias("block"), "v")
+    )
+    few = dealt.count() <= few_pairs
+    near = cut_lineage(checked_pairs(dealt, sets, "fine", _may_link(percent), few))
+    return checked_pairs(near, sets, "elements", _verify(percent), few).select("u", "v")
 
 
 def _compare(percent: int):
@@ -388,6 +401,11 @@ def nearest_pairs(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return best.select("best.u", "best.v")
 
 
+def separate_pairs(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """All pairs whose ends are in different components."""
+    return labelled(pairs, labels).filter("lu <> lv").select("u", "v")
+
+
 def star_pairs(lists: DataFrame) -> DataFrame:
     """Every set with one leader: of the members of its lists, the one that shares most
     lists with most others. What this leaves out is compared later."""
@@ -422,11 +440,7 @@ def jaccard_components(
     listed = cut_lineage(listed_sets(docs, key, text, width, percent, scan_cost))
     found = listed.select(F.explode("keys").alias("key"), "name")
     lists = cut_lineage(shared_lists(found, tile))
-    # Lists with the same members say the same; only those of several tiles need their key.
-    single = lists.filter("tile = 0").join(lists.filter("tile > 0").select("key").distinct(), "key", "left_anti")
-    merged = single.groupBy("members").agg(F.min("key").alias("key")).select("key", F.lit(0).cast("long").alias("tile"), "members")
-    several = lists.join(lists.filter("tile > 0").select("key").distinct(), "key", "left_semi").select("key", "tile", "members")
-    lists = cut_lineage(merged.unionByName(several))
+    lists = cut_lineage(merged_lists(lists))
     first = listed.filter("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("first_id"))
     in_lists = lists.select(F.explode("members").alias("node")).distinct()
     nodes = cut_lineage(in_lists.join(first.withColumnRenamed("name", "node"), "node"))
@@ -436,11 +450,13 @@ def jaccard_components(
     labels = component_labels(links)
     rest = cut_lineage(open_pairs(lists, labels, sets, percent))
     # Between two components one link is enough, so the likeliest pair is tried first.
-    links = cut_lineage(links.union(verified_links(nearest_pairs(rest, labels), sets, percent, few_pairs)))
-    labels = component_labels(links)
-    rest = labelled(rest, labels).filter("lu <> lv").select("u", "v")
-    links = links.union(cut_lineage(verified_links(rest, sets, percent, few_pairs)))
-    labels = component_labels(links)
+    for choose in (nearest_pairs, separate_pairs):
+        asked = cut_lineage(choose(rest, labels))
+        if not asked.isEmpty():
+            more = cut_lineage(verified_links(asked, sets, percent, few_pairs))
+            if not more.isEmpty():
+                links = links.union(more)
+                labels = component_labels(links)
     named = first.join(labels.withColumnRenamed("node", "name"), "name", "left")
     named = named.withColumn("label", F.coalesce("label", "name"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))

@@ -166,5 +166,5 @@ def test_fine_sketches_rule_out_unrelated_long_sets():
     rng = np.random.default_rng(4)
     one, two = (np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64)) for _ in range(2))
     rows = [(1, len(one), jaccard.fine_sketch(one)), (2, len(two), jaccard.fine_sketch(two)), (3, len(one), jaccard.fine_sketch(one))]
-    group = pa.table({"leader": [1] * 3, "name": [r[0] for r in rows], "n": [r[1] for r in rows], "prints": [r[2] for r in rows]})
-    assert jaccard._may_link(85)(group).to_pydict() == {"u": [1], "v": [3]}
+    group = pa.table({"leader": [1] * 3, "block": [0] * 3, "name": [r[0] for r in rows], "n": [r[1] for r in rows], "prints": [r[2] for r in rows]})
+    assert jaccard._may_link(85)(group).to_pydict() == {"u": [1], "block": [0], "v": [3]}
