@@ -28,20 +28,29 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    hung = _hang(down.distinct())
+    hung = _hang(down)
     moved = hung.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(hung.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether distinct edges from larger to smaller nodes hang every node on one other
+    that hangs on none: then each star is a component."""
+    ends = edges.selectExpr("u AS node", "1 AS up", "0 AS down").union(edges.selectExpr("v", "0", "1"))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1").isEmpty()
+
+
 def component_labels(edges: DataFrame) -> DataFrame:
     """From links (u, v) of two longs: node and ``label``, the smallest node of its
     component, for every node but those smallest ones. Loops and repeated links do no
     harm; null ends are dropped. No links give no rows."""
-    edges = edges.filter("u <> v").select("u", "v").distinct()
-    known = None
+    edges = edges.filter("u <> v").select("u", "v")
     while True:
         edges = cut_lineage(_small_star(_large_star(edges)))
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
-        if state == known:
+        if _are_stars(edges):
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        known = state
+
+
+def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after more links (u, v): the stars found so far stand for the links before."""
+    return component_labels(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).union(links))

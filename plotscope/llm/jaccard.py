@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plotscope.llm.common import cut_lineage, small_slices
-from plotscope.llm.components import component_labels
+from plotscope.llm.components import component_labels, joined_labels
 from plotscope.llm.shingles import Powers, mix, shingle_sets, wrapped
 
 WIDTH = 4
@@ -446,8 +446,7 @@ def jaccard_components(
     nodes = cut_lineage(in_lists.join(first.withColumnRenamed("name", "node"), "node"))
     few = nodes.count() <= few_nodes
     sets = cut_lineage(member_sets(docs, nodes, key, text, width, few))
-    links = cut_lineage(verified_links(star_pairs(lists), sets, percent, few_pairs))
-    labels = component_labels(links)
+    labels = component_labels(cut_lineage(verified_links(star_pairs(lists), sets, percent, few_pairs)))
     rest = cut_lineage(open_pairs(lists, labels, sets, percent))
     # Between two components one link is enough, so the likeliest pair is tried first.
     for choose in (nearest_pairs, separate_pairs):
@@ -455,8 +454,7 @@ def jaccard_components(
         if not asked.isEmpty():
             more = cut_lineage(verified_links(asked, sets, percent, few_pairs))
             if not more.isEmpty():
-                links = links.union(more)
-                labels = component_labels(links)
+                labels = joined_labels(labels, more)
     named = first.join(labels.withColumnRenamed("node", "name"), "name", "left")
     named = named.withColumn("label", F.coalesce("label", "name"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
