@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from plotscope.llm import jaccard
-from plotscope.llm.components import component_labels
+from plotscope.llm.components import component_labels, joined_labels
 from plotscope.llm.shingles import Powers, shingle_sets
 from tests.llm.helpers import AWKWARD, docs
 
@@ -150,6 +150,14 @@ def test_component_labels(spark):
     assert component_labels(spark.createDataFrame([], "u BIGINT, v BIGINT")).count() == 0
 
 
+def test_joined_labels(spark):
+    pick = random.Random(4)
+    before, more = ([(pick.randrange(200), pick.randrange(200)) for _ in range(n)] for n in (90, 40))
+    frames = [spark.createDataFrame(e, "u BIGINT, v BIGINT") for e in (before, more, before + more)]
+    joined = joined_labels(component_labels(frames[0]), frames[1])
+    assert sorted(joined.collect()) == sorted(component_labels(frames[2]).collect())
+
+
 def test_fine_sketches_never_rule_out_a_link():
     rng = np.random.default_rng(3)
     for n, gone in ((5, 0), (700, 50), (9000, 700)):
