@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plotscope.llm import jaccard
 from plotscope.llm.common import cut_lineage
-from plotscope.llm.components import component_labels
 
 SEED = 20240607
 #: The first steps are all kept, then so many of every doubling of the steps.
@@ -36,6 +36,10 @@ RANGE_ROWS = 128
 MOST_RANGES = 4096
 #: Sampled characters per band.
 BAND = 6
+#: Last characters of a fingerprint that rule pairs out before whole fingerprints travel.
+TAIL = 32
+#: Up to so many classes of several rows their table is broadcast; beyond, joined by shuffle.
+FEW_CLASSES = 1_000_000
 
 _CLASSES = 64
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
@@ -100,6 +104,11 @@ def _level(slot: np.ndarray) -> np.ndarray:
     return np.maximum(0, (slot - FIRST_STEPS) // PER_LEVEL + 1)
 
 
+def _weights(slots: np.ndarray) -> np.ndarray:
+    """Steps that each sampled one stands for."""
+    return np.where(slots < FIRST_STEPS, 1.0, (FIRST_STEPS / PER_LEVEL) * 2.0 ** (_level(slots) - 1))
+
+
 def likeness(a: str, b: str) -> float:
     """Share of equal steps of the longer walk, estimated from the sample and corrected
     for the bits that agree by chance: 1 for equal prints, about 0 for unrelated ones."""
@@ -109,8 +118,7 @@ def likeness(a: str, b: str) -> float:
     if not longer or not min(len(a), len(b)):
         return 0.0
     shorter = min(len(a), len(b))
-    slots = np.arange(longer)
-    weight = np.where(slots < FIRST_STEPS, 1.0, (FIRST_STEPS / PER_LEVEL) * 2.0 ** (_level(slots) - 1))
+    weight = _weights(np.arange(longer))
     left, right = (np.frombuffer(x[:shorter].encode("ascii"), np.uint8) for x in (a, b))
     same = float(weight[:shorter][left == right].sum()) / float(weight.sum())
     return max(0.0, (same - 1 / 16) / (1 - 1 / 16))
@@ -240,25 +248,114 @@ def edit_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text")
     return found.withColumnRenamed("doc_id", key)
 
 
-def near_classes(prints: DataFrame, least: float = 0.8, key: str = "doc_id") -> DataFrame:
-    """Classes of documents with like fingerprints: the key and ``class_id``.
+class Tails:
+    """Sizes and last characters of some fingerprints, those of one step in one column."""
+
+    def __init__(self, sizes: np.ndarray, tails: Sequence[bytes], least: float):
+        self.total = np.concatenate([[0.0], np.cumsum(_weights(np.arange(max(sizes, default=0))))])[sizes]
+        raw = np.frombuffer(b"".join(tails), np.uint8).reshape(len(sizes), TAIL // 2)
+        turn = (np.arange(TAIL) - sizes[:, None]) % TAIL
+        self.symbols = np.take_along_axis(np.stack([raw >> 4, raw & 15], axis=2).reshape(-1, TAIL), turn, axis=1)
+        self.slots = (sizes[:, None] - TAIL + turn).astype(np.int16)
+        # Likeness is cut off at 0, and rounding must not lose a pair.
+        self.most = 1 - (least * 15 / 16 + 1 / 16 - 1e-9) if least > 0 else 1.0
+
+    def near(self, one: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the others whose likeness to ``one`` may be enough, and the share of
+        steps in which they differ at least."""
+        longer = np.maximum(self.total[others], self.total[one])
+        lost = np.abs(self.total[others] - self.total[one]) / longer
+        others, lost, longer = (x[lost <= self.most] for x in (others, lost, longer))
+        differ = (self.slots[others] == self.slots[one]) & (self.symbols[others] != self.symbols[one])
+        lost = lost + differ @ _weights(self.slots[one].astype(np.int64)) / longer
+        return others[lost <= self.most], lost[lost <= self.most]
+
+
+def _compare(least: float):
+    """Pairs of two tiles of a band that are in different components and may be alike."""
+
+    def run(group: pa.Table) -> pa.Table:
+        names, labels, side = (group[c].to_numpy() for c in ("name", "label", "side"))
+        tails = Tails(group["n"].to_numpy(), group["sketch"].to_pylist(), least)
+        left, far = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        found = [np.empty((0, 3), np.int64)]
+        for place, i in enumerate(left):
+            right = far if len(far) else left[place + 1 :]
+            others, lost = tails.near(i, right[(labels[right] != labels[i]) & (names[right] != names[i])])
+            ends = np.minimum(names[others], names[i]), np.maximum(names[others], names[i])
+            found.append(np.stack([*ends, (lost * 1e6).astype(np.int64)], axis=1))
+        rows = np.unique(np.concatenate(found), axis=0)
+        return pa.table({c: pa.array(rows[:, i], pa.int64()) for i, c in enumerate(("u", "v", "differ"))})
+
+    return run
+
+
+def _checked(alike):
+    """The candidates of a leader that ``alike`` finds: it gets the place of the leader, sizes
+    and prints, and says which rows stay."""
+
+    def run(group: pa.Table) -> pa.Table:
+        leader, names = group["leader"][0].as_py(), group["name"].to_pylist()
+        kept = alike(names.index(leader), group["n"].to_numpy(), group["prints"].to_pylist()) if leader in names else []
+        return jaccard._dealt(leader, group["block"][0].as_py(), sorted({names[i] for i in kept} - {leader}))
 
-    Fingerprints are cut into bands; documents that share a band with its smallest key are
-    candidates of that one and verified by likeness. Null keys are left out; documents
-    with equal fingerprints are always together; an empty print is alike only to empty ones.
+    return run
+
+
+def _may_be_alike(least: float):
+    return _checked(lambda at, sizes, tails: Tails(sizes, tails, least).near(at, np.arange(len(sizes)))[0])
+
+
+def _alike(least: float):
+    return _checked(lambda at, _, prints: [i for i, x in enumerate(prints) if likeness(prints[at], x) >= least])
+
+
+def with_classes(prints: DataFrame, least: float = 0.8, key: str = "doc_id", tile: int = jaccard.TILE) -> DataFrame:
+    """Adds ``class_id`` to rows with a fingerprint: the smallest key that links reach.
+
+    Fingerprints are cut into bands; two documents link when they share a band and their
+    likeness is ``least`` or more. The members of a band are first verified against one
+    leader; of those, what is then in different components is compared in tiles, so no link
+    is lost. Documents with equal fingerprints are always together; an empty print is alike
+    only to empty ones. Rows with a null key link nothing and have no class. Different
+    fingerprints are told apart by 64-bit hashes.
     """
     rows = prints.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), "fingerprint")
-    first = cut_lineage(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("node")))
+    sets = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"))
+    n = "length(fingerprint)"
+    sets = cut_lineage(
+        sets.select(
+            F.xxhash64("fingerprint").alias("name"),
+            F.expr(f"CAST({n} AS BIGINT)").alias("n"),
+            F.expr(f"unhex(right(lpad(fingerprint, greatest({n}, {TAIL}), '0'), {TAIL}))").alias("sketch"),
+            "fingerprint",
+            "first_id",
+            "rows",
+        )
+    )
+    # The number of the band and its characters after a 1, in one number.
     bands = F.expr(
-        f"transform(sequence(0, greatest((length(fingerprint) - 1) div {BAND}, 0)),"
-        f" i -> struct(i, substr(fingerprint, i * {BAND} + 1, {BAND})))"
+        f"transform(sequence(0, ({n} - 1) div {BAND}), i -> i * {16 ** (BAND + 1)}L"
+        f" + CAST(conv(concat('1', substr(fingerprint, i * {BAND} + 1, {BAND})), 16, 10) AS BIGINT))"
     )
-    listed = first.filter("fingerprint <> ''").select("node", F.explode(bands).alias("band"))
-    leader = listed.groupBy("band").agg(F.min("node").alias("u"))
-    pairs = listed.join(leader, "band").filter("u <> node").select("u", F.col("node").alias("v")).distinct()
-    alike = F.udf(likeness, "double", useArrow=True)
-    left, right = (first.select(F.col("node").alias(c), F.col("fingerprint").alias(f"f{c}")) for c in "uv")
-    links = pairs.join(left, "u").join(right, "v").filter(alike("fu", "fv") >= least).select("u", "v")
-    labels = component_labels(links)
-    named = first.join(labels, "node", "left").select("fingerprint", F.coalesce("label", "node").alias("class_id"))
-    return rows.join(named, "fingerprint").select(F.col("doc_id").alias(key), "class_id")
+    postings = sets.filter("n > 0").select(F.explode(bands).alias("key"), "name")
+    lists = cut_lineage(jaccard.merged_lists(cut_lineage(jaccard.shared_lists(postings, tile))))
+    checks = (("sketch", _may_be_alike), ("fingerprint", _alike))
+    labels = jaccard.list_components(lists, sets, least, checks=checks, compare=_compare)
+    named = sets.select("name", "first_id", "rows").join(labels.withColumnRenamed("node", "name"), "name", "left")
+    named = named.withColumn("label", F.coalesce("label", "name"))
+    smallest = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
+    shared = named.join(smallest, "label").filter("rows > 1 OR class_id <> first_id")
+    shared = cut_lineage(shared.select(F.col("name").alias("print_name"), "class_id"))
+    if shared.count() <= FEW_CLASSES:
+        shared = F.broadcast(shared)
+    found = prints.join(shared, F.xxhash64("fingerprint") == F.col("print_name"), "left")
+    own = F.when(F.col(key).isNotNull(), F.coalesce("class_id", F.col(key).cast("long")))
+    return found.select(*prints.columns, own.alias("class_id"))
+
+
+def near_classes(prints: DataFrame, least: float = 0.8, key: str = "doc_id") -> DataFrame:
+    """Classes of documents with like fingerprints: the key and ``class_id`` of every row
+    with a key, as ``with_classes`` finds them."""
+    found = with_classes(prints.select(key, "fingerprint"), least, key).filter(F.col(key).isNotNull())
+    return found.select(F.col(key).cast("long").alias(key), "class_id")

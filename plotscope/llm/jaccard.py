@@ -319,8 +319,12 @@ def checked_pairs(dealt: DataFrame, sets: DataFrame, prints: str, check, few: bo
     return rows.groupBy("leader", "block").applyInArrow(check, "u BIGINT, block BIGINT, v BIGINT")
 
 
+#: What pairs are checked by, in turn: a column of the sets, and the check that gets it.
+CHECKS = (("fine", _may_link), ("elements", _verify))
+
+
 def verified_links(
-    pairs: DataFrame, sets: DataFrame, percent: int, few_pairs: int = FEW_PAIRS, block: int = 256
+    pairs: DataFrame, sets: DataFrame, least: float, few_pairs: int = FEW_PAIRS, block: int = 256, checks=CHECKS
 ) -> DataFrame:
     """The pairs (u, v) that link: by fine sketches first, what they leave by whole sets. The
     candidates of a leader are checked in blocks, each of which gets the leader's set, so a
@@ -331,8 +335,10 @@ def verified_links(
         dealt.join(size, "u").select("u", F.expr(f"block % ((many + {block - 1}) div {block})").alias("block"), "v")
     )
     few = dealt.count() <= few_pairs
-    near = cut_lineage(checked_pairs(dealt, sets, "fine", _may_link(percent), few))
-    return checked_pairs(near, sets, "elements", _verify(percent), few).select("u", "v")
+    for prints, check in checks[:-1]:
+        dealt = cut_lineage(checked_pairs(dealt, sets, prints, check(least), few))
+    prints, check = checks[-1]
+    return checked_pairs(dealt, sets, prints, check(least), few).select("u", "v")
 
 
 def _compare(percent: int):
@@ -365,7 +371,7 @@ def _compare(percent: int):
     return run
 
 
-def open_pairs(lists: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def open_pairs(lists: DataFrame, labels: DataFrame, sets: DataFrame, least: float, compare=_compare) -> DataFrame:
     """Candidate pairs (u, v) that share a list but no component, and the bits in which
     their sketches differ."""
     rows = lists.select("key", "tile", F.explode("members").alias("name"))
@@ -383,7 +389,7 @@ def open_pairs(lists: DataFrame, labels: DataFrame, sets: DataFrame, percent: in
     )
     met = met.join(sets.select("name", "n", "sketch"), "name")
     met = met.select("key", "a", "b", "side", "name", "label", "n", "sketch")
-    return met.groupBy("key", "a", "b").applyInArrow(_compare(percent), "u BIGINT, v BIGINT, differ BIGINT").distinct()
+    return met.groupBy("key", "a", "b").applyInArrow(compare(least), "u BIGINT, v BIGINT, differ BIGINT").distinct()
 
 
 def labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -417,6 +423,22 @@ def star_pairs(lists: DataFrame) -> DataFrame:
     return best.select(F.col("lead.name").alias("u"), F.col("name").alias("v")).filter("u <> v")
 
 
+def list_components(
+    lists: DataFrame, sets: DataFrame, least: float, few_pairs: int = FEW_PAIRS, checks=CHECKS, compare=_compare
+) -> DataFrame:
+    """Components (node, label) of all links between sets that share a list."""
+    labels = component_labels(cut_lineage(verified_links(star_pairs(lists), sets, least, few_pairs, checks=checks)))
+    rest = cut_lineage(open_pairs(lists, labels, sets, least, compare))
+    # Between two components one link is enough, so the likeliest pair is tried first.
+    for choose in (nearest_pairs, separate_pairs):
+        asked = cut_lineage(choose(rest, labels))
+        if not asked.isEmpty():
+            more = cut_lineage(verified_links(asked, sets, least, few_pairs, checks=checks))
+            if not more.isEmpty():
+                labels = joined_labels(labels, more)
+    return labels
+
+
 def jaccard_components(
     docs: DataFrame,
     key: str = "doc_id",
@@ -446,15 +468,7 @@ def jaccard_components(
     nodes = cut_lineage(in_lists.join(first.withColumnRenamed("name", "node"), "node"))
     few = nodes.count() <= few_nodes
     sets = cut_lineage(member_sets(docs, nodes, key, text, width, few))
-    labels = component_labels(cut_lineage(verified_links(star_pairs(lists), sets, percent, few_pairs)))
-    rest = cut_lineage(open_pairs(lists, labels, sets, percent))
-    # Between two components one link is enough, so the likeliest pair is tried first.
-    for choose in (nearest_pairs, separate_pairs):
-        asked = cut_lineage(choose(rest, labels))
-        if not asked.isEmpty():
-            more = cut_lineage(verified_links(asked, sets, percent, few_pairs))
-            if not more.isEmpty():
-                labels = joined_labels(labels, more)
+    labels = list_components(lists, sets, percent, few_pairs)
     named = first.join(labels.withColumnRenamed("node", "name"), "name", "left")
     named = named.withColumn("label", F.coalesce("label", "name"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))

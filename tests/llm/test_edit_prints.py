@@ -91,3 +91,50 @@ def test_near_classes(spark):
     df = spark.createDataFrame([(k, p) for (k, _), p in zip(rows, prints, strict=True)], "doc_id BIGINT, fingerprint STRING")
     got = {r.doc_id: r.class_id for r in edit_prints.near_classes(df, least=0.7).collect()}
     assert got == {1: 1, 2: 2, 3: 1, 4: 1, 5: 5, 6: 5}
+
+
+def linked(rows, least=0.8):
+    """Components of the rows (key, print) that share a band and are alike, by brute force."""
+    label = {k: k for k, _ in rows}
+    bands = [{(i, p[i : i + edit_prints.BAND]) for i in range(0, len(p), edit_prints.BAND)} for _, p in rows]
+    for i, (k, p) in enumerate(rows):
+        for j, (m, q) in enumerate(rows[:i]):
+            if p == q or (bands[i] & bands[j] and edit_prints.likeness(p, q) >= least):
+                a, b = sorted((label[k], label[m]))
+                label = {x: a if y == b else y for x, y in label.items()}
+    return label
+
+
+def classes(spark, rows, **options):
+    df = spark.createDataFrame(rows, "doc_id BIGINT, fingerprint STRING")
+    return {r.doc_id: r.class_id for r in edit_prints.with_classes(df, **options).collect()}
+
+
+def changed(print_, places):
+    return "".join(f"{15 - int(c, 16):x}" if i in places else c for i, c in enumerate(print_))
+
+
+def test_chain_whose_ends_are_not_alike(spark):
+    """All bands that the last two share are the first one's too, and that is a stranger to the last."""
+    first = noise(5, "0123456789abcdef", 64)
+    middle = changed(first, {0, 1, 2, 6, 7, 8, 12, 13, 14})
+    last = changed(middle, {3, 4, 5, 9, 10, 11, 15, 16, 17})
+    assert edit_prints.likeness(first, last) < 0.8 <= min(edit_prints.likeness(middle, x) for x in (first, last))
+    stranger = first[:24] + noise(6, "0123456789abcdef", 40)
+    rows = [(1, stranger), (2, first), (3, middle), (4, last)]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, fingerprint STRING")
+    got = {r.doc_id: r.class_id for r in edit_prints.near_classes(df).collect()}
+    assert got == linked(rows) == {1: 1, 2: 2, 3: 2, 4: 2}
+
+
+def test_classes_follow_brute_force(spark):
+    pick, rows = random.Random(7), []
+    for _ in range(30):
+        print_ = noise(pick.random(), "0123456789abcdef", pick.choice([3, 20, 40, 70, 110, 200, 300]))
+        for _ in range(pick.randint(1, 6)):
+            print_ = changed(print_, set(pick.sample(range(len(print_)), len(print_) * pick.randint(0, 20) // 100)))
+            print_ = print_[: len(print_) - pick.randint(0, 2)]
+            rows.append((pick.randrange(10**6), print_))
+    pick.shuffle(rows)
+    for least in (0.8, 0.6):
+        assert classes(spark, rows, least=least, tile=3) == linked(rows, least)
