@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotscope.llm import edit_prints, jaccard, mixing, packing, pii, quality, secrets, token_tree, topk, url_templates
+from plotscope.llm.common import cut_lineage
 
 # The rules that the URL verdicts are asked for with.
 URL_RULES = [
@@ -72,7 +73,8 @@ def op6_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_prints.edit_fingerprints(table(spark, sf_dir, "documents"))
+    """Fingerprints, likenesses and the class of like documents, by bands and verification."""
+    return edit_prints.with_classes(cut_lineage(edit_prints.edit_fingerprints(table(spark, sf_dir, "documents"))))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,3 +138,11 @@ def test_classes_follow_brute_force(spark):
     pick.shuffle(rows)
     for least in (0.8, 0.6):
         assert classes(spark, rows, least=least, tile=3) == linked(rows, least)
+
+
+def test_query_has_the_classes(spark, tiny):
+    from plotscope.llm.queries import op7_edit_fingerprints
+
+    found = op7_edit_fingerprints(spark, tiny).collect()
+    assert {r.doc_id: r.class_id for r in found} == linked([(r.doc_id, r.fingerprint) for r in found])
+    assert len({r.class_id for r in found}) < len(found)
