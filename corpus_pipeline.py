@@ -19,6 +19,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep_good(docs, net)
 
 
+#: Near copies of this stage: words of a shingle and the likeness in percent; op9's contract
+#: has other values for its query.
+NEAR_WIDTH = 5
+NEAR_PERCENT = 80
 #: Up to so many keys are broadcast to the documents; beyond, they are joined by shuffle.
 FEW_KEYS = 1_000_000
 
@@ -30,7 +34,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     group and stay. Of rows that agree in key and text one stays.
     """
     groups = common.cut_lineage(
-        jaccard.jaccard_components(docs)
+        jaccard.jaccard_components(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
         .groupBy("doc_id")
         .agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows"))
     )

@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter
 
@@ -75,3 +76,23 @@ def test_awkward_rows(spark, tiny):
         assert stage(spark, frame(spark, []), tiny).count() == 0
     kept = corpus_pipeline.keep_one_of_each(spark, frame(spark, rows), tiny).collect()
     assert sorted((r.doc_id for r in kept), key=repr) == [1, 2, 3, 4, 5, 6, None, None]
+
+
+def five_word_sets(rows):
+    words = [(t or "").lower().split() for t in rows]
+    return [set(zip(*(w[i:] for i in range(5)), strict=False)) if len(w) >= 5 else {tuple(w)} for w in words]
+
+
+def test_near_copies_are_those_of_five_words_and_four_fifths(spark, tiny):
+    pick, texts = random.Random(5), []
+    for _ in range(30):
+        words = [f"w{pick.randrange(5000)}" for _ in range(100)]
+        texts.append(" ".join(words))
+        more = [f"w{pick.randrange(5000)}" for _ in range(pick.choice([5, 15, 20, 22, 23, 24, 25, 40]))]
+        texts.append(" ".join(words + more))
+    sets = five_word_sets(texts)
+    like = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert any(0.8 <= x < 0.85 for x in like) and any(x < 0.8 for x in like)
+    want = [*range(0, 60, 2), *(2 * i + 1 for i, x in enumerate(like) if x < 0.8)]
+    kept = corpus_pipeline.keep_one_of_each(spark, frame(spark, [(i, t, "a") for i, t in enumerate(texts)]), tiny)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
