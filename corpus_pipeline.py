@@ -30,18 +30,24 @@ FEW_KEYS = 1_000_000
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies: the one whose key names the group.
 
-    Documents without words link with nothing and stay. Rows with a null key name no
-    group and stay. Of rows that agree in key and text one stays.
+    Rows are told apart by key and text, so of several texts under one key each goes with
+    its own group; of those in one group the one with the smallest hash stays. Documents
+    without words link with nothing and stay. Rows with a null key name no group and
+    stay. Of rows that agree in key and text one stays.
     """
+    mark = F.when(F.col("doc_id").isNotNull(), F.xxhash64("text"))
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", mark.alias("mark")))
     groups = common.cut_lineage(
-        jaccard.jaccard_components(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
-        .groupBy("doc_id")
+        jaccard.jaccard_components(docs.select(row.alias("row"), "text"), "row", width=NEAR_WIDTH, percent=NEAR_PERCENT)
+        .groupBy("row")
         .agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows"))
     )
-    lead = groups.filter("doc_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("lead"))
+    lead = groups.filter("row IS NULL OR row = component_id")
+    lead = lead.select(F.col("row.doc_id").alias("lead"), F.col("row.mark").alias("lead_mark"))
     if lead.count() <= FEW_KEYS:
         lead = F.broadcast(lead)
-    kept = docs.join(lead, F.col("doc_id").eqNullSafe(F.col("lead")), "left_semi")
+    same = F.col("doc_id").eqNullSafe(F.col("lead")) & mark.eqNullSafe(F.col("lead_mark"))
+    kept = docs.join(lead, same, "left_semi")
     if groups.filter("rows > 1").isEmpty():
         return kept
     return kept.dropDuplicates(["doc_id", "text"])

@@ -240,7 +240,7 @@ def member_sets(docs: DataFrame, nodes: DataFrame, key: str, text: str, width: i
             rows = []
             texts = shingle_sets(batch.column(1).to_pylist(), width, powers)
             for k, e in zip(batch.column(0).to_pylist(), texts, strict=True):
-                mark = (set_name(e), k)
+                mark = (set_name(e), tuple(k.values()) if isinstance(k, dict) else k)
                 if len(e) and mark not in seen:
                     if len(seen) >= _SEEN:
                         seen.clear()

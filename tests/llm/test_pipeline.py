@@ -96,3 +96,12 @@ def test_near_copies_are_those_of_five_words_and_four_fifths(spark, tiny):
     want = [*range(0, 60, 2), *(2 * i + 1 for i, x in enumerate(like) if x < 0.8)]
     kept = corpus_pipeline.keep_one_of_each(spark, frame(spark, [(i, t, "a") for i, t in enumerate(texts)]), tiny)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
+
+
+def test_two_texts_under_one_key(spark, tiny):
+    words = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    a, b, c = words("a"), words("b"), words("c")
+    rows = [(3, a, "x"), (5, a + " z", "x"), (5, b, "x"), (9, b + " z", "x"), (7, c, "x"), (7, c + " z", "x"), (8, "", "x"), (8, c.upper(), "x")]
+    kept = corpus_pipeline.keep_one_of_each(spark, frame(spark, rows), tiny).collect()
+    got = sorted((r.doc_id, r.text) for r in kept)
+    assert got in [sorted([(3, a), (5, b), (7, x), (8, "")]) for x in (c, c + " z")]
