@@ -14,6 +14,7 @@ URLs is a few counted rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,9 +23,10 @@ from plotscope.llm.common import cut_lineage
 
 Rule = tuple[str, str, str]
 
-#: Levels of the tree; what lies deeper is one more segment, a wildcard.
+#: Where ``segments`` cuts unless told otherwise; the tree takes whole paths.
 DEPTH = 6
-#: With more siblings than this, those under RARE of their parent's URLs are a wildcard.
+#: With more siblings than this, those under RARE of their parent's URLs are a wildcard, but
+#: not those whose labelled rate differs from the others'.
 FAN_OUT = 16
 RARE = 0.05
 #: Two-sided 5 % point of the normal distribution.
@@ -59,9 +61,10 @@ def matched_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Col
     return rule, verdict
 
 
-def segments(path: Column) -> Column:
+def segments(path: Column, depth: int | None = DEPTH) -> Column:
     """Path segments as shapes: numbers, long hexadecimal runs and file endings of numbers
-    are wildcards of their own already; the rest keeps its letters."""
+    are wildcards of their own already; the rest keeps its letters. What lies deeper than
+    ``depth`` is one more segment, a wildcard."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
 
     def shape(s: Column) -> Column:
@@ -69,39 +72,52 @@ def segments(path: Column) -> Column:
         return F.when(s.rlike(r"^(?=.*[0-9])[0-9a-fA-F-]{8,}$") & ~s.rlike(r"^[0-9]+$"), F.lit("{h}")).otherwise(stem)
 
     shapes = F.transform(parts, shape)
-    deep = F.concat(F.slice(shapes, 1, DEPTH), F.array(F.lit("{**}")))
-    return F.when(F.size(shapes) > DEPTH, deep).otherwise(shapes)
+    if depth is None:
+        return shapes
+    deep = F.concat(F.slice(shapes, 1, depth), F.array(F.lit("{**}")))
+    return F.when(F.size(shapes) > depth, deep).otherwise(shapes)
 
 
 def template_tree(paths: DataFrame) -> DataFrame:
     """From counted paths (host, shape, n, allowed, blocked; the last two count labelled
-    URLs) the template of each: adds ``template``, the segments after generalisation."""
-    depth = paths.agg(F.max(F.size("shape"))).collect()[0][0] or 0
+    URLs) the template of each: adds ``template``, the segments after generalisation.
+
+    The tree grows to the depth of the paths. A path that is alone under its template has no
+    siblings further on and is done at once, so rounds go as deep as paths share templates.
+    """
     grown = paths.withColumn("template", F.array().cast("array<string>"))
-    for level in range(1, depth + 1):
+    columns, done, level = grown.columns, [], 0
+    while True:
+        level += 1
         at = grown.withColumn("segment", F.get("shape", F.lit(level - 1)))
+        done.append(at.filter("segment IS NULL").select(*columns))
         inner = at.filter("segment IS NOT NULL")
         child = inner.groupBy("host", "template", "segment").agg(
-            *(F.sum(c).alias(c) for c in ("n", "allowed", "blocked"))
+            F.count("*").alias("paths"), *(F.sum(c).alias(c) for c in ("n", "allowed", "blocked"))
         )
         parent = child.groupBy("host", "template").agg(
             F.count("*").alias("siblings"),
+            F.sum("paths").alias("all_paths"),
             *(F.sum(c).alias(f"all_{c}") for c in ("n", "allowed", "blocked")),
         )
         labelled, rest = "(allowed + blocked)", "(all_allowed + all_blocked - allowed - blocked)"
         pooled = "((all_blocked + 1D) / (all_allowed + all_blocked + 2D))"
         gap = f"abs((blocked + 1D) / ({labelled} + 2D) - (all_blocked - blocked + 1D) / ({rest} + 2D))"
         spread = f"sqrt({pooled} * (1 - {pooled}) * (1D / ({labelled} + 2D) + 1D / ({rest} + 2D)))"
+        like = f"{gap} < {DIFFERS}D * {spread}"
         name = f"""CASE WHEN segment LIKE '{{%' THEN segment
-            WHEN siblings > {FAN_OUT} AND n < {RARE}D * all_n THEN '{{*}}'
-            WHEN siblings > 1 AND {gap} < {DIFFERS}D * {spread} THEN '{{~}}' ELSE segment END AS name"""
-        named = child.join(parent, ["host", "template"]).selectExpr("host", "template", "segment", name)
-        merged = inner.join(named, ["host", "template", "segment"]).withColumn(
-            "template", F.concat("template", F.array("name"))
-        )
-        done = at.filter("segment IS NULL").drop("segment")
-        grown = cut_lineage(merged.select(*done.columns).unionByName(done))
-    return grown
+            WHEN siblings > {FAN_OUT} AND n < {RARE}D * all_n AND ({labelled} = 0 OR {like}) THEN '{{*}}'
+            WHEN siblings > 1 AND {like} THEN '{{~}}' ELSE segment END AS name"""
+        named = child.join(parent, ["host", "template"]).selectExpr("host", "template", "segment", "all_paths", name)
+        alone = F.col("all_paths") == 1
+        rest_of = F.when(alone, F.slice("shape", level, F.size("shape"))).otherwise(F.array("name"))
+        merged = inner.join(named, ["host", "template", "segment"]).withColumn("alone", alone)
+        merged = cut_lineage(merged.withColumn("template", F.concat("template", rest_of)))
+        done.append(merged.filter("alone").select(*columns))
+        grown = merged.filter("NOT alone").select(*columns)
+        if grown.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, done)
 
 
 def domain(host: Column) -> Column:
@@ -134,7 +150,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], key: str = "page_id", ur
     host, path = url_parts(F.col(url))
     rows = pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"))
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.select("*", rule.alias("rule"), verdict.alias("decided"), segments(F.col("path")).alias("shape"))
+    rows = rows.select("*", rule.alias("rule"), verdict.alias("decided"), segments(F.col("path"), None).alias("shape"))
     counted = rows.groupBy("host", "shape").agg(
         F.count("*").alias("n"),
         F.count_if(F.col("decided") == "allow").alias("allowed"),

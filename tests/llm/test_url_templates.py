@@ -83,3 +83,21 @@ def test_query_judges_every_page(spark, tiny):
         rule, verdict = rule_of(host, path)
         assert (r.host, r.path, r.rule) == (host, path, rule)
         assert r.verdict == verdict if rule else r.verdict == ("block" if r.blocked_share >= url_templates.REJECT else "allow")
+
+
+def test_templates_differ_below_the_sixth_segment(spark):
+    top = "http://deep.net/a/b/c/d/e/f/g"
+    rules = [("deep.net", "/a/b/c/d/e/f/g/bad/1", "block"), ("deep.net", "/a/b/c/d/e/f/g/good/1", "allow")]
+    urls = [f"{top}/{b}/{i}" for b in ("bad", "good") for i in range(10, 60)] + [f"{top}/alone/x/y"]
+    got = judged(spark, urls, rules)
+    assert (got[f"{top}/bad/20"].verdict, got[f"{top}/bad/20"].template) == ("block", "/a/b/c/d/e/f/g/bad/{n}")
+    assert (got[f"{top}/good/20"].verdict, got[f"{top}/good/20"].template) == ("allow", "/a/b/c/d/e/f/g/good/{n}")
+    assert got[f"{top}/alone/x/y"].template.endswith("/x/y")
+
+
+def test_rare_sibling_with_labels_of_its_own_is_no_wildcard(spark):
+    rules = [("hot.net", "/s1/1", "block"), ("hot.net", "/s2/1", "allow")]
+    urls = [f"http://hot.net/s{b}/{i}" for b in range(1, 25) for i in range(10, 60)]
+    got = judged(spark, urls, rules)
+    assert (got["http://hot.net/s1/20"].verdict, got["http://hot.net/s1/20"].template) == ("block", "/s1/{n}")
+    assert (got["http://hot.net/s2/20"].verdict, got["http://hot.net/s9/20"].template) == ("allow", "/{*}/{n}")
