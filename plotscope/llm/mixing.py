@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotscope.llm.common import cut_lineage
@@ -37,6 +37,25 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def with_running_sums(rows: DataFrame, order: Sequence[Column], sums: dict[str, str]) -> DataFrame:
+    """Adds, per name, the sum of an SQL expression over the rows up to each in ``order``,
+    which must tell all rows apart. Ranges of the order are summed on their own; the sum of
+    the ranges before is added from a table with one row per range."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumns({name: F.expr(e) for name, e in sums.items()})
+    dealt = cut_lineage(dealt.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()))
+    inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ranges = dealt.groupBy("range").agg(*(F.sum(name).alias(f"{name}_all") for name in sums))
+    # There are at most as many ranges as shuffle partitions.
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(
+        F.col("range").alias("of"), *(F.coalesce(F.sum(f"{n}_all").over(before), F.lit(0)).alias(f"{n}_before") for n in sums)
+    )
+    summed = dealt.select(*rows.columns, "range", *(F.sum(name).over(inside).alias(name) for name in sums))
+    found = summed.join(F.broadcast(ranges), F.col("range") == F.col("of"))
+    return found.select(*rows.columns, *((F.col(n) + F.col(f"{n}_before")).alias(n) for n in sums))
+
+
 def source_targets(totals: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """From one row per source (source, source_size, documents) its share of all words:
     adds ``target``.
@@ -44,32 +63,29 @@ def source_targets(totals: DataFrame, weights: Sequence[int] = WEIGHTS, most: in
     Sources in code point order, null last, take the ``weights`` in turn and share all
     words by them. A target stops at ``most`` times its source's size, and the excess is
     shared again by weight among the others. Sources stop in the order of that limit per
-    weight, so running sums settle all of them at once. The windows see one row per
-    source, which is what the mix is stated in.
+    weight, so running sums settle all of them at once.
     """
     limit = f"({most} * source_size)"
-    order = f"ORDER BY {limit} / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING"
+    place = [F.col("source").asc_nulls_last()]
+    ranked = with_running_sums(totals.withColumn("one", F.lit(1).cast("long")), place, {"number": "one"})
+    turn = f"get(array({', '.join(map(str, weights))}), CAST((number - 1) % {len(weights)} AS INT))"
+    ranked = ranked.withColumn("weight", F.expr(turn)).withColumn("stop_at", F.expr(f"{limit} / weight"))
+    order = [F.col("stop_at").asc(), *place]
+    running = cut_lineage(with_running_sums(ranked, order, {"words": limit, "weights": "weight"}))
     query = f"""
-        WITH ranked AS (
-            SELECT *, get(array({", ".join(map(str, weights))}),
-                CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % {len(weights)} AS INT)) AS weight
-            FROM {{totals}}),
-        running AS (
-            SELECT *, sum(source_size) OVER () AS all_words, sum(weight) OVER () AS all_weight,
-                sum({limit}) OVER ({order}) AS words, sum(weight) OVER ({order}) AS weights
-            FROM ranked),
+        WITH whole AS (SELECT sum(source_size) AS all_words, sum(weight) AS all_weight FROM {{running}}),
         -- Does a source stop, given that all before it do?
         tested AS (
             SELECT *, {limit} * (all_weight - (weights - weight)) < weight * (all_words - (words - {limit})) AS stops
-            FROM running),
-        settled AS (
-            SELECT *, coalesce(max(CASE WHEN stops THEN words END) OVER (), 0) AS stopped_words,
-                coalesce(max(CASE WHEN stops THEN weights END) OVER (), 0) AS stopped_weight
+            FROM {{running}} CROSS JOIN whole),
+        stopped AS (
+            SELECT coalesce(max(CASE WHEN stops THEN words END), 0) AS stopped_words,
+                coalesce(max(CASE WHEN stops THEN weights END), 0) AS stopped_weight
             FROM tested)
         SELECT source, source_size, documents, CASE WHEN stops THEN CAST({limit} AS DOUBLE)
             ELSE CAST(weight * (all_words - stopped_words) AS DOUBLE) / (all_weight - stopped_weight) END AS target
-        FROM settled"""
-    return totals.sparkSession.sql(query, totals=totals)
+        FROM tested CROSS JOIN stopped"""
+    return totals.sparkSession.sql(query, running=running)
 
 
 def _draw(seed: int, column: str) -> str:

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from plotscope.llm import mixing
 from tests.llm.helpers import AWKWARD
@@ -115,3 +116,18 @@ def test_documents_come_as_often_as_taken(spark):
         assert abs(words[s] - target) <= 150
     assert set(mixed[0].asDict()) == set(keyed.columns)
     assert mixing.mix_documents(keyed.filter("false")).count() == 0
+
+
+def test_many_sources_are_numbered_in_ranges(spark):
+    pick = random.Random(9)
+    sizes = {**{f"s{i:04}": pick.choice([0, 1, 5, 40, 1000, 70_000]) for i in range(400)}, None: 7}
+    rows = [(n, s, 1) for n, s in sizes.items()]
+    pick.shuffle(rows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        totals = spark.createDataFrame(rows, "source STRING, source_size BIGINT, documents BIGINT")
+        found = mixing.source_targets(totals).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.source: r.target for r in found} == {s: pytest.approx(float(t)) for s, t in brute_targets(sizes).items()}
+    assert max(Counter(r.task for r in found).values()) < len(rows) / 2
