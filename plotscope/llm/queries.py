@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotscope.llm import edit_prints, jaccard, mixing, packing, pii, quality, secrets, token_tree, topk, url_templates
+from plotscope.llm import (
+    decontaminate,
+    edit_prints,
+    jaccard,
+    mixing,
+    packing,
+    pii,
+    quality,
+    resampling,
+    secrets,
+    token_tree,
+    topk,
+    url_templates,
+    vector_codes,
+)
 from plotscope.llm.common import cut_lineage
 
 # The rules that the URL verdicts are asked for with.
@@ -91,6 +105,21 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(rows, rows.filter("vec_id % 50 = 0"), k=5)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors: 8 parts, 16 entries each, after 6 rounds."""
+    return vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in ten words of a benchmark item."""
+    return decontaminate.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents of 20 words or more, drawn towards the benchmark texts."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_edit_token_counts": op1_edit_token_counts,
     "op2_pii": op2_pii,
@@ -102,4 +131,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_jaccard": op9_jaccard,
     "op10_top_k": op10_top_k,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_decontaminate": op12_decontaminate,
+    "op13_resample": op13_resample,
 }
