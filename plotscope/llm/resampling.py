@@ -33,8 +33,8 @@ SEED = 2024
 #: Documents with fewer words are not drawn; percent of the others that are.
 LEAST_WORDS = 20
 PERCENT = 10
-#: Sorted runs and segments at most; the driver holds the square of it in samples.
-MOST_RUNS = 1024
+#: Segments at most; the driver holds the square of it in samples.
+MOST_SEGMENTS = 1024
 
 
 def feature_buckets(raw: bytes | None, buckets: int, most_words: int) -> Iterator[np.ndarray]:
@@ -116,20 +116,24 @@ def _places(score: pa.Array, key: pa.Array, spot: pa.Array) -> list[tuple]:
     return [(-s, k is None, 0 if k is None else k, p) for s, k, p in rows]
 
 
-def with_ranks(rows: DataFrame, score: str = "score", key: str = "key") -> DataFrame:
-    """Adds ``rank``: 1, 2, 3... by score descending, ties to the smaller key, null last.
+def with_ranks(rows: DataFrame, score: str = "score", key: str = "key") -> tuple[DataFrame, int]:
+    """Adds ``rank``: 1, 2, 3... by score descending, ties to the smaller key, null last; also
+    returns how many rows have one.
 
     Rows equal in both get successive ranks in the order of their run, so that many copies
-    of a row are cut into several segments like any others. Scores must not be null.
+    of a row are cut into several segments like any others. Rows with a null score take no
+    part; their rank is null.
     """
     spark = rows.sparkSession
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_RUNS))
-    order = [F.col(score).desc(), F.col(key).asc_nulls_last()]
-    sorted_runs = rows.coalesce(parts).sortWithinPartitions(*order, *(c for c in rows.columns if c not in (score, key)))
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_SEGMENTS))
+    order = [F.col(score).desc_nulls_last(), F.col(key).asc_nulls_last()]
+    sorted_runs = rows.sortWithinPartitions(*order, *(c for c in rows.columns if c not in (score, key)))
     # A checkpoint keeps partitions and their order: they are the runs.
-    runs = cut_lineage(sorted_runs.withColumn("spot", F.monotonically_increasing_id()))
+    everyone = cut_lineage(sorted_runs.withColumn("spot", F.monotonically_increasing_id()))
+    runs = everyone.filter(F.col(score).isNotNull())
     place = runs.select(F.col(score).alias("score"), F.col(key).alias("key"), "spot")
-    step = max(1, runs.count() // parts**2)
+    n = runs.count()
+    step = max(1, n // parts**2)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = 0
@@ -137,7 +141,7 @@ def with_ranks(rows: DataFrame, score: str = "score", key: str = "key") -> DataF
             yield batch.take(pa.array(range(-seen % step, batch.num_rows, step), pa.int64()))
             seen += batch.num_rows
 
-    # At most parts * (parts + 1) samples of three values.
+    # At most parts**2 samples, and one more of every run.
     samples = place.mapInArrow(sample, place.schema).toArrow().combine_chunks()
     regular = sorted(_places(*(samples[c] for c in ("score", "key", "spot"))))
     splitters = [regular[len(regular) * i // parts] for i in range(1, parts)] if regular else []
@@ -151,13 +155,15 @@ def with_ranks(rows: DataFrame, score: str = "score", key: str = "key") -> DataF
             segment = np.repeat(np.arange(len(ends) + 1), np.diff([0, *ends, len(places)]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(segment, pa.int64())], out.names)
 
-    segments = cut_lineage(runs.mapInArrow(cut, out))
+    segments = runs.mapInArrow(cut, out)
     counts = dict(segments.groupBy("segment").count().collect())
     before = accumulate((counts.get(i, 0) for i in range(parts)), initial=0)
     offsets = spark.createDataFrame(list(zip(range(parts), before, strict=False)), "of BIGINT, before BIGINT")
     inside = F.row_number().over(Window.partitionBy("segment").orderBy(*order, "spot"))
     merged = segments.withColumn("place", inside).join(F.broadcast(offsets), F.col("segment") == F.col("of"))
-    return merged.select(*rows.columns, (F.col("before") + F.col("place")).alias("rank"))
+    ranked = merged.select(*rows.columns, (F.col("before") + F.col("place")).alias("rank"))
+    rest = everyone.filter(F.col(score).isNull()).select(*rows.columns, F.lit(None).cast("long").alias("rank"))
+    return ranked.unionByName(rest), n
 
 
 def resample(
@@ -181,13 +187,12 @@ def resample(
     """
     source_counts = bucket_counts(docs, text, buckets, most_words)
     gains = bucket_gains(source_counts, bucket_counts(target, text, buckets, most_words))
-    scored = cut_lineage(scored_documents(docs, gains, key, text, most_words, seed))
-    enough = scored.filter(F.col("n_words") >= least_words).drop("n_words")
-    draw = enough.count() * percent // 100
-    ranked = with_ranks(enough).withColumn("rank", F.when(F.col("rank") <= draw, F.col("rank")))
-    rest = scored.filter(F.col("n_words") < least_words).drop("n_words")
-    everyone = ranked.unionByName(rest.withColumn("rank", F.lit(None).cast("long")))
-    return everyone.withColumnRenamed("key", key)
+    scored = scored_documents(docs, gains, key, text, most_words, seed)
+    # Documents that cannot be drawn have no chance and get no rank.
+    chance = F.when(F.col("n_words") >= least_words, F.col("score"))
+    ranked, n = with_ranks(scored.withColumn("chance", chance).drop("n_words"), "chance")
+    drawn = F.when(F.col("rank") <= n * percent // 100, F.col("rank"))
+    return ranked.select(F.col("key").alias(key), "n_features", "weight", "score", drawn.alias("rank"))
 
 
 def drawn_documents(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from plotscope.llm import resampling, words
 
@@ -81,15 +82,21 @@ def test_ranks_of_many_equal_rows(spark):
     rows = [(pick.choice([5, None, *range(40)]), pick.randrange(-3, 3), i) for i in range(3000)]
     rows += [(7, 1, 0)] * 1500
     df = spark.createDataFrame(rows, "key BIGINT, score BIGINT, spot INT").drop("spot").repartition(11)
-    found = resampling.with_ranks(df).orderBy("rank").collect()
+    ranked, n = resampling.with_ranks(df)
+    found = ranked.orderBy("rank").collect()
+    assert n == len(rows)
     want = sorted(((-s, k is None, k or 0) for k, s, _ in rows))
     assert [r["rank"] for r in found] == list(range(1, len(rows) + 1))
     assert [(-r.score, r.key is None, r.key or 0) for r in found] == want
 
 
 def test_keys_of_text(spark):
-    df = spark.createDataFrame([("b", 1), ("ä", 1), ("a", 1), ("z", 2)], "key STRING, score BIGINT")
-    assert [r.key for r in resampling.with_ranks(df).orderBy("rank").collect()] == ["z", "a", "b", "ä"]
+    df = spark.createDataFrame([("b", 1), ("ä", 1), ("no", None), ("a", 1), ("z", 2)], "key STRING, score BIGINT")
+    ranked, n = resampling.with_ranks(df)
+    assert n == 4
+    assert [(r.key, r.rank) for r in ranked.orderBy(F.col("rank").asc_nulls_last()).collect()] == [
+        ("z", 1), ("a", 2), ("b", 3), ("ä", 4), ("no", None)
+    ]
 
 
 def test_drawn_documents_keep_their_columns(spark):
