@@ -37,9 +37,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_held: dict[str, object] = {}
+
+
+def let_go(but: str | None = None) -> None:
+    for name in [n for n in _held if n != but]:
+        del _held[name]
+
+
+def held(name: str, make: Callable[[], object]):
+    """What a worker keeps from one task to the next, made once. It is let go when the worker
+    gets a task that asks for something else, or for nothing."""
+    let_go(name)
+    if name not in _held:
+        _held[name] = make()
+    return _held[name]
+
+
+def small_slices(batches: Iterator[pa.RecordBatch], keep: str | None = None) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``SLICE_BYTES`` of text, so that a task keeps the
-    Python form of few rows. Freed buffers go back to the system at the end."""
+    Python form of few rows. Freed buffers go back to the system at the end. What the worker
+    holds from tasks before is let go, but for ``keep``."""
+    let_go(keep)
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -52,7 +52,7 @@ FEW_NODES = 1_000_000
 FEW_PAIRS = 400_000
 SKETCH_BITS = 1024
 #: Sets a task remembers to post equal ones once.
-_SEEN = 1_000_000
+_SEEN = 50_000
 
 _U = np.uint64
 _STEP, _TURN = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F

@@ -14,7 +14,7 @@ import sys
 from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from plotscope.llm.common import cut_lineage, small_slices
+from plotscope.llm.common import cut_lineage, held, small_slices
 
 CAPACITY = 4096
 END_ID = 1
@@ -32,22 +32,24 @@ END_ID = 1
 OPEN_BINS = 1024
 #: Pieces per lane: many enough that the bins still open at its end hardly count.
 LANE_PIECES = 16_384
-#: Chunks, and words, that a worker remembers before it starts again: some 70 MB each.
-REMEMBERED = 400_000
+#: Chunks, and words of mixed chunks, that a worker remembers before it starts again: some
+#: 100 MB in all, let go when the worker gets a task of another operator.
+CHUNKS_HELD = 300_000
+WORDS_HELD = 100_000
 
 #: Up to here letters have one code point in every normal form and lower-case alone.
 _PLAIN = "ƀ"
 
 
 class Remembered(dict):
-    """Answers of ``compute`` by argument; starts again when it has grown large."""
+    """Answers of ``compute`` by argument; starts again after ``most`` of them."""
 
-    def __init__(self, compute: Callable):
-        self.compute = compute
+    def __init__(self, compute: Callable, most: int):
+        self.compute, self.most = compute, most
 
     def __missing__(self, asked):
         answer = self.compute(asked)
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.clear()
         self[asked] = answer
         return answer
@@ -74,8 +76,8 @@ class WordTokenizer:
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         shifted = [b for b in range(256) if b not in printable]
         self.byte_letters = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(shifted)}
-        self.chunks = Remembered(self._chunk)
-        self.words = Remembered(self._word)
+        self.chunks = Remembered(self._chunk, CHUNKS_HELD)
+        self.words = Remembered(self._word, WORDS_HELD)
 
     def _word(self, word: str) -> bytes:
         letters = word.encode().decode("latin-1").translate(self.byte_letters)
@@ -83,9 +85,14 @@ class WordTokenizer:
 
     def _chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode()
-        if max(text) < _PLAIN and not self.special.search(text):
-            words = self.words
-            return b"".join([words[w] for w in self.split.findall(text.lower())])
+        if max(text) < _PLAIN:
+            lower = text.lower()
+            if lower.isalpha():
+                # Letters alone are one word, which need not be remembered twice.
+                return self._word(lower)
+            if not self.special.search(text):
+                words = self.words
+                return b"".join([words[w] for w in self.split.findall(lower)])
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str) -> bytes:
@@ -93,11 +100,6 @@ class WordTokenizer:
         return b"".join([chunks[c] for c in text.encode().split()])
 
 
-@lru_cache(maxsize=1)
-def load_tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
-
-
 def token_pieces(
     docs: DataFrame,
     tokenizer: str,
@@ -117,8 +119,9 @@ def token_pieces(
     names, end, step = out.names, np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = load_tokenizer(tokenizer)
-        for batch in small_slices(batches):
+        name = f"tokenizer {tokenizer}"
+        words = held(name, partial(WordTokenizer, tokenizer))
+        for batch in small_slices(batches, name):
             at, piece, start, parts = [], [], [], []
             for row, value in enumerate(batch.column(1).to_pylist()):
                 ids = words.ids(value or "") + end

@@ -14,13 +14,15 @@ from tests.llm.helpers import AWKWARD, docs
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def shingles(text):
+def shingles(text, width=4):
     w = [x for x in re.split(r"[\x20\x09-\x0d]+", (text or "").translate(LOWER)) if x]
-    return frozenset(zip(*(w[i:] for i in range(4)), strict=False)) if len(w) >= 4 else frozenset([tuple(w)] if w else [])
+    if len(w) < width:
+        return frozenset([tuple(w)] if w else [])
+    return frozenset(zip(*(w[i:] for i in range(width)), strict=False))
 
 
-def brute(rows):
-    sets = [shingles(t) for _, t in rows]
+def brute(rows, width=4, percent=85):
+    sets = [shingles(t, width) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(x):
@@ -31,7 +33,7 @@ def brute(rows):
     for i, a in enumerate(sets):
         for j in range(i):
             both = len(a & sets[j])
-            if a and 100 * both >= 85 * (len(a) + len(sets[j]) - both):
+            if a and 100 * both >= percent * (len(a) + len(sets[j]) - both):
                 root[find(i)] = find(j)
     least = {}
     for i, (key, _) in enumerate(rows):
