@@ -46,8 +46,10 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     lead = lead.select(F.col("row.doc_id").alias("lead"), F.col("row.mark").alias("lead_mark"))
     if lead.count() <= FEW_KEYS:
         lead = F.broadcast(lead)
-    same = F.col("doc_id").eqNullSafe(F.col("lead")) & mark.eqNullSafe(F.col("lead_mark"))
-    kept = docs.join(lead, same, "left_semi")
+    # The rows travel in one column, so that theirs may have any names.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), mark.alias("mark"))
+    same = F.col("whole.doc_id").eqNullSafe(F.col("lead")) & F.col("mark").eqNullSafe(F.col("lead_mark"))
+    kept = whole.join(lead, same, "left_semi").select("whole.*")
     if groups.filter("rows > 1").isEmpty():
         return kept
     return kept.dropDuplicates(["doc_id", "text"])
