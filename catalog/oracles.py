@@ -602,6 +602,7 @@ ORACLES: dict[str, str] = {
                 coalesce(len(l), 0)::INTEGER AS arv_comp_count
             FROM v_subjects s LEFT JOIN v_trimmed t ON t.as_of = s.as_of AND t.parcel_id = s.parcel_id""",
         "arv_banded": f"SELECT {_VALUED} FROM v_valued",
+        "arv_by_pages": f"SELECT {_VALUED} FROM v_valued",
         "spread": f"SELECT as_of, parcel_id, {_r('spread_estimate', 4)}, {_r('pct_spread')} FROM v_spread",
         "default_ranked": f"""SELECT as_of, parcel_id, arv_estimate, {_r("spread_estimate", 4)}, {_r("pct_spread")} FROM v_spread
             WHERE high_confidence AND spread_estimate >= 25000""",

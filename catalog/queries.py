@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 from collections.abc import Callable
 
@@ -326,6 +327,14 @@ def arv_banded(spark, d):
     return valuation.value_as_of(_subjects(spark, d), _events(spark, d), DATES)
 
 
+@query
+def arv_by_pages(spark, d):
+    """The same valuation through the price index that large neighbourhoods take, of several
+    levels."""
+    settings = dataclasses.replace(AS_OF_SETTINGS, task_comps=20, page_comps=16, fan_out=8)
+    return valuation.value_as_of(_subjects(spark, d), _events(spark, d), DATES, settings)
+
+
 @query
 def spread(spark, d):
     df = _valued(spark, d).select("as_of", "parcel_id", "spread_estimate", "pct_spread")

@@ -3,33 +3,24 @@
 from __future__ import annotations
 
 import datetime as dt
-import math
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotscope.functions.dates import matching_dates
 from plotscope.functions.scores import round_half_even, spread
-from plotscope.operators import comp_stats
+from plotscope.operators import comp_index
 from plotscope.operators.guard import guarded
 from plotscope.operators.index import INDEX_STRATEGIES, month_levels
 from plotscope.operators.order_stats import exact_quantiles
 from plotscope.params import AS_OF_SETTINGS, MIN_DOLLAR_SPREAD, ValuationSettings
 from plotscope.storage import materialize
 
-# The helpers travel with the tasks, so executors need no installed copy of the package.
-cloudpickle.register_pickle_by_value(comp_stats)
-
 # All subjects with these values in common have the same comps.
 LOOKUP_KEY = ["as_of", "nbrhd_cd", "living_area", "year_built", "tercile", "excluded"]
 _STATS = ["n", "median", "q1", "q3"]
-_STATS_SCHEMA = ", ".join(
-    f"{prefix}_n bigint, {prefix}_median double, {prefix}_q1 double, {prefix}_q3 double" for prefix in ("all", "band")
-)
+NO_EXCLUSION = ""
 
 
 # -- inputs ------------------------------------------------------------------------
@@ -114,172 +105,6 @@ def _pool_profile(pool: DataFrame, settings: ValuationSettings) -> DataFrame:
     return cuts.drop("n").withColumn("banded", F.col("pool_size") >= settings.min_band_pool)
 
 
-def _block_summaries(settings: ValuationSettings, keys: list[str]):
-    area_tol, year_tol, multiplier = settings.area_tolerance, settings.year_tolerance, settings.iqr_multiplier
-    stats = _STATS
-
-    def answer(lookups: pa.Table, comps: pa.Table) -> pa.Table:
-        wanted = comp_stats.array(lookups, "tercile")
-        results = [(0, None, None, None) * 2] * len(wanted)
-        for row, prices, bands in comp_stats.matches(lookups, comps, area_tol, year_tol):
-            whole = comp_stats.summary(comp_stats.without_outliers(prices, multiplier))
-            inside = prices[bands == wanted[row]] if wanted[row] >= 0 else prices[:0]
-            results[row] = whole + comp_stats.summary(comp_stats.without_outliers(inside, multiplier))
-        found = lookups.select(keys)
-        for i, name in enumerate(f"{prefix}_{s}" for prefix in ("all", "band") for s in stats):
-            kind = pa.int64() if name.endswith("_n") else pa.float64()
-            found = found.append_column(name, pa.array([r[i] for r in results], kind))
-        return found
-
-    return answer
-
-
-def _direct(lookups: DataFrame, pool: DataFrame, settings: ValuationSettings) -> DataFrame:
-    """Neighbourhood pools that fit one task: one pass per block of lookups. The pool is
-    repeated for as many blocks as the lookups of the neighbourhood need."""
-    schema = ", ".join(f"{c} {kind}" for c, kind in lookups.dtypes)
-    keys = ["as_of", "nbrhd_cd"]
-    blocks = (
-        lookups.groupBy(*keys)
-        .agg(F.count("*").alias("_lookups"))
-        .select(*keys, F.ceil(F.col("_lookups") / settings.max_block_lookups).cast("int").alias("_blocks"))
-    )
-    spot = F.pmod(F.xxhash64("living_area", "year_built", "excluded"), F.col("_blocks")).cast("int")
-    asked = lookups.join(blocks, keys).withColumn("block", spot).drop("_blocks")
-    copies = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    offered = pool.join(blocks, keys).withColumn("block", copies).drop("_blocks")
-    by = [*keys, "block"]
-    return (
-        asked.groupBy(*by)
-        .cogroup(offered.groupBy(*by))
-        .applyInArrow(_block_summaries(settings, lookups.columns), f"{schema}, {_STATS_SCHEMA}")
-    )
-
-
-def _area_bin(c, width: float):
-    return F.floor(F.log(c) / math.log(width)).cast("int")
-
-
-def _sliced(lookups: DataFrame, pool: DataFrame, settings: ValuationSettings) -> DataFrame:
-    """Pools too large for one task. Comps are range-sorted by price into slices of
-    bounded size; every slice only counts its matches per lookup, the running counts say
-    which slice holds each wanted rank, and that slice alone returns the value. Done once
-    on all matches and once inside the fences, this gives exactly the direct result.
-    """
-    width = 1.0 + settings.area_tolerance
-    reach_down = math.ceil(-math.log(1.0 - settings.area_tolerance) / math.log(width))
-    keys = ["as_of", "nbrhd_cd"]
-    area = ["as_of", "nbrhd_cd", "area_bin"]
-
-    # Lookups once per set (all matches, own tercile), numbered, in blocks per area bin.
-    sets = F.when(F.col("tercile") >= 0, F.array(F.lit(-1), F.col("tercile"))).otherwise(F.array(F.lit(-1)))
-    asked = lookups.withColumn("area_bin", _area_bin(F.col("living_area"), width)).withColumn("band", F.explode(sets))
-    per_bin = asked.groupBy(*area).agg(F.count("*").alias("_lookups"))
-    per_bin = per_bin.select(*area, F.ceil(F.col("_lookups") / settings.max_block_lookups).cast("int").alias("_blocks"))
-    spot = F.pmod(F.xxhash64("living_area", "year_built", "excluded"), F.col("_blocks")).cast("int")
-    asked = asked.join(per_bin, area).withColumn("block", spot).drop("_blocks")
-    asked = materialize(asked.withColumn("lookup", F.monotonically_increasing_id()))
-
-    # Comps go to every area bin whose subjects they can match, then into price slices.
-    own_bin = _area_bin(F.col("living_area"), width)
-    bins = F.explode(F.sequence(own_bin - 2, own_bin + reach_down + 1)).alias("area_bin")
-    offered = pool.select(*keys, "living_area", "year_built", "tercile", "psf", "parcel_id", bins)
-    offered = materialize(offered.join(per_bin, area))
-    slices = max(1, math.ceil(offered.count() / settings.max_block_comps))
-    order = [*area, F.col("psf"), F.xxhash64("parcel_id", "living_area", "year_built")]
-    offered = materialize(offered.repartitionByRange(slices, *order).withColumn("slice", F.spark_partition_id()))
-    directory = materialize(offered.select(*area, "slice").distinct())
-    copies = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    offered = offered.withColumn("block", copies).drop("_blocks")
-    by = [*area, "slice", "block"]
-
-    area_tol, year_tol = settings.area_tolerance, settings.year_tolerance
-
-    def selections(asked_part: pa.Table, comps: pa.Table):
-        """Row position and the matches in [low, high] of the lookup's set."""
-        band, low, high = (comp_stats.array(asked_part, c) for c in ("band", "low", "high"))
-        for i, prices, bands in comp_stats.matches(asked_part, comps, area_tol, year_tol):
-            if band[i] >= 0:
-                prices = prices[bands == band[i]]
-            start = prices.searchsorted(low[i], "left")
-            yield i, prices[start : prices.searchsorted(high[i], "right")]
-
-    def count_matches(asked_part: pa.Table, comps: pa.Table) -> pa.Table:
-        found = np.zeros(asked_part.num_rows, dtype=np.int64)
-        for i, prices in selections(asked_part, comps):
-            found[i] = len(prices)
-        return asked_part.select(["lookup", "slice"]).append_column("found", pa.array(found))
-
-    def pick_values(asked_part: pa.Table, comps: pa.Table) -> pa.Table:
-        lookup, wanted = asked_part.column("lookup").to_pylist(), asked_part.column("wanted").to_pylist()
-        picked = [
-            (lookup[i], w["label"], prices[w["rank"]])
-            for i, prices in selections(asked_part, comps)
-            for w in wanted[i]
-        ]
-        columns = [list(c) for c in zip(*picked)] if picked else [[], [], []]
-        kinds = (pa.int64(), pa.string(), pa.float64())
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(("lookup", "label", "value"), columns, kinds)})
-
-    def quartiles(bounded: DataFrame) -> DataFrame:
-        """lookup, n, q1, median, q3 of the matches with price in [low, high]."""
-        spread_out = bounded.join(directory, area)
-        counts = materialize(
-            spread_out.groupBy(*by)
-            .cogroup(offered.groupBy(*by))
-            .applyInArrow(count_matches, "lookup bigint, slice int, found bigint")
-            .filter("found > 0")
-        )
-        running = F.sum("found").over(Window.partitionBy("lookup").orderBy("slice"))
-        counts = counts.withColumn("_upto", running).withColumn("n", F.sum("found").over(Window.partitionBy("lookup")))
-        counts = counts.withColumn("_below", F.col("_upto") - F.col("found"))
-        ranks = []
-        for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
-            low = F.floor(p * (F.col("n") - 1))
-            ranks += [(f"{name}_lo", low), (f"{name}_hi", F.least(low + 1, F.col("n") - 1))]
-        wanted = F.array(*[F.struct(F.lit(k).alias("label"), r.cast("long").alias("rank")) for k, r in ranks])
-        here = F.filter(wanted, lambda w: (w["rank"] >= F.col("_below")) & (w["rank"] < F.col("_upto")))
-        local = F.transform(here, lambda w: F.struct(w["label"].alias("label"), (w["rank"] - F.col("_below")).alias("rank")))
-        tasks = counts.withColumn("wanted", local).filter(F.size("wanted") > 0).select("lookup", "slice", "wanted", "n")
-        values = (
-            bounded.join(tasks, "lookup")
-            .groupBy(*by)
-            .cogroup(offered.groupBy(*by))
-            .applyInArrow(pick_values, "lookup bigint, label string, value double")
-        )
-        wide = values.groupBy("lookup").agg(
-            *[F.max(F.when(F.col("label") == k, F.col("value"))).alias(k) for k, _ in ranks]
-        )
-        wide = wide.join(counts.select("lookup", "n").distinct(), "lookup")
-        out = ["lookup", "n"]
-        for name, p in (("q1", 0.25), ("q3", 0.75)):
-            low, high, at = F.col(f"{name}_lo"), F.col(f"{name}_hi"), p * (F.col("n") - 1)
-            share = at - F.floor(at)
-            nearer = F.when(share < 0.5, low + (high - low) * share).otherwise(high - (high - low) * (1 - share))
-            out.append(nearer.alias(name))
-        middle = F.when(F.col("n") % 2 == 1, F.col("median_lo")).otherwise((F.col("median_lo") + F.col("median_hi")) / 2.0)
-        return wide.select(*out, middle.alias("median"))
-
-    everything = asked.withColumns({"low": F.lit(float("-inf")), "high": F.lit(float("inf"))})
-    first = materialize(quartiles(everything))
-    span, m = F.col("q3") - F.col("q1"), settings.iqr_multiplier
-    fenced = (
-        asked.join(first, "lookup")
-        .withColumn("low", F.when(span > 0, F.col("q1") - m * span).otherwise(F.lit(float("-inf"))))
-        .withColumn("high", F.when(span > 0, F.col("q3") + m * span).otherwise(F.lit(float("inf"))))
-        .drop(*_STATS)
-    )
-    final = asked.join(quartiles(fenced), "lookup", "left")
-    whole = F.col("band") < 0
-    return final.groupBy(*LOOKUP_KEY).agg(
-        *[
-            F.max(F.when(cond, F.col(s))).alias(f"{prefix}_{s}")
-            for prefix, cond in (("all", whole), ("band", ~whole))
-            for s in _STATS
-        ]
-    )
-
-
 def comp_statistics(subjects: DataFrame, pool: DataFrame, settings: ValuationSettings) -> DataFrame:
     """Trimmed comp count, median and quartiles per subject, over all its comps
     (``all_*``) and over those of its value tercile (``band_*``).
@@ -293,33 +118,31 @@ def comp_statistics(subjects: DataFrame, pool: DataFrame, settings: ValuationSet
         F.col("nbrhd_cd").isNotNull() & F.col("psf").isNotNull()
     )
     pool = materialize(pool)
-    profile = materialize(_pool_profile(pool, settings))  # used three times below
+    profile = materialize(_pool_profile(pool, settings))
     own = pool.select("as_of", "nbrhd_cd", "parcel_id").distinct().withColumn("excluded", F.col("parcel_id"))
-    if not settings.value_band:
-        pool = pool.withColumn("tercile", F.lit(0))
-    else:
-        cuts = profile.select(*keys, "cut1", "cut2")
-        pool = pool.join(cuts, keys).withColumn("tercile", _tercile(F.col("just_value"), F.col("cut1"), F.col("cut2")))
+    pool = pool.join(profile.select(*keys, "cut1", "cut2", "pool_size"), keys)
+    band = _tercile(F.col("just_value"), F.col("cut1"), F.col("cut2")) if settings.value_band else F.lit(0)
+    pool = pool.withColumn("tercile", band)
     pool = pool.filter(F.col("year_built").isNotNull()).drop("cut1", "cut2", "just_value")
-
     subjects = subjects.select("as_of", "parcel_id", "nbrhd_cd", "living_area", "year_built", "just_value")
     tercile = F.when(F.col("banded"), _tercile(F.col("just_value"), F.col("cut1"), F.col("cut2"))).otherwise(-1)
     asked = (
         subjects.join(profile, keys, "left")
         .join(own, ["as_of", "nbrhd_cd", "parcel_id"], "left")
-        .withColumns({"tercile": tercile, "excluded": F.coalesce("excluded", F.lit(comp_stats.NO_EXCLUSION))})
+        .withColumns({"tercile": tercile, "excluded": F.coalesce("excluded", F.lit(NO_EXCLUSION))})
     )
     asked = materialize(asked.select("parcel_id", "pool_size", *LOOKUP_KEY))
     lookups = asked.filter("pool_size > 0").select(*LOOKUP_KEY, "pool_size").distinct()
-    # Each pool goes the way that its own size asks for, whatever the whole table holds.
-    large = F.col("pool_size") > settings.max_block_comps
-    if asked.filter(large).isEmpty():
-        answers = _direct(lookups.drop("pool_size"), pool, settings)
-    else:
-        sized = pool.join(profile.select(*keys, "pool_size"), keys)
-        answers = _direct(
-            lookups.filter(~large).drop("pool_size"), sized.filter(~large).drop("pool_size"), settings
-        ).unionByName(_sliced(lookups.filter(large).drop("pool_size"), sized.filter(large).drop("pool_size"), settings))
+    columns = [f"{prefix}_{s}" for prefix in ("all", "band") for s in _STATS]
+    large = F.col("pool_size") > settings.task_comps
+    answers = comp_index.whole_statistics(
+        lookups.filter(~large).drop("pool_size"), pool.filter(~large).drop("pool_size"), settings, columns
+    )
+    if not profile.filter(large).isEmpty():
+        paged = comp_index.paged_statistics(
+            lookups.filter(large).drop("pool_size"), pool.filter(large).drop("pool_size"), settings, columns
+        )
+        answers = answers.unionByName(paged)
     return asked.select("parcel_id", *LOOKUP_KEY).join(answers, LOOKUP_KEY, "left")
 
 

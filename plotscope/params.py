@@ -51,9 +51,12 @@ class ValuationSettings:
     min_band_pool: int = 15
     confidence_min_comps: int = 8
     confidence_max_dispersion_pct: float = 30.0
-    # A task never holds more than this many comps or answers more lookups.
-    max_block_comps: int = 200_000
-    max_block_lookups: int = 1_000
+    # Comps of a neighbourhood that one task holds. Beyond, the price index: comps of a page,
+    # children of a node. Requests answered together.
+    task_comps: int = 200_000
+    page_comps: int = 512
+    fan_out: int = 64
+    max_block_lookups: int = 1_024
 
 
 AS_OF_SETTINGS = ValuationSettings()

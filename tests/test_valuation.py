@@ -97,18 +97,20 @@ def test_matches_brute_force(spark, random_case):
     assert any(v[3] for v in expected.values()) and any(v[0] is None for v in expected.values())
 
 
-@pytest.mark.parametrize("comps_per_task, lookups_per_task", [(60, 2000), (37, 25), (10_000, 11)])
-def test_blocks_and_slices_change_nothing(spark, random_case, comps_per_task, lookups_per_task):
+@pytest.mark.parametrize("page, children, requests", [(60, 4, 2000), (7, 3, 25), (1, 64, 500), (10_000, 2, 11)])
+def test_pages_levels_and_blocks_change_nothing(spark, random_case, page, children, requests):
     parcels, comps = random_case
-    small = dataclasses.replace(AS_OF_SETTINGS, max_block_comps=comps_per_task, max_block_lookups=lookups_per_task)
+    small = dataclasses.replace(
+        AS_OF_SETTINGS, task_comps=100, page_comps=page, fan_out=children, max_block_lookups=requests
+    )
     assert as_dict(V.estimate(subjects(spark, parcels), pool(spark, comps), small)) == brute(parcels, comps)
 
 
 def test_without_band(spark, random_case):
     parcels, comps = random_case
     expected = brute(parcels, comps, band=False)
-    for limit in (200_000, 50):
-        settings = dataclasses.replace(SINGLE_ROLL_SETTINGS, max_block_comps=limit)
+    for most in (200_000, 50):
+        settings = dataclasses.replace(SINGLE_ROLL_SETTINGS, task_comps=most, page_comps=50)
         assert as_dict(V.estimate(subjects(spark, parcels), pool(spark, comps), settings)) == expected
 
 
