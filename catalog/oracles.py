@@ -711,3 +711,10 @@ ORACLES: dict[str, str] = {
                 ON m.sale_year = year(f.as_of) - 1""",
     }.items()
 }
+
+# The same tables by way of zipped files, whose text is stripped when it is read.
+for _name in ("sale_history", "id_stability", "id_transitions"):
+    ORACLES[f"{_name}_from_zips"] = ORACLES[_name]
+ORACLES["snapshots_from_zips"] = f"""SELECT * REPLACE (trim(own_addr1) AS own_addr1, trim(situs_zip) AS situs_zip)
+    FROM ({ORACLES["snapshots"]})"""
+ORACLES["parcels_from_zips"] = f"SELECT * REPLACE (trim(own_addr1) AS own_addr1) FROM ({ORACLES['parcels_table']})"

@@ -15,8 +15,8 @@ from plotscope.functions.text import normalize_address, to_number, zip5
 from plotscope.operators import evaluation, flips, guard, index, parcels, sales, scoring, signals, stability, valuation
 from plotscope.operators.order_stats import percent_rank_average
 from plotscope.params import AS_OF_SETTINGS, COARSE_DISPERSION, COARSE_MIN_SALES
-from plotscope.plans import backtest, leakage, screen
-from plotscope.sources import tables
+from plotscope.plans import backtest, history, leakage, screen
+from plotscope.sources import rolls, tables
 from plotscope.storage import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -474,6 +474,59 @@ def id_transitions(spark, d):
     return rounded(stability.id_transitions(A.stability_rolls(spark, d)))
 
 
+# -- from zipped files: the same tables, written as zips, staged and built ----------------
+
+
+def _job_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{spark.sparkContext.applicationId}"
+
+
+@query
+def sale_history_from_zips(spark, d):
+    raw = A.raw_sales(spark, d)
+    years = range(*raw.agg(F.min("source_year"), F.max("source_year") + 1).first())
+    folder = A.zipped(raw, "source_year", "{}F.zip")
+    built = history.build_history_table(spark, folder, years, _job_folder(spark, "zipped-history"))
+    return built.select(*sales.HISTORY_COLUMNS)
+
+
+@query
+def snapshots_from_zips(spark, d):
+    raw = A.raw_rolls(spark, d)
+    folder = A.zipped(raw, "vintage_year", "{}F.zip")
+    years = range(A.VINTAGES[0], A.VINTAGES[1] + 1)
+    built = history.build_snapshot_table(spark, folder, years, _job_folder(spark, "zipped-snapshots"))
+    return built.select(*A.snapshots(spark, d).columns)
+
+
+@query
+def parcels_from_zips(spark, d):
+    files = {county: (f"{county}.zip", "roll.csv") for county in ("North", "South")}
+    unused = {c: F.lit(None).cast("string") for c in ("OWN_ADDR2", "PHY_ADDR2")}
+    folder = A.zipped(A.raw_county_roll(spark, d).withColumns(unused), "county", "{}.zip", "roll.csv")
+    rows = rolls.staged(
+        rolls.read_county_rolls(spark, folder, list(files), files), _job_folder(spark, "zipped-parcels"), "county"
+    )
+    built = parcels.build_parcels(rows, assessment_year=A.ASSESSMENT_YEAR)
+    return rounded(built, 6, "equity_proxy_annualized_pct")
+
+
+def _stability_job(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    folder = A.zipped(A.stability_rolls(spark, d), "vintage_year", "{}F.zip")
+    years = range(A.VINTAGES[0], A.VINTAGES[1] + 1)
+    return history.build_stability_report(spark, folder, years, _job_folder(spark, "zipped-stability"))
+
+
+@query
+def id_stability_from_zips(spark, d):
+    return rounded(_stability_job(spark, d)[0])
+
+
+@query
+def id_transitions_from_zips(spark, d):
+    return rounded(_stability_job(spark, d)[1])
+
+
 def _shown(view: DataFrame, limit: int | None = None) -> DataFrame:
     view = rounded(rounded(view, 6, "pct_spread", "ownership_tenure_years"), 2, "spread_estimate")
     return screen.display(view, limit)

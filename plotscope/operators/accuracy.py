@@ -18,7 +18,8 @@ def valuation_errors(
 ) -> DataFrame:
     """Relative error of each estimate against the parcel's first eligible sale in the
     months after the date."""
-    sold = first_sales(sales, as_of_dates, months, F.col("comp_eligible")).drop("sale_year")
+    sold = first_sales(sales, as_of_dates, months, {"sold": F.col("comp_eligible")})
+    sold = sold.select("as_of", "parcel_id", F.col("sold.price").alias("price"))
     joined = valued.filter(F.col("arv_estimate").isNotNull()).join(sold, ["as_of", "parcel_id"])
     return joined.withColumn("error", F.try_divide(F.abs(F.col("arv_estimate") - F.col("price")), F.col("price")))
 

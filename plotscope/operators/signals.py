@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,18 +64,32 @@ def owner_signals(subjects: DataFrame, sales: DataFrame, as_of_dates: Sequence[d
 
 
 def first_sales(
-    sales: DataFrame, as_of_dates: Sequence[dt.date], months: int, condition: Column, use_code: str = "001"
+    sales: DataFrame,
+    as_of_dates: Sequence[dt.date],
+    months: int,
+    conditions: Mapping[str, Column],
+    use_code: str = "001",
 ) -> DataFrame:
-    """First sale per date and parcel with ``condition`` in [date, date + months)."""
+    """Per date and parcel the first sale in [date, date + months) that meets each of the named
+    conditions, as a struct (price, sale_year) of that name, null if none does. All are found
+    in one pass: one scan, one shuffle."""
     window = matching_dates(
         as_of_dates, lambda d: (F.col("sale_date") >= d) & (F.col("sale_date") < F.add_months(d, months))
     )
     last = F.add_months(F.lit(max(as_of_dates)), months)
     near = sales.filter((F.col("sale_date") >= F.lit(min(as_of_dates))) & (F.col("sale_date") < last))
     near = near.filter((F.col("sale_year") >= min(as_of_dates).year) & (F.col("sale_year") <= F.year(last)))
-    kept = near.filter((F.col("dor_use_code") == use_code) & condition).withColumn("as_of", F.explode(window))
-    first = kept.groupBy("as_of", "parcel_id").agg(F.min(F.struct(*SALE_ORDER, "sale_year")).alias("_first"))
-    return first.select("as_of", "parcel_id", "_first.price", "_first.sale_year")
+    any_of = reduce(or_, conditions.values())
+    kept = near.filter((F.col("dor_use_code") == use_code) & any_of).withColumn("as_of", F.explode(window))
+    found = {
+        name: F.min(F.when(condition, F.struct(*SALE_ORDER, "sale_year"))) for name, condition in conditions.items()
+    }
+    first = kept.groupBy("as_of", "parcel_id").agg(*(agg.alias(name) for name, agg in found.items()))
+    small = {
+        name: F.when(F.col(name).isNotNull(), F.struct(F.col(name)["price"].alias("price"), F.col(name)["sale_year"].alias("sale_year")))
+        for name in conditions
+    }
+    return first.select("as_of", "parcel_id", *(c.alias(name) for name, c in small.items()))
 
 
 def attach_outcomes(
@@ -86,26 +102,24 @@ def attach_outcomes(
 ) -> DataFrame:
     """What happened in the window after each date: sold at a discount to the estimate,
     sold at all, sold below the just value of the year before the sale."""
-    eligible = first_sales(sales, as_of_dates, window_months, F.col("comp_eligible")).select(
-        "as_of", "parcel_id", F.col("price").alias("ce_price")
-    )
-    qualified = first_sales(sales, as_of_dates, window_months, F.col("qualified")).select(
+    first = first_sales(
+        sales, as_of_dates, window_months, {"ce": F.col("comp_eligible"), "q": F.col("qualified")}
+    ).select(
         "as_of",
         "parcel_id",
-        F.col("price").alias("q_price"),
-        F.col("sale_year").alias("q_sale_year"),
-        (F.col("sale_year") - 1).alias("jv_vintage"),
+        F.col("ce.price").alias("ce_price"),
+        F.col("q.price").alias("q_price"),
+        F.col("q.sale_year").alias("q_sale_year"),
+        (F.col("q.sale_year") - 1).alias("jv_vintage"),
     )
     prior = snapshots.select(
         "parcel_id", F.col("vintage_year").alias("jv_vintage"), F.col("just_value").alias("jv_prior")
     )
-    qualified = qualified.join(prior, ["parcel_id", "jv_vintage"], "left")
-    key = ["as_of", "parcel_id"]
+    first = first.join(prior, ["parcel_id", "jv_vintage"], "left")
     gap = F.try_divide(F.col("arv_estimate") - F.col("ce_price"), F.col("arv_estimate"))
     no = F.lit(False)
     return (
-        scored.join(eligible, key, "left")
-        .join(qualified, key, "left")
+        scored.join(first, ["as_of", "parcel_id"], "left")
         .withColumn("sold_ce", F.col("ce_price").isNotNull())
         .withColumn("discount_pct", gap)
         .withColumn("discounted", F.coalesce(F.col("sold_ce") & (F.col("discount_pct") >= discount), no))

@@ -1,23 +1,22 @@
-"""Reading zipped yearly text files and the tables built from them.
+"""Zipped yearly text files and the tables staged from them.
 
-A zip cannot be split, so a staging job reads each zip in its own task and streams its
-rows into a Parquet table once; every later step scans that table.
+A zip cannot be split, so each of its members is a partition of its own. Staging streams them
+into a Parquet table once; every later step scans that table.
 """
 
 from __future__ import annotations
 
-import io
-import os
+import json
 import warnings
-import zipfile
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plotscope.functions.text import clean_text
+from plotscope.sources import zips
+from plotscope.sources.tables import read_table, write_table
 
 # Source column lists.
 ROLL_COLUMNS = [
@@ -40,60 +39,35 @@ COUNTY_FILES = {
     "Palm Beach": ("Palm Beach 60 Final NAL 2025.zip", "NAL60F202501.csv"),
 }
 
-_BATCH_ROWS = 20_000
-
 
 def text_schema(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
-
-
-def require_paths(spark: SparkSession, paths: Sequence[str]) -> None:
+def require_paths(paths: Sequence[str]) -> None:
     """Fail before any work if an input is missing."""
-    missing = [p for p in paths if not _exists(spark, p)]
+    missing = [p for p in paths if not zips.exists(p)]
     if missing:
         raise FileNotFoundError("missing inputs: " + ", ".join(missing))
 
 
-def _unzip_rows(columns: list[str], member: str | None):
-    """Task body: parse the wanted columns of one CSV member per zip, in batches, so the
-    decoded rows are never all in memory."""
-    label, batch_rows = "file_label", _BATCH_ROWS
-
-    def read(batches):
-        for batch in batches:
-            for name, content in zip(batch[label], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    inner = member or archive.namelist()[0]
-                    with archive.open(inner) as raw:
-                        chunks = pd.read_csv(
-                            raw, usecols=columns, dtype=str, keep_default_na=False, chunksize=batch_rows
-                        )
-                        for chunk in chunks:
-                            yield chunk[columns].assign(**{label: name})
-
-    return read
-
-
 def read_zips(
-    spark: SparkSession, paths: Mapping[str, str], columns: Sequence[str], member: str | None = None
+    spark: SparkSession, files: Mapping[str, tuple[str, str | None]], columns: Sequence[str]
 ) -> DataFrame:
-    """Zipped CSV files (label -> path) as cleaned text columns plus ``file_label``."""
-    if not paths:
+    """Zipped CSV files (label -> path and member, None for the first) as cleaned text columns
+    plus ``file_label``."""
+    if not files:
         raise RuntimeError("no input files found")
-    files = spark.read.format("binaryFile").load(list(paths.values()))
-    by_name = F.create_map(*[F.lit(x) for label, path in paths.items() for x in (os.path.basename(path), label)])
-    if len({os.path.basename(p) for p in paths.values()}) < len(paths):
-        raise ValueError("file names must differ")
-    name = F.url_decode(F.element_at(F.split("path", "/"), -1))
-    # A file is never split, so every large zip is a scan task of its own; no shuffle.
-    zips = files.select(F.element_at(by_name, name).alias("file_label"), "content")
-    raw = zips.mapInPandas(_unzip_rows(list(columns), member), text_schema([*columns, "file_label"]))
-    return raw.select(*[clean_text(F.col(c)).alias(c) for c in columns], "file_label")
+    zips.register(spark)
+    listed = json.dumps([[label, path, member] for label, (path, member) in files.items()])
+    rows = spark.read.format(zips.FORMAT).schema(text_schema([*columns, zips.LABEL])).option("files", listed).load()
+    return rows.select(*[clean_text(F.col(c)).alias(c) for c in columns], zips.LABEL)
+
+
+def staged(rows: DataFrame, out: str, by: str) -> DataFrame:
+    """The rows written once to Parquet, a folder per ``by``, and read from there."""
+    write_table(rows, out, [by])
+    return read_table(rows.sparkSession, out).select(*rows.columns)
 
 
 def read_county_rolls(
@@ -105,29 +79,21 @@ def read_county_rolls(
 ) -> DataFrame:
     """Rolls of several counties with a county label. A county without a file is an error,
     unless ``skip_missing``: then it is left out with a warning. None at all is an error."""
-    parts, missing = [], []
-    for county in counties:
-        zip_name, member = files[county]
-        path = f"{folder}/{zip_name}"
-        if _exists(spark, path):
-            parts.append(read_zips(spark, {county: path}, ROLL_COLUMNS, member))
-        else:
-            missing.append(f"{county} ({path})")
-    if not parts or missing and not skip_missing:
+    paths = {county: (f"{folder}/{files[county][0]}", files[county][1]) for county in counties}
+    found = {county: file for county, file in paths.items() if zips.exists(file[0])}
+    missing = [f"{county} ({path})" for county, (path, _) in paths.items() if county not in found]
+    if not found or missing and not skip_missing:
         raise RuntimeError(f"no county files found in {folder} for {', '.join(missing) or 'any county'}")
     if missing:
         warnings.warn(f"left out, no file: {', '.join(missing)}", stacklevel=2)
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole.withColumnRenamed("file_label", "county")
+    return read_zips(spark, found, ROLL_COLUMNS).withColumnRenamed(zips.LABEL, "county")
 
 
 def _yearly(spark: SparkSession, folder: str, years: Sequence[int], columns: Sequence[str], year_name: str) -> DataFrame:
     paths = {str(y): f"{folder}/{y}F.zip" for y in years}
-    require_paths(spark, list(paths.values()))
-    rows = read_zips(spark, paths, columns)
-    return rows.withColumn(year_name, F.col("file_label").cast("int")).drop("file_label")
+    require_paths(list(paths.values()))
+    rows = read_zips(spark, {label: (path, None) for label, path in paths.items()}, columns)
+    return rows.withColumn(year_name, F.col(zips.LABEL).cast("int")).drop(zips.LABEL)
 
 
 def read_sale_files(spark: SparkSession, folder: str, years: Sequence[int]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plotscope.operators.parcels import PARCEL_COLUMNS, build_parcels, build_snapshots
 from plotscope.operators.stability import id_transitions, ids_in_every_year
-from plotscope.plans.history import build_history_table, build_parcel_file, build_snapshot_table
+from plotscope.plans.history import build_history_table, build_parcel_file, build_snapshot_table, build_stability_report
 from plotscope.sources import rolls, tables
 
 
@@ -111,6 +111,38 @@ def test_id_stability(spark, folder):
     assert got[None].disappeared == 2
 
 
+def test_stability_of_gaps_repeated_rows_and_missing_ids(spark):
+    data = [("a", "O", "1", 2016), ("a", "O", "1", 2016), ("a", "O", "1", 2019), ("b", "P", "2", 2017), (None, "N", None, 2016)]
+    data += [("c", "O", "1", 2017), (None, "N", None, 2017)]
+    df = spark.createDataFrame(data, "PARCEL_ID string, OWN_NAME string, PHY_ADDR1 string, vintage_year int")
+    assert tuple(ids_in_every_year(df).first())[:2] == (4, 0)
+    got = {r.from_year: (r.disappeared, r.renumbered) for r in id_transitions(df).collect()}
+    assert got == {2016: (2, 2), None: (2, 2)}  # 2018 has no roll, so 2017 has no next one
+    assert id_transitions(df.limit(0)).count() == 0 and ids_in_every_year(df.limit(0)).first()[0] == 0
+
+
+def test_stability_report_reads_three_columns(spark, folder):
+    for year, ids in ((2016, "ab"), (2017, "ac")):
+        records = [{"PARCEL_ID": i, "OWN_NAME": "x", "PHY_ADDR1": "1 A", "JV": "7"} for i in ids]
+        put_zip(f"{folder}/NAL/{year}F.zip", "n.csv", ["JV", *rolls.STABILITY_COLUMNS], records)
+    ids, transitions = build_stability_report(spark, f"{folder}/NAL", [2016, 2017], f"{folder}/report")
+    assert tuple(ids.first())[:2] == (3, 1)
+    assert {r.from_year: r.renumbered for r in transitions.collect()} == {2016: 1, None: 1}
+    assert spark.read.parquet(f"{folder}/report-staged").columns == [*rolls.STABILITY_COLUMNS, "vintage_year"]
+
+
+def test_every_member_is_a_partition(spark, folder):
+    paths = {}
+    for year in (2016, 2017, 2018):
+        put_zip(f"{folder}/{year}F.zip", "n.csv", ["PARCEL_ID"], [{"PARCEL_ID": f"{year}-{i}"} for i in range(50_000)])
+        paths[str(year)] = (f"{folder}/{year}F.zip", None)
+    df = rolls.read_zips(spark, paths, ["PARCEL_ID"])
+    assert df.rdd.getNumPartitions() == 3
+    assert df.groupBy("file_label").count().collect() and df.select("PARCEL_ID").distinct().count() == 150_000
+    again = rolls.staged(df, f"{folder}/staged", "file_label")
+    assert "zipped_csv" not in again._jdf.queryExecution().executedPlan().toString()
+
+
 def test_parquet_scan_is_pruned(spark, folder):
     from plotscope.operators.parcels import subjects_as_of
     import datetime as dt
