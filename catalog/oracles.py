@@ -352,7 +352,7 @@ _CTES |= {
             coalesce(sum(hit) FILTER (flag), 0) AS hi_hits, count(*) FILTER (NOT flag) AS lo_n,
             coalesce(sum(hit) FILTER (NOT flag), 0) AS lo_hits, NULL::DOUBLE AS boundary_tie_share
         FROM (SELECT *, 'absentee' AS signal, 'absentee vs not' AS method, absentee AS flag FROM cases
-            UNION ALL SELECT *, 'tenure: no sale since 2015', 'no_sale_on_record vs not', no_sale_on_record FROM cases)
+            UNION ALL SELECT *, 'tenure: no sale on record', 'no_sale_on_record vs not', no_sale_on_record FROM cases)
         GROUP BY as_of, population, outcome, signal, method
         HAVING count(*) FILTER (flag) >= 20 AND count(*) FILTER (NOT flag) >= 20""",
     "errors": f"""
@@ -503,12 +503,25 @@ _Z = """CASE WHEN hi_n > 0 AND lo_n > 0 AND (hi_hits + lo_hits) > 0 AND (hi_hits
         * (1 - (hi_hits + lo_hits) / (hi_n + lo_n)) * (1 / hi_n + 1 / lo_n)) END"""
 
 
-def _evaluated(source: str) -> str:
+# Two-sided p of |z| = x * sqrt(2): the series of the error function up to 3, its continued fraction beyond.
+_P = """CASE WHEN x <= 3 THEN 1 - 2 / sqrt(pi()) * exp(-x * x) * list_sum(list_transform(range(81), lambda k:
+        pow(2::DOUBLE, k) * pow(x, 2 * k + 1) / coalesce(list_product(list_transform(range(1, k + 1), lambda j: 2.0::DOUBLE * j + 1)), 1)))
+    ELSE exp(-x * x) / (x * sqrt(pi())) / list_reduce(list_concat([1::DOUBLE], list_transform(range(80), lambda i: (80 - i)::DOUBLE)),
+        lambda t, k: 1 + k / (2 * x * x) / t) END"""
+
+
+def _verdict(source: str) -> str:
+    return f"""
+        SELECT * EXCLUDE (x, p), round(p, 6) AS p, coalesce(p < 0.05::DOUBLE / comparisons, false) AS significant
+        FROM (SELECT *, {_P} AS p, count(*) OVER () AS comparisons FROM ({_evaluated(source, f", abs({_Z}) / sqrt(2) AS x")}))"""
+
+
+def _evaluated(source: str, more: str = "") -> str:
     return f"""
         SELECT as_of, population, outcome, signal, method, n, round(hits / n, 6) AS base_rate,
             round(hi_hits / hi_n, 6) AS hi_rate, hi_n, round(lo_hits / lo_n, 6) AS lo_rate, lo_n,
             CASE WHEN hits > 0 THEN round((hi_hits / hi_n) / (hits / n), 6) END AS lift, round({_Z}, 6) AS z,
-            round(boundary_tie_share, 6) AS boundary_tie_share
+            round(boundary_tie_share, 6) AS boundary_tie_share{more}
         FROM {source}"""
 
 
@@ -604,6 +617,8 @@ ORACLES: dict[str, str] = {
         "arv_banded": f"SELECT {_VALUED} FROM v_valued",
         "arv_by_pages": f"SELECT {_VALUED} FROM v_valued",
         "spread": f"SELECT as_of, parcel_id, {_r('spread_estimate', 4)}, {_r('pct_spread')} FROM v_spread",
+        "default_places": """SELECT as_of, parcel_id, row_number() OVER (ORDER BY pct_spread DESC, parcel_id, as_of) AS rank
+            FROM v_spread WHERE high_confidence AND spread_estimate >= 25000""",
         "default_ranked": f"""SELECT as_of, parcel_id, arv_estimate, {_r("spread_estimate", 4)}, {_r("pct_spread")} FROM v_spread
             WHERE high_confidence AND spread_estimate >= 25000""",
         "coarse_nbrhd": f"""
@@ -625,6 +640,7 @@ ORACLES: dict[str, str] = {
         "eval_rank": _evaluated("rank_counts"),
         "eval_group": _evaluated("group_counts"),
         "eval_matrix": _evaluated("(SELECT * FROM rank_counts UNION ALL SELECT * FROM group_counts)"),
+        "eval_verdict": _verdict("(SELECT * FROM rank_counts UNION ALL SELECT * FROM group_counts)"),
         "year_header": """
             SELECT as_of, population, count(*) AS parcels, round(avg(sold_q::INTEGER) * 100, 6) AS any_sale_pct,
                 round(avg(absentee::INTEGER) * 100, 6) AS absentee_pct, round(avg(no_sale_on_record::INTEGER) * 100, 6) AS no_sale_pct
@@ -667,6 +683,10 @@ ORACLES: dict[str, str] = {
                     WHERE b.PARCEL_ID = a.PARCEL_ID AND b.vintage_year = a.vintage_year + 1))
             GROUP BY ROLLUP (vintage_year)""",
         "screen": f"SELECT {_DISPLAY} FROM screen_scored WHERE {_IN_VIEW}",
+        "screen_places": f"""SELECT parcel_id, row_number() OVER (ORDER BY spread_estimate DESC, parcel_id) AS rank
+            FROM screen_scored WHERE {_IN_VIEW}""",
+        "screen_top_25": f"""SELECT * FROM (SELECT parcel_id, row_number() OVER (ORDER BY pct_spread DESC, parcel_id) AS rank
+            FROM screen_scored WHERE {_IN_VIEW}) WHERE rank <= 25""",
         "screen_top": f"""SELECT {_DISPLAY} FROM (SELECT * FROM screen_scored WHERE {_IN_VIEW}
             ORDER BY pct_spread DESC, parcel_id LIMIT 500)""",
         "screen_absentee_by_dollars": f"""SELECT {_DISPLAY} FROM screen_scored
@@ -702,6 +722,11 @@ ORACLES: dict[str, str] = {
             FROM error_bands GROUP BY as_of, version, band""",
         "guard_leaky_rows": """SELECT sale_date, count(*) AS n FROM events
             WHERE sale_date >= DATE '2000-01-01' AND sale_date <= DATE '2000-02-01' GROUP BY sale_date""",
+        "invariance": "SELECT * FROM (VALUES ('index', 0::BIGINT), ('valuation', 0), ('signals', 0)) AS t(compared, different)",
+        "guard_fires": """SELECT * FROM (VALUES ('all sales', (SELECT count(*) > 0 FROM events WHERE sale_date >= DATE '2000-01-01')),
+            ('past sales', (SELECT count(*) < 0 FROM events))) AS t(pool, fired)""",
+        "seeded_sample": """SELECT as_of, parcel_id FROM v_subjects WHERE as_of = DATE '1999-01-01'
+            ORDER BY (parcel_id::BIGINT * 7919) % 10007 * 1000000000 + parcel_id::BIGINT, parcel_id LIMIT 1000""",
         "leaky_vs_fixed": f"""
             SELECT f.as_of, round(f.level, 6) AS fixed_level, round(l.level, 6) AS leaky_level,
                 round(m.median_psf, 6) AS prior_year_median, round((l.level / f.level - 1) * 100, 6) AS overstated_pct,

@@ -6,6 +6,7 @@ import dataclasses
 import datetime as dt
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,11 +64,9 @@ def _signals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    def build() -> DataFrame:
-        composite = scoring.composite_score(_signals(spark, d))
-        return signals.attach_outcomes(composite, A.history(spark, d), A.snapshots(spark, d), DATES)
-
-    return A.stored(spark, d, "scored", build)
+    return A.stored(
+        spark, d, "scored", lambda: backtest.score_dates(A.history(spark, d), A.snapshots(spark, d), DATES)
+    )
 
 
 def _screen_base(spark: SparkSession, d: str) -> DataFrame:
@@ -348,6 +347,12 @@ def default_ranked(spark, d):
     return rounded(rounded(df, 4, "spread_estimate"), 6, "pct_spread")
 
 
+@query
+def default_places(spark, d):
+    """The order of the default view, as places."""
+    return valuation.default_places(_valued(spark, d)).select("as_of", "parcel_id", "rank")
+
+
 @query
 def coarse_nbrhd(spark, d):
     return rounded(valuation.neighbourhood_dispersion(_events(spark, d), COARSE_DISPERSION, COARSE_MIN_SALES))
@@ -397,8 +402,7 @@ def pct_rank(spark, d):
 
 @query
 def outcomes(spark, d):
-    composite = scoring.composite_score(_signals(spark, d))
-    df = signals.attach_outcomes(composite, A.history(spark, d), A.snapshots(spark, d), DATES).select(
+    df = _scored(spark, d).select(
         "as_of", "parcel_id", "ce_price", "q_price", "q_sale_year", "jv_prior", "sold_ce", "discount_pct", "discounted",
         "sold_q", "has_jv_prior", "below_jv",
     )
@@ -437,8 +441,8 @@ def eval_matrix(spark, d):
 
 @query
 def eval_verdict(spark, d):
-    """Seeded-hash ties, p-values and the Bonferroni verdict (no SQL twin)."""
-    return evaluation.with_verdict(evaluation.evaluate(_scored(spark, d)))
+    """The whole back-test from sales and snapshots to p-values and the Bonferroni verdict."""
+    return rounded(backtest.run_backtest(A.history(spark, d), A.snapshots(spark, d), DATES, tie=_tie()))
 
 
 @query
@@ -540,6 +544,21 @@ def screen_(spark, d):
 QUERIES["screen"] = QUERIES.pop("screen_")
 
 
+@query
+def screen_places(spark, d):
+    """The order of the screen by dollars, as places."""
+    scored = screen.score_screen(_screen_base(spark, d))
+    return screen.screen_places(screen.filter_screen(scored), "spread_estimate").select("parcel_id", "rank")
+
+
+@query
+def screen_top_25(spark, d):
+    """A limit below the number of rows in view: which rows, and in which order."""
+    scored = screen.score_screen(_screen_base(spark, d))
+    top = screen.rank_screen(screen.filter_screen(scored), "pct_spread", 25)
+    return screen.screen_places(top, "pct_spread").select("parcel_id", "rank")
+
+
 @query
 def screen_top(spark, d):
     scored = screen.score_screen(_screen_base(spark, d))
@@ -648,10 +667,28 @@ def guard_leaky_rows(spark, d):
     return guard.late_rows(pool, date).groupBy("sale_date").agg(F.count("*").alias("n"))
 
 
+@query
+def guard_fires(spark, d):
+    """Does a plan with the guard stop on a pool that reaches past the date, and only then?"""
+
+    def fired(pool: DataFrame) -> bool:
+        try:
+            guard.guarded(pool.withColumn("as_of", F.lit(DATES[-1]))).agg(F.count("*")).collect()
+        except PySparkException as stopped:
+            if "look-ahead" in str(stopped):
+                return True
+            raise
+        return False
+
+    past = F.col("sale_date") < F.lit(DATES[-1])
+    pools = {"all sales": _events(spark, d), "past sales": _events(spark, d).filter(past)}
+    return spark.createDataFrame([(name, fired(pool)) for name, pool in pools.items()], "pool STRING, fired BOOLEAN")
+
+
 @query
 def seeded_sample(spark, d):
     """A reproducible sample of exactly 1000 subjects (or all, if fewer)."""
-    sample = leakage.seeded_sample(parcels.subjects_as_of(A.snapshots(spark, d), DATES[:1]), 1000)
+    sample = leakage.seeded_sample(parcels.subjects_as_of(A.snapshots(spark, d), DATES[:1]), 1000, draw=_tie())
     return sample.select("as_of", "parcel_id")
 
 

@@ -18,7 +18,7 @@ from plotscope.params import (
     TIE_BREAK_SEED,
 )
 
-NO_SALE_SIGNAL = "tenure: no sale since 2015"
+NO_SALE_SIGNAL = "tenure: no sale on record"
 HAS_SALE_SIGNAL = "tenure: years, among parcels with a sale on record"
 
 # signal label -> (value column, flag the row must not have)

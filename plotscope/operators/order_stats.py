@@ -16,10 +16,14 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotscope.storage import materialize
+
 _BINS_PER_OCTAVE = 1024
+#: A value is heavy from this part of its group's rows on.
+_HEAVY = 1000
 
 
 def _bin(c: str) -> str:
@@ -110,7 +114,10 @@ def average_rank(
     """Add the 1-based rank (ties share their average) and the group's non-null size.
 
     Distinct values are counted first, so a value held by most rows of a group is one
-    row in the ordered part; the ranks are then joined back by value.
+    row in the ordered part; the ranks are then joined back by value. Values that hold a
+    thousandth of their group or more, a thousand per group at most, are broadcast, so no
+    partition of the join gets a heavy one; the number of groups is bounded by the
+    caller, as dates and report cells are.
     """
     k, v = _names(keys), f"`{value}`"
     query = f"""
@@ -121,13 +128,21 @@ def average_rank(
             sum(w) OVER (PARTITION BY {k}) AS n FROM bins),
         running AS (SELECT {k}, bin, {v}, w,
             sum(w) OVER (PARTITION BY {k}, bin ORDER BY {v}) - w AS inside FROM counts)
-        SELECT {k}, {v}, below + inside + (w + 1) / 2D AS `{rank}`, n AS `{size}`
+        SELECT {k}, {v}, below + inside + (w + 1) / 2D AS `{rank}`, n AS `{size}`,
+            w * {_HEAVY} >= n AS _heavy, 0L AS _spread
         FROM running JOIN offsets USING ({k}, bin)"""
-    # Rows without a value match nothing; a spread key keeps them out of one partition.
-    ranks = df.sparkSession.sql(query, df=df).withColumn("_spread", F.lit(0).cast("long"))
+    # Once written, the zeros are no constant that would be dropped from the join's keys.
+    ranks = materialize(df.sparkSession.sql(query, df=df))
+    heavy = ranks.filter("_heavy").select(*keys, value, F.struct(rank, size).alias("_known"))
+    light = ranks.filter("NOT _heavy").select(*keys, value, "_spread", F.struct(rank, size).alias("_found"))
+    marked = df.join(F.broadcast(heavy), [*keys, value], "left")
+    # Rows that have no value, or their rank already, match nothing: they are spread.
     row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    spread = df.withColumn("_spread", F.when(F.col(v).isNull(), row).otherwise(F.lit(0).cast("long")))
-    return spread.join(ranks, [*keys, value, "_spread"], "left").drop("_spread")
+    done = F.col(v).isNull() | F.col("_known").isNotNull()
+    spread = marked.withColumn("_spread", F.when(done, row).otherwise(F.lit(0).cast("long")))
+    joined = spread.join(light, [*keys, value, "_spread"], "left")
+    ranked = joined.withColumn("_known", F.coalesce("_known", "_found"))
+    return ranked.select(*df.columns, *(F.col("_known")[c].alias(c) for c in (rank, size)))
 
 
 def percent_rank_average(
@@ -176,3 +191,20 @@ def cut_points(
         SELECT /*+ BROADCAST(ties) */ {k}, max(n) AS n, {columns}
         FROM edges JOIN ties USING ({k}, cut) GROUP BY {k}"""
     return df.sparkSession.sql(query, df=df)
+
+
+def with_row_numbers(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """Adds 1, 2, 3... in ``order``, which must tell all rows apart. Ranges of the order are
+    sorted on their own; a row's place is its place in the range plus the rows of the ranges
+    before, of which there are as many as shuffle partitions."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # The number of a partition's rows counts up from 2^33 times the partition.
+    numbered = materialize(ranges.withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftright("_place", 33)
+    sizes = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_part", before.alias("_before"))
+    placed = numbered.join(F.broadcast(offsets), part == F.col("_part"))
+    inside = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.select(*df.columns, (F.col("_before") + inside + 1).alias(name))

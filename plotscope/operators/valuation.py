@@ -13,7 +13,7 @@ from plotscope.functions.scores import round_half_even, spread
 from plotscope.operators import comp_index
 from plotscope.operators.guard import guarded
 from plotscope.operators.index import INDEX_STRATEGIES, month_levels
-from plotscope.operators.order_stats import exact_quantiles
+from plotscope.operators.order_stats import exact_quantiles, with_row_numbers
 from plotscope.params import AS_OF_SETTINGS, MIN_DOLLAR_SPREAD, ValuationSettings
 from plotscope.storage import materialize
 
@@ -210,10 +210,20 @@ def default_ranked(
     scored: DataFrame, min_spread: float = MIN_DOLLAR_SPREAD, high_confidence: bool = True
 ) -> DataFrame:
     """Default view: confident estimates above a dollar floor, widest relative spread first."""
+    return default_view(scored, min_spread, high_confidence).orderBy(F.col("pct_spread").desc(), "parcel_id")
+
+
+def default_view(scored: DataFrame, min_spread: float = MIN_DOLLAR_SPREAD, high_confidence: bool = True) -> DataFrame:
     df = with_spread(scored).filter(F.col("spread_estimate") >= min_spread)
-    if high_confidence:
-        df = df.filter("high_confidence")
-    return df.orderBy(F.col("pct_spread").desc(), "parcel_id")
+    return df.filter("high_confidence") if high_confidence else df
+
+
+def default_places(
+    scored: DataFrame, min_spread: float = MIN_DOLLAR_SPREAD, high_confidence: bool = True
+) -> DataFrame:
+    """The default view with each row's place in it as ``rank``, for a table to be stored."""
+    order = [F.col("pct_spread").desc(), F.col("parcel_id"), F.col("as_of")]
+    return with_row_numbers(default_view(scored, min_spread, high_confidence), order)
 
 
 def neighbourhood_dispersion(events: DataFrame, threshold: float, min_sales: int) -> DataFrame:

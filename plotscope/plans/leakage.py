@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotscope.operators.accuracy import accuracy_by_band, valuation_errors
@@ -36,9 +36,11 @@ def accuracy_before_after(
     return accuracy_by_band(materialize(errors))
 
 
-def seeded_sample(subjects: DataFrame, n: int, seed: int = TIE_BREAK_SEED) -> DataFrame:
-    """Exactly n rows, the same for any partitioning: the smallest seeded hashes."""
-    return subjects.orderBy(F.xxhash64("parcel_id", F.lit(seed)), "parcel_id").limit(n)
+def seeded_sample(subjects: DataFrame, n: int, seed: int = TIE_BREAK_SEED, draw: Column | None = None) -> DataFrame:
+    """Exactly n rows, the same for any partitioning: the smallest draws, by default a seeded
+    hash of the parcel."""
+    draw = F.xxhash64("parcel_id", F.lit(seed)) if draw is None else draw
+    return subjects.orderBy(draw, "parcel_id").limit(n)
 
 
 def _difference(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plotscope.operators.order_stats import with_row_numbers
 from plotscope.operators.parcels import subjects_as_of
 from plotscope.operators.scoring import motivation_score
 from plotscope.operators.valuation import comp_events, value_as_of, with_spread
@@ -92,6 +93,13 @@ def rank_screen(filtered: DataFrame, sort_by: str = "pct_spread", limit: int | N
     return ranked if limit is None else ranked.limit(limit)
 
 
+def screen_places(filtered: DataFrame, sort_by: str = "pct_spread") -> DataFrame:
+    """The view with each row's place in it as ``rank``, for an export to be stored."""
+    if sort_by not in SORT_COLUMNS:
+        raise ValueError(f"sort_by must be one of {SORT_COLUMNS}, not {sort_by!r}")
+    return with_row_numbers(filtered, [F.col(sort_by).desc(), F.col("parcel_id")])
+
+
 def screen(
     parcels: DataFrame,
     sales: DataFrame,

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from plotscope.operators.order_stats import average_rank, cut_points, exact_quantiles
+from plotscope.operators.order_stats import average_rank, cut_points, exact_quantiles, with_row_numbers
 
 PROBS = {"p05": 0.05, "q1": 0.25, "t1": 33.3 / 100, "med": 0.5, "t2": 66.7 / 100, "q3": 0.75}
 PATHS = [dict(few_groups=True), dict(few_groups=False)]
@@ -84,3 +84,33 @@ def test_no_whole_group_window(data):
     _, df = data
     plan = exact_quantiles(df, ["g"], "v", PROBS)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_row_numbers_over_ranges(spark):
+    rng = np.random.default_rng(3)
+    rows = [(float(v), i) for i, v in enumerate(rng.integers(0, 20, 3000))]
+    df = spark.createDataFrame(rows, "v double, id int").repartition(5)
+    got = with_row_numbers(df, [F.col("v").desc(), F.col("id")]).collect()
+    want = sorted(rows, key=lambda r: (-r[0], r[1]))
+    assert sorted((r["rank"], r.v, r.id) for r in got) == [(i, *r) for i, r in enumerate(want, 1)]
+    assert with_row_numbers(df.limit(0), [F.col("v")]).count() == 0
+
+
+def test_a_heavy_value_stays_spread(spark):
+    """Nine tenths of the rows hold one value: with no adaptive splitting, no partition of the
+    join gets more than its share."""
+    n = 20_000
+    df = spark.range(n).selectExpr("'g' AS g", "CASE WHEN id % 10 < 9 THEN 1D WHEN id % 100 = 9 THEN NULL ELSE id * 1D END AS v", "id")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, x in settings.items():
+        spark.conf.set(k, x)
+    try:
+        ranked = average_rank(df, ["g"], "v", "r", "n")
+        sizes = [r[0] for r in ranked.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        got = {r.id: (r.r, r.n) for r in ranked.collect()}
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+    assert len(got) == n and max(sizes) < 2 * n / 8
+    assert got[0] == (9000.5, 18000 + 1800) and got[9] == (None, None) and got[19] == (18001.0, 19800)

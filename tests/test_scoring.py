@@ -126,3 +126,10 @@ def test_rank_plan_never_sorts_a_cell(spark):
     _, df = rank_frame(spark, 200)
     plan = E.evaluate_ranks(df)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_both_outcomes_come_from_one_pass(spark):
+    sales = spark.createDataFrame([sale("p", D, 1.0)], SALES)
+    conditions = {"ce": F.col("comp_eligible"), "q": F.col("qualified")}
+    plan = G.first_sales(sales, [D], 30, conditions)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1 and plan.count("Exchange hashpartitioning") == 1
