@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from plotscope.llm import edit_prints
 from tests.llm.helpers import AWKWARD, docs, noise
 
@@ -93,10 +95,65 @@ def test_near_classes(spark):
     assert got == {1: 1, 2: 2, 3: 1, 4: 1, 5: 5, 6: 5}
 
 
+def shared_bands(print_):
+    """End, number and symbols of the bands of one print, by the rule."""
+    bands = edit_prints.Bands()
+    ends = [e for e in bands.ends.tolist() if e <= len(print_)][-edit_prints.ENDS :]
+    return {(e, i, *(print_[x] for x in places)) for e in ends for i, places in enumerate(bands.places(e))}
+
+
+def test_keys_are_the_bands():
+    prints = [noise(i, "0123456789abcdef", n) for i, n in enumerate([0, 1, 2, 7, 8, 15, 63, 64, 65, 200, 1344, 200])]
+    prints[-1] = changed(prints[9], {3, 80, 150})
+    keys, owners = edit_prints.Bands().keys(prints)
+    for i, a in enumerate(prints):
+        assert len(set(keys[owners == i])) == len(shared_bands(a))
+        for j, b in enumerate(prints):
+            assert len(set(keys[owners == i]) & set(keys[owners == j])) == len(shared_bands(a) & shared_bands(b))
+    assert edit_prints.Bands().keys([])[0].size == 0
+
+
+def test_recall_of_bands():
+    """Of pairs of texts with a likeness of 0.8 or more, nine in ten share a band at least."""
+    pick, met, pairs, close = random.Random(11), 0, 0, 0
+    for trial in range(400):
+        text = list(noise(trial, "etaoin shrdlu cmfwyp", pick.choice([40, 300, 1500, 6000])))
+        other = text[:]
+        for _ in range(pick.randint(1, 6)):
+            at = pick.randrange(len(other) // 2, len(other))
+            other[at : at + pick.choice([0, 1, 2])] = noise(pick.random(), "xyz", pick.choice([0, 1, 3]))
+        other = other[: len(other) - pick.choice([0, 0, len(other) // 20, len(other) // 8])]
+        a, b = WALK.fingerprints(["".join(text), "".join(other)])
+        like = edit_prints.likeness(a, b)
+        if 0.8 <= like < 1:
+            pairs += 1
+            close += like < 0.9
+            met += bool(shared_bands(a) & shared_bands(b))
+    assert pairs > 100 and close > 30 and met >= 0.9 * pairs
+
+
+def test_a_common_beginning_fills_no_band():
+    """Bands that texts with one beginning share grow with the texts, not with their pairs."""
+    opening = noise(1, "etaoin shrdlu", 200)
+    prints = WALK.fingerprints([opening + noise(i + 2, "etaoin shrdlu", 1800) for i in range(400)])
+    for n in (100, 400):
+        _, size = np.unique(edit_prints.Bands().keys(prints[:n])[0], return_counts=True)
+        assert (size * (size - 1) // 2).sum() <= n
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "ab" * 20, "x", 7, "y"), (2, "ab" * 20, None, None, "z"), (None, "ab" * 20, "w", 9, None)]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, fingerprint STRING, print_name STRING, class_id INT, `row.name` STRING")
+    got = edit_prints.with_classes(df)
+    assert got.columns == ["doc_id", "fingerprint", "print_name", "row.name", "class_id"]
+    found = sorted(((r[0], r[2], r[3], r[4]) for r in got.collect()), key=repr)
+    assert found == sorted([(1, "x", "y", 1), (2, None, "z", 1), (None, "w", None, None)], key=repr)
+
+
 def linked(rows, least=0.8):
     """Components of the rows (key, print) that share a band and are alike, by brute force."""
     label = {k: k for k, _ in rows}
-    bands = [{(i, p[i : i + edit_prints.BAND]) for i in range(0, len(p), edit_prints.BAND)} for _, p in rows]
+    bands = [shared_bands(p) for _, p in rows]
     for i, (k, p) in enumerate(rows):
         for j, (m, q) in enumerate(rows[:i]):
             if p == q or (bands[i] & bands[j] and edit_prints.likeness(p, q) >= least):
@@ -115,7 +172,7 @@ def changed(print_, places):
 
 
 def test_chain_whose_ends_are_not_alike(spark):
-    """All bands that the last two share are the first one's too, and that is a stranger to the last."""
+    """The middle one links two that are strangers to each other, beside a stranger to all."""
     first = noise(5, "0123456789abcdef", 64)
     middle = changed(first, {0, 1, 2, 6, 7, 8, 12, 13, 14})
     last = changed(middle, {3, 4, 5, 9, 10, 11, 15, 16, 17})
