@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from plotscope.llm import jaccard
 from plotscope.llm.common import cut_lineage
+from plotscope.llm.components import component_labels, joined_labels
 from plotscope.llm.shingles import mix, wrapped
 
 SEED = 20240607
@@ -333,25 +334,73 @@ class Tails:
         return others[lost <= self.most], lost[lost <= self.most]
 
 
-def _compare(least: float):
-    """Pairs of two tiles of a band that are in different components and may be alike."""
+def _links(least: float):
+    """Links between members of a tile that are in different components, one per two components."""
 
     def run(group: pa.Table) -> pa.Table:
-        names, labels, side = (group[c].to_numpy() for c in ("name", "label", "side"))
-        tails = Tails(group["n"].to_numpy(), group["sketch"].to_pylist(), least)
+        names, labels, side, sizes = (group[c].to_numpy() for c in ("name", "label", "side", "n"))
+        weight = _weights(np.arange(int(sizes.max())))
+        total = np.concatenate([[0.0], np.cumsum(weight)])[sizes]
+        symbols = np.full((len(names), int(sizes.max())), 255, np.uint8)
+        for row, print_ in zip(symbols, group["fingerprint"].to_pylist(), strict=True):
+            row[: len(print_)] = np.frombuffer(print_.encode("ascii"), np.uint8)
+        part = np.unique(labels, return_inverse=True)[1]
         left, far = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        found = [np.empty((0, 3), np.int64)]
+        found = []
         for place, i in enumerate(left):
             right = far if len(far) else left[place + 1 :]
-            others, lost = tails.near(i, right[(labels[right] != labels[i]) & (names[right] != names[i])])
-            ends = np.minimum(names[others], names[i]), np.maximum(names[others], names[i])
-            found.append(np.stack([*ends, (lost * 1e6).astype(np.int64)], axis=1))
-        rows = np.unique(np.concatenate(found), axis=0)
-        return pa.table({c: pa.array(rows[:, i], pa.int64()) for i, c in enumerate(("u", "v", "differ"))})
+            others = right[part[right] != part[i]]
+            equal = symbols[others, : sizes[i]] == symbols[i, : sizes[i]]
+            same = (equal @ weight[: sizes[i]]) / np.maximum(total[others], total[i])
+            for j in others[np.maximum(0.0, (same - 1 / 16) / (1 - 1 / 16)) >= least]:
+                if part[j] != part[i]:
+                    part[part == part[j]] = part[i]
+                    found.append((names[i], names[j]))
+        columns = zip(*found, strict=True) if found else ((), ())
+        return pa.table([pa.array(list(c), pa.int64()) for c in columns], names=["u", "v"])
 
     return run
 
 
+def open_links(lists: DataFrame, labels: DataFrame, sets: DataFrame, least: float, tile: int) -> DataFrame:
+    """Links (u, v) between members of a band that are in different components.
+
+    The members outside the largest component of their band are compared, in tiles, with each
+    other and with that component, whose members are not compared with each other. A tile
+    has whole prints and gives at most one link per two of its components.
+    """
+    rows = lists.select("key", F.explode("members").alias("name"))
+    rows = rows.join(labels.withColumnRenamed("node", "name"), "name", "left")
+    rows = rows.withColumn("label", F.coalesce("label", "name"))
+    parts = rows.groupBy("key", "label").agg(F.count("*").alias("many"))
+    main = parts.groupBy("key").agg(
+        F.max(F.struct("many", "label")).alias("main"), F.sum("many").alias("total"), F.count("*").alias("parts")
+    )
+    tiles = "CAST(({} + {} - 1) div {} AS INT)"
+    main = main.filter("parts > 1").select(
+        "key",
+        F.col("main.label").alias("main"),
+        F.expr(tiles.format("main.many", tile, tile)).alias("mains"),
+        F.expr(tiles.format("total - main.many", tile, tile)).alias("rests"),
+    )
+    rows = rows.join(main, "key")
+    own = rows.withColumn(
+        "own", F.expr("CAST(pmod(xxhash64(name), IF(label = main, mains, rests)) AS INT)")
+    )
+    met = own.withColumn(
+        "met",
+        F.expr(
+            "explode(IF(label = main,"
+            " transform(sequence(0, rests - 1), i -> struct(1 AS kind, i AS a, own AS b, 1 AS side)),"
+            " concat(transform(sequence(0, rests - 1),"
+            " i -> struct(0 AS kind, least(own, i) AS a, greatest(own, i) AS b, IF(own <= i, 0, 1) AS side)),"
+            " transform(sequence(0, mains - 1), i -> struct(1 AS kind, own AS a, i AS b, 0 AS side)))))"
+        ),
+    ).select("key", "met.*", "name", "label")
+    met = met.join(sets.select("name", "n", "fingerprint"), "name")
+    return met.groupBy("key", "kind", "a", "b").applyInArrow(_links(least), "u BIGINT, v BIGINT").distinct()
+
+
 def _checked(alike):
     """The candidates of a leader that ``alike`` finds: it gets the place of the leader, sizes
     and prints, and says which rows stay."""
@@ -399,7 +448,11 @@ def with_classes(prints: DataFrame, least: float = 0.8, key: str = "doc_id", til
     postings = band_postings(sets.filter("n > 0"))
     lists = cut_lineage(jaccard.merged_lists(cut_lineage(jaccard.shared_lists(postings, tile))))
     checks = (("sketch", _may_be_alike), ("fingerprint", _alike))
-    labels = jaccard.list_components(lists, sets, least, checks=checks, compare=_compare)
+    stars = jaccard.verified_links(jaccard.star_pairs(lists), sets, least, checks=checks)
+    labels = component_labels(cut_lineage(stars))
+    more = cut_lineage(open_links(lists, labels, sets, least, tile))
+    if not more.isEmpty():
+        labels = joined_labels(labels, more)
     named = sets.select("name", "first_id", "rows").join(labels.withColumnRenamed("node", "name"), "name", "left")
     named = named.withColumn("label", F.coalesce("label", "name"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
