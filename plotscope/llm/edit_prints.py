@@ -13,6 +13,7 @@ All texts of a batch walk together, one array operation per step.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plotscope.llm import jaccard
-from plotscope.llm.common import cut_lineage
+from plotscope.llm.common import cut_lineage, small_slices, written
 from plotscope.llm.components import component_labels, joined_labels
 from plotscope.llm.shingles import mix, wrapped
 
@@ -217,11 +218,25 @@ def _range_of(bounds: list[int]) -> F.Column:
     return F.expr(f"CASE WHEN doc_id IS NULL THEN {len(bounds)} ELSE {found} END")
 
 
+def _packed(rows: DataFrame, pack: bool) -> DataFrame:
+    """Rows (range, tail, doc_id, text) with the text packed for the way, or unpacked again."""
+    code = (lambda t: zlib.compress(t.encode("utf-8", "surrogatepass"), 1)) if pack else (lambda b: zlib.decompress(b))
+    kind = pa.binary() if pack else pa.string()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_slices(batches):
+            texts = pa.array([code(t) for t in batch.column(3).to_pylist()], pa.binary()).cast(kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], texts], names=batch.schema.names)
+
+    form = f"range INT, tail INT, doc_id BIGINT, text {'BINARY' if pack else 'STRING'}"
+    return rows.select(F.col("range").cast("int"), F.col("tail").cast("int"), "doc_id", "text").mapInArrow(run, form)
+
+
 def with_followers(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Rows (range, tail, doc_id, text), to be read in this order within their partition:
     each is followed by the next document in descending key order.
 
-    Only whole ranges of keys move, once. The last row of a range is followed by a copy of
+    Only whole ranges of keys move, once, their texts packed. The last row of a range is followed by a copy of
     the first one of the next range, marked ``tail``; the last range by the very first.
     Equal keys are ordered by text, null keys come last.
     """
@@ -244,7 +259,8 @@ def with_followers(docs: DataFrame, key: str, text: str) -> DataFrame:
         tails = heads.withColumn("range", follows[F.col("range")]).withColumn("tail", F.lit(1)).select(*columns)
         every = every.unionByName(tails)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return every.repartition(parts, "range").sortWithinPartitions(
+    moved = _packed(_packed(every, True).repartition(parts, "range"), False)
+    return moved.sortWithinPartitions(
         "range", "tail", F.col("doc_id").desc_nulls_last(), "text"
     )
 
@@ -435,7 +451,7 @@ def with_classes(prints: DataFrame, least: float = 0.8, key: str = "doc_id", til
     rows = prints.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), "fingerprint")
     sets = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"))
     n = "length(fingerprint)"
-    sets = cut_lineage(
+    sets = written(
         sets.select(
             F.xxhash64("fingerprint").alias("name"),
             F.expr(f"CAST({n} AS BIGINT)").alias("n"),

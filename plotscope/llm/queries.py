@@ -21,7 +21,7 @@ from plotscope.llm import (
     url_templates,
     vector_codes,
 )
-from plotscope.llm.common import cut_lineage
+from plotscope.llm.common import written
 
 # The rules that the URL verdicts are asked for with.
 URL_RULES = [
@@ -88,7 +88,7 @@ def op6_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints, likenesses and the class of like documents, by bands and verification."""
-    return edit_prints.with_classes(cut_lineage(edit_prints.edit_fingerprints(table(spark, sf_dir, "documents"))))
+    return edit_prints.with_classes(written(edit_prints.edit_fingerprints(table(spark, sf_dir, "documents"))))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
