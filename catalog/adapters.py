@@ -30,11 +30,10 @@ _tables: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Derived source tables are written once per session and folder, then scanned. They
-    are spread over several files, as a real table would be; the driver's are one each."""
+    """Derived source tables are written once per session and folder, then scanned."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _tables:
-        _tables[key] = materialize(build().repartition(spark.sparkContext.defaultParallelism))
+        _tables[key] = materialize(build())
     return _tables[key]
 
 
@@ -42,11 +41,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str) -> DataFrame:
+    """A driver's table, which is one file, dealt by its key, so that what is derived from it
+    has several files, as a real table would. It is dealt before it is widened: a hash of
+    narrow rows, where dealing the finished text rows in turn would sort them all first."""
+    return table(spark, sf_dir, name).select(key, *columns).repartition(key)
+
+
 def _area20(year: str) -> str:
     """A twentieth of the living area; every tenth parcel was extended in 1998."""
     return f"(40 + 2 * p_size + CASE WHEN p_partkey % 10 = 0 AND {year} >= 1998 THEN 20 ELSE 0 END)"
 
 
+_LINE_COLUMNS = [
+    "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
+    "l_linestatus",
+]
+_PART_COLUMNS = ["p_name", "p_brand", "p_type", "p_size"]
+
+
 def _recorded_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line is a sale. Some parcels only sold early and some only late, so that
     all owner signals and outcomes occur."""
@@ -54,7 +67,7 @@ def _recorded_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey AS l_orderkey", "year(o_orderdate) AS order_year", "month(o_orderdate) AS sale_month"
     )
     parts = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_type", "p_size")
-    lines = table(spark, sf_dir, "lineitem").withColumn("p_partkey", F.col("l_partkey"))
+    lines = spread(spark, sf_dir, "lineitem", "l_orderkey", *_LINE_COLUMNS).withColumn("p_partkey", F.col("l_partkey"))
     price = (
         f"floor({_area20('sale_year')} * 20 * (100 + (l_extendedprice / l_quantity) % 50) * (sale_year - 1975) / 20"
         " * CASE WHEN l_tax >= 75e-3 THEN 25e-1 WHEN l_tax < 15e-3 THEN 7e-1 ELSE 1e0 END + 5e-1)"
@@ -127,7 +140,7 @@ def raw_rolls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def build() -> DataFrame:
         years = F.explode(F.sequence(F.lit(VINTAGES[0]), F.lit(VINTAGES[1]))).alias("vintage_year")
-        rows = table(spark, sf_dir, "part").select("*", years)
+        rows = spread(spark, sf_dir, "part", "p_partkey", *_PART_COLUMNS).select("*", years)
         return rows.selectExpr(*_roll_columns("vintage_year"), *_OWNER_COLUMNS, "vintage_year")
 
     return stored(spark, sf_dir, "raw_rolls", build)
@@ -139,7 +152,7 @@ def stability_rolls(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
         changed = "p_partkey % 13 = 0 AND vintage_year >= 1999"
         years = F.explode(F.sequence(F.lit(VINTAGES[0]), F.lit(VINTAGES[1]))).alias("vintage_year")
-        rows = table(spark, sf_dir, "part").select("*", years).filter(f"NOT ({changed}) OR p_partkey % 26 = 0")
+        rows = spread(spark, sf_dir, "part", "p_partkey", *_PART_COLUMNS).select("*", years).filter(f"NOT ({changed}) OR p_partkey % 26 = 0")
         parcel = f"CASE WHEN {changed} THEN concat('R', CAST(p_partkey AS STRING)) ELSE CAST(p_partkey AS STRING) END"
         return rows.selectExpr(f"{parcel} AS PARCEL_ID", _OWNER_COLUMNS[-1], _OWNER_COLUMNS[0], "vintage_year")
 
@@ -197,7 +210,7 @@ def raw_county_roll(spark: SparkSession, sf_dir: str) -> DataFrame:
                 ]
             )
         )
-        rows = table(spark, sf_dir, "part").join(slots, "p_partkey", "left")
+        rows = spread(spark, sf_dir, "part", "p_partkey", *_PART_COLUMNS).join(slots, "p_partkey", "left")
         slot_columns = [f"{c}{i}" for i in (1, 2) for c in ("QUAL_CD", "SALE_PRC", "SALE_YR", "SALE_MO")]
         return rows.selectExpr(
             *_roll_columns("2001"),
