@@ -2,7 +2,7 @@
 
 A request asks within its own rectangle of areas and years, and its own tercile or all (-1),
 less the sales of one parcel. Neighbourhoods that one task can hold are answered from their
-comps at once. Of larger ones a task sees cells (all comps of one area, year and tercile
+comps at once, a rectangle's lookups together. Of larger ones a task sees cells (all comps of one area, year and tercile
 in one price range, as a number) or one page of comps.
 """
 
@@ -12,7 +12,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 #: Requests compared with a page at a time; pairs of a request and a comp looked at together.
 ROWS_AT_ONCE = 1024
@@ -212,65 +211,119 @@ def page_answers(area_tolerance: float, year_tolerance: int):
 # -- neighbourhoods that one task can hold -------------------------------------------------
 
 
-def quantile(at: np.ndarray, prices: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
-    """Linearly interpolated quantiles of runs of ``n`` sorted prices that start at ``at``,
-    taken from the nearer end as numeric libraries do it."""
-    position = p * (n - 1)
-    whole = np.floor(position).astype(np.int64)
-    share = position - whole
-    low, high = prices[at + whole], prices[at + np.minimum(whole + 1, n - 1)]
-    if p == 0.5:
-        return np.where(share == 0, low, (low + high) / 2.0)
-    return np.where(share < 0.5, low + (high - low) * share, high - (high - low) * (1 - share))
-
-
-def run_summaries(prices: np.ndarray, size: np.ndarray, multiplier: float) -> list[np.ndarray]:
-    """n, median, q1 and q3 per run of sorted prices, inside its quartile fences, bounds
-    included; of the whole run where the quartiles coincide. Empty runs give n = 0."""
-    out = [np.zeros(len(size), np.int64), *(np.full(len(size), np.nan) for _ in range(3))]
-    full = np.flatnonzero(size)
-    if not len(full):
-        return out
-    n = size[full]
-    at = np.cumsum(n) - n
-    q1, q3 = quantile(at, prices, n, 0.25), quantile(at, prices, n, 0.75)
-    span = q3 - q1
-    low = np.where(span > 0, q1 - multiplier * span, -np.inf)
-    high = np.where(span > 0, q3 + multiplier * span, np.inf)
-    start = np.add.reduceat(prices < np.repeat(low, n), at, dtype=np.int64)
-    kept = np.add.reduceat(prices <= np.repeat(high, n), at, dtype=np.int64) - start
-    out[0][full] = kept
-    for place, p in ((1, 0.5), (2, 0.25), (3, 0.75)):
-        out[place][full] = quantile(at + start, prices, kept, p)
-    return out
+class Runs:
+    """The prices of several rectangles, each in order and weighted, with lookups into them.
+
+    Rectangles are rows of ``found`` over the points ``prices``, which are in price order. A
+    lookup is a rectangle (``row``) less its own sales: of lookup ``who``, ``own`` prices with
+    ``times`` sales each, in price order. Rows are answered together, and lookups of one
+    rectangle share its prices: a rank among what is left is a rank among all, moved up by the
+    own sales before it.
+    """
+
+    def __init__(self, found: np.ndarray, prices, weight, row, who, own, times):
+        self.row, self.who, self.own, self.times = row, who, own, times
+        rows, at = np.nonzero(found)
+        self.width, self.near, self.prices = len(prices), prices, prices[at]
+        self.place = rows * self.width + at
+        self.running = np.concatenate(([0], np.cumsum(weight[at])))
+        ends = np.cumsum(np.bincount(rows, minlength=len(found)))
+        self.base = self.running[np.concatenate(([0], ends[:-1]))][row]
+        self.size = self.running[ends][row] - self.base - self._own(np.ones(len(who), bool))
+        # Own sales of one price stand together, after the own sales of lower prices.
+        before = np.concatenate(([0], np.cumsum(times)))[:-1]
+        fresh = np.ones(len(who), bool)
+        fresh[1:] = (who[1:] != who[:-1]) | (own[1:] != own[:-1])
+        first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        starts = np.concatenate(([0], np.cumsum(np.bincount(who, minlength=len(row)))))[who]
+        self.free = self._below(row[who], own, "left") - self.base[who] - (before[first] - before[starts])
+
+    def _own(self, chosen: np.ndarray) -> np.ndarray:
+        return np.bincount(self.who, np.where(chosen, self.times, 0), len(self.row)).astype(np.int64)
+
+    def _below(self, row: np.ndarray, x: np.ndarray, side: str) -> np.ndarray:
+        return self.running[self.place.searchsorted(row * self.width + self.near.searchsorted(x, side))]
+
+    def _price(self, rank: np.ndarray) -> np.ndarray:
+        if not len(self.prices):
+            return np.full(len(rank), np.nan)
+        among_all = self.base + rank + self._own(self.free <= rank[self.who])
+        return self.prices[np.minimum(self.running[1:].searchsorted(among_all, "right"), len(self.prices) - 1)]
+
+    def _quantile(self, start: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
+        """Linearly interpolated, from the nearer end as numeric libraries do it."""
+        n = np.maximum(n, 1)
+        position = p * (n - 1)
+        whole = np.floor(position).astype(np.int64)
+        share = position - whole
+        low, high = self._price(start + whole), self._price(start + np.minimum(whole + 1, n - 1))
+        if p == 0.5:
+            return np.where(share == 0, low, (low + high) / 2.0)
+        return np.where(share < 0.5, low + (high - low) * share, high - (high - low) * (1 - share))
+
+    def summaries(self, multiplier: float) -> list[np.ndarray]:
+        """n, median, q1 and q3 per lookup, inside its quartile fences, bounds included; of all
+        its prices where the quartiles coincide. Without any price n is 0."""
+        none = np.zeros(len(self.row), np.int64)
+        q1, q3 = self._quantile(none, self.size, 0.25), self._quantile(none, self.size, 0.75)
+        span = q3 - q1
+        low = np.where(span > 0, q1 - multiplier * span, -np.inf)
+        high = np.where(span > 0, q3 + multiplier * span, np.inf)
+        start = self._below(self.row, low, "left") - self.base - self._own(self.own < low[self.who])
+        stop = self._below(self.row, high, "right") - self.base - self._own(self.own <= high[self.who])
+        some = self.size > 0
+        kept = np.where(some, stop - start, 0)
+        return [kept, *(np.where(some, self._quantile(start, kept, p), np.nan) for p in (0.5, 0.25, 0.75))]
 
 
 def whole_summaries(area_tolerance: float, year_tolerance: int, multiplier: float, names: list[str], columns: list[str]):
     """Per lookup the statistics of all its comps and of those of its tercile (``band``), from
-    all comps of the neighbourhood. Lookups of one area share its comps in price order."""
+    all points of the neighbourhood: comps alike in area, year, tercile and price, ``w`` of them.
+    Lookups of one area and year share the prices within their reach."""
 
     def run(lookups: pa.Table, comps: pa.Table) -> pa.Table:
         comps = comps.sort_by("psf")
         area, year, psf = (array(comps, c).astype(float) for c in ("living_area", "year_built", "psf"))
-        tercile = array(comps, "tercile")
-        parcels = comps.column("parcel_id").combine_chunks().dictionary_encode()
-        owner = parcels.indices.to_numpy()
-        left_out = pc.fill_null(pc.index_in(lookups.column("excluded"), parcels.dictionary), -1).to_numpy()
+        tercile, weight = array(comps, "tercile"), array(comps, "w").astype(np.int64)
         reach = Reach(lookups, area_tolerance, year_tolerance)
         results = [np.full(lookups.num_rows, np.nan) for _ in columns]
-        order = np.argsort(reach.area, kind="stable")
+        who, own = _own(lookups)
+        in_order = np.lexsort((own["psf"], who))
+        who, own = who[in_order], {c: values[in_order] for c, values in own.items()}
+        mine = (own["living_area"] >= reach.low[who]) & (own["living_area"] <= reach.high[who])
+        mine &= (own["year_built"] >= reach.first[who]) & (own["year_built"] <= reach.last[who])
+        who, own = who[mine], {c: values[mine] for c, values in own.items()}
+        starts = np.concatenate(([0], np.cumsum(np.bincount(who, minlength=lookups.num_rows))))
+        order = np.lexsort((reach.year, reach.area))
         for same in np.split(order, np.flatnonzero(np.diff(reach.area[order])) + 1) if len(order) else []:
             near = np.flatnonzero((area >= reach.low[same[0]]) & (area <= reach.high[same[0]]))
-            for part in np.array_split(same, -(-len(same) * max(len(near), 1) // PAIRS_AT_ONCE)):
-                found = (year[near] >= reach.first[part, None]) & (year[near] <= reach.last[part, None])
-                found &= owner[near] != left_out[part, None]
-                row, at = np.nonzero(found)
-                prices = psf[near[at]]
-                every = run_summaries(prices, np.bincount(row, minlength=len(part)), multiplier)
-                banded = tercile[near[at]] == reach.band[part][row]
-                band = run_summaries(prices[banded], np.bincount(row[banded], minlength=len(part)), multiplier)
-                for result, values in zip(results, (*every, *band), strict=True):
-                    result[part] = values
+            years, at = np.unique(reach.year[same], return_inverse=True)
+            for part in np.array_split(np.arange(len(years)), -(-len(years) * max(len(near), 1) // PAIRS_AT_ONCE)):
+                if not len(part):
+                    continue
+                asked = same[(at >= part[0]) & (at <= part[-1])]
+                row = at[(at >= part[0]) & (at <= part[-1])] - part[0]
+                low, high = years[part, None] - year_tolerance, years[part, None] + year_tolerance
+                found = (year[near] >= low) & (year[near] <= high)
+                sizes = starts[asked + 1] - starts[asked]
+                sales = np.arange(sizes.sum()) + np.repeat(starts[asked] - (np.cumsum(sizes) - sizes), sizes)
+                owner = np.repeat(np.arange(len(asked)), sizes)
+                price, times, kind = own["psf"][sales], own["w"][sales], own["tercile"][sales]
+                every = Runs(found, psf[near], weight[near], row, owner, price, times).summaries(multiplier)
+                for result, values in zip(results, every, strict=False):
+                    result[asked] = values
+                results[len(every)][asked] = 0
+                band = reach.band[asked]
+                for one in np.unique(band[band >= 0]):
+                    here = band == one
+                    points, inside = near[tercile[near] == one], tercile[near] == one
+                    held = here[owner] & (kind == one)
+                    number = np.cumsum(here) - 1
+                    banded = Runs(
+                        found[:, inside], psf[points], weight[points], row[here], number[owner[held]], price[held], times[held]
+                    )
+                    for result, values in zip(results[len(every) :], banded.summaries(multiplier), strict=True):
+                        result[asked[here]] = values
         kept = lookups.select(names)
         for name, values in zip(columns, results, strict=True):
             kind = pa.int64() if name.endswith("_n") else pa.float64()

@@ -105,6 +105,10 @@ def _pool_profile(pool: DataFrame, settings: ValuationSettings) -> DataFrame:
     return cuts.drop("n").withColumn("banded", F.col("pool_size") >= settings.min_band_pool)
 
 
+def _no_answers(columns: Sequence[str]) -> list:
+    return [F.lit(None).cast("bigint" if c.endswith("_n") else "double").alias(c) for c in columns]
+
+
 def comp_statistics(subjects: DataFrame, pool: DataFrame, settings: ValuationSettings) -> DataFrame:
     """Trimmed comp count, median and quartiles per subject, over all its comps
     (``all_*``) and over those of its value tercile (``band_*``).
@@ -120,7 +124,7 @@ def comp_statistics(subjects: DataFrame, pool: DataFrame, settings: ValuationSet
     pool = materialize(pool)
     profile = materialize(_pool_profile(pool, settings))
     own = pool.select("as_of", "nbrhd_cd", "parcel_id").distinct().withColumn("excluded", F.col("parcel_id"))
-    pool = pool.join(profile.select(*keys, "cut1", "cut2", "pool_size"), keys)
+    pool = pool.join(profile.select(*keys, "cut1", "cut2"), keys)
     band = _tercile(F.col("just_value"), F.col("cut1"), F.col("cut2")) if settings.value_band else F.lit(0)
     pool = pool.withColumn("tercile", band)
     pool = pool.filter(F.col("year_built").isNotNull()).drop("cut1", "cut2", "just_value")
@@ -131,18 +135,22 @@ def comp_statistics(subjects: DataFrame, pool: DataFrame, settings: ValuationSet
         .join(own, ["as_of", "nbrhd_cd", "parcel_id"], "left")
         .withColumns({"tercile": tercile, "excluded": F.coalesce("excluded", F.lit(NO_EXCLUSION))})
     )
-    asked = materialize(asked.select("parcel_id", "pool_size", *LOOKUP_KEY))
-    lookups = asked.filter("pool_size > 0").select(*LOOKUP_KEY, "pool_size").distinct()
+    asked = materialize(asked.select("parcel_id", *LOOKUP_KEY))
+    points = materialize(comp_index.points_of(pool))
+    sizes = materialize(points.groupBy(*keys).agg((F.count("*") > settings.task_comps).alias("large")))
+    lookups = asked.select(*LOOKUP_KEY).distinct().join(sizes, keys)
+    pool = pool.join(sizes, keys)
     columns = [f"{prefix}_{s}" for prefix in ("all", "band") for s in _STATS]
-    large = F.col("pool_size") > settings.task_comps
-    answers = comp_index.whole_statistics(
-        lookups.filter(~large).drop("pool_size"), pool.filter(~large).drop("pool_size"), settings, columns
-    )
-    if not profile.filter(large).isEmpty():
-        paged = comp_index.paged_statistics(
-            lookups.filter(large).drop("pool_size"), pool.filter(large).drop("pool_size"), settings, columns
-        )
-        answers = answers.unionByName(paged)
+    parts = []
+    if not sizes.filter("NOT large").isEmpty():
+        small = (df.filter("NOT large").drop("large") for df in (lookups, pool, points.join(sizes, keys)))
+        parts.append(comp_index.whole_statistics(*small, settings, columns))
+    if not sizes.filter("large").isEmpty():
+        large = (df.filter("large").drop("large") for df in (lookups, pool))
+        parts.append(comp_index.paged_statistics(*large, settings, columns))
+    if not parts:
+        return asked.select("parcel_id", *LOOKUP_KEY, *_no_answers(columns))
+    answers = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return asked.select("parcel_id", *LOOKUP_KEY).join(answers, LOOKUP_KEY, "left")
 
 

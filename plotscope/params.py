@@ -51,8 +51,9 @@ class ValuationSettings:
     min_band_pool: int = 15
     confidence_min_comps: int = 8
     confidence_max_dispersion_pct: float = 30.0
-    # Comps of a neighbourhood that one task holds. Beyond, the price index: comps of a page,
-    # children of a node. Requests answered together.
+    # Points (comps alike in area, year, tercile and price) of a neighbourhood that one task
+    # holds. Beyond, the price index: comps of a page, children of a node. Requests, or
+    # rectangles with all their lookups, answered together.
     task_comps: int = 200_000
     page_comps: int = 512
     fan_out: int = 64

@@ -3,13 +3,16 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from plotscope.operators import comp_index
 from plotscope.operators import index as I
 from plotscope.operators import valuation as V
 from plotscope.params import AS_OF_SETTINGS, SINGLE_ROLL_SETTINGS
+from plotscope.storage import materialize
 
 D = dt.date(2000, 1, 1)
 SUBJECT = "as_of date, parcel_id string, nbrhd_cd string, living_area double, year_built double, just_value double"
@@ -275,3 +278,27 @@ def test_result_is_the_same_without_broadcasts(spark, random_case):
     finally:
         spark.conf.set(key, before)
     assert got == brute(parcels, comps)
+
+
+# -- what a block of lookups costs ----------------------------------------------------------------
+
+
+def test_copies_are_one_point_and_lookups_of_one_rectangle_one_block(spark):
+    sold = pool(spark, same(2000, 100.0, nb="n") + same(500, 120.0, pid="d", nb="n")).withColumn("tercile", F.lit(0))
+    points = materialize(comp_index.points_of(sold))
+    assert sorted(r.w for r in points.collect()) == [500, 2000]
+    asked = sold.select("as_of", "nbrhd_cd", "living_area", "year_built", "tercile", F.col("parcel_id").alias("excluded"))
+
+    def sizes(left, right):
+        return pa.table({"asked": [left.num_rows], "offered": [right.num_rows]})
+
+    blocks = comp_index._rectangle_blocks(materialize(asked.distinct()), points, 1000).applyInArrow(sizes, "asked bigint, offered bigint")
+    assert [tuple(r) for r in blocks.collect()] == [(2500, 2)]
+
+
+def test_own_sales_at_one_price_in_two_areas(spark):
+    sold = [("p", "n", area, 1980.0, 1.0, 50.0) for area in (1000.0, 1000.0, 1100.0)]
+    others = [c for i in range(9) for c in same(1, 40.0 + 5 * (i // 2), nb="n", pid=f"o{i}")]
+    parcels = [("p", "n", 1000.0, 1980.0, 1.0), ("q", "n", 1000.0, 1980.0, 1.0)]
+    got = as_dict(V.estimate(subjects(spark, parcels), pool(spark, sold + others), AS_OF_SETTINGS))
+    assert got == brute(parcels, sold + others)
