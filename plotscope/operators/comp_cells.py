@@ -113,7 +113,9 @@ def first_steps(wants: list[tuple[str, int]], children: int, span: int, names: l
                     child = (running <= x[:, None]).sum(1) - 1
                     x, base = x - running[every, child], np.zeros(len(x), np.int64)
                 else:
-                    before = starts < x[:, None] if kind == BELOW else starts <= x[:, None]
+                    # Empty children at the end start at infinity: nothing is found there.
+                    at = np.minimum(x, np.finfo(float).max)[:, None]
+                    before = starts < at if kind == BELOW else starts <= at
                     child = np.maximum(before.sum(1) - 1, 0)
                     base = running[every, child]
                 made = {
@@ -160,7 +162,7 @@ def descend(area_tolerance: float, year_tolerance: int, children: int, span: int
         starts = np.minimum.accumulate(starts[::-1])[::-1]  # an empty child starts where the next does
         by_rank = (running <= x[:, None]).sum(1) - 1
         below = starts.searchsorted(x, "left") - 1
-        up_to = starts.searchsorted(x, "right") - 1
+        up_to = starts.searchsorted(np.minimum(x, np.finfo(float).max), "right") - 1
         to = np.clip(np.select([kind == RANK, kind == BELOW], [by_rank, below], up_to), 0, children - 1)
         before = running[np.arange(len(to)), to]
         moved = {

@@ -220,15 +220,32 @@ def whole_statistics(
     return blocks.applyInArrow(run, _schema(lookups, names, types))
 
 
+def _in_reach(settings: ValuationSettings) -> Column:
+    """The own sales that a lookup could match at all."""
+    area, year = F.col("living_area"), F.col("year_built")
+    return F.filter(
+        "own",
+        lambda s: (s["living_area"] >= area * (1 - settings.area_tolerance))
+        & (s["living_area"] <= area * (1 + settings.area_tolerance))
+        & (s["year_built"] >= year - settings.year_tolerance)
+        & (s["year_built"] <= year + settings.year_tolerance),
+    )
+
+
 def paged_statistics(lookups: DataFrame, pool: DataFrame, settings: ValuationSettings, columns: Sequence[str]) -> DataFrame:
     """The same from neighbourhoods of any size, through the price index."""
     pool = materialize(paged(pool, settings.page_comps))
     sale = F.struct("living_area", "year_built", "tercile", "psf", "page")
-    own = pool.groupBy(*KEYS, F.col("parcel_id").alias("excluded")).agg(F.collect_list(sale).alias("own"))
-    asked = lookups.join(own, [*KEYS, "excluded"], "left")
-    asked = materialize(asked.withColumn("lookup", F.monotonically_increasing_id()))
+    own = pool.groupBy(*KEYS, F.col("parcel_id").alias("excluded")).agg(F.array_sort(F.collect_list(sale)).alias("own"))
+    none = F.array().cast(own.schema["own"].dataType)
+    every = lookups.join(own, [*KEYS, "excluded"], "left").withColumn("own", F.coalesce(_in_reach(settings), none))
+    # Parcels alike that leave alike sales out share one request.
+    alike = [*KEYS, "living_area", "year_built", "tercile", "own"]
+    every = materialize(every)
+    asked = materialize(every.select(*alike).distinct().withColumn("lookup", F.monotonically_increasing_id()))
     bands = F.when(F.col("tercile") >= 0, F.array(F.lit(-1), F.col("tercile"))).otherwise(F.array(F.lit(-1)))
     found = PriceIndex(pool, settings).summaries(asked.withColumn("band", F.explode(bands)))
     pick = {"all": F.col("band") < 0, "band": F.col("band") >= 0}
     stats = [F.max(F.when(pick[c.split("_")[0]], F.col(c.split("_")[1]))).alias(c) for c in columns]
-    return asked.join(found.groupBy("lookup").agg(*stats), "lookup").select(*lookups.columns, *columns)
+    known = asked.join(found.groupBy("lookup").agg(*stats), "lookup")
+    return every.join(known, alike).select(*lookups.columns, *columns)

@@ -302,3 +302,12 @@ def test_own_sales_at_one_price_in_two_areas(spark):
     parcels = [("p", "n", 1000.0, 1980.0, 1.0), ("q", "n", 1000.0, 1980.0, 1.0)]
     got = as_dict(V.estimate(subjects(spark, parcels), pool(spark, sold + others), AS_OF_SETTINGS))
     assert got == brute(parcels, sold + others)
+
+
+@pytest.mark.parametrize("page, children", [(2, 4), (1, 2)])
+def test_equal_prices_through_an_index_with_empty_children(spark, page, children):
+    sold = same(9, 100.0, nb="n") + [c for i in range(3) for c in same(1, 50.0 + i, nb="n", pid=f"far{i}", area=9000.0)]
+    parcels = [("q", "n", 1000.0, 1980.0, 1.0), *((f"c{i}", "n", 1000.0, 1980.0, 1.0) for i in range(3))]
+    settings = dataclasses.replace(AS_OF_SETTINGS, task_comps=1, page_comps=page, fan_out=children)
+    got = as_dict(V.estimate(subjects(spark, parcels), pool(spark, sold), settings))
+    assert got == brute(parcels, sold) and got["q"][1] == 9 and got["c0"][1] == 8
