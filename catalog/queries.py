@@ -44,7 +44,11 @@ def rounded(df: DataFrame, digits: int = 6, *columns: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    return A.stored(spark, d, "events", lambda: valuation.comp_events(A.history(spark, d), A.snapshots(spark, d)))
+    def build() -> DataFrame:
+        events = valuation.comp_events(A.history(spark, d), A.snapshots(spark, d))
+        return events.select(*valuation.EVENT_COLUMNS, "recording_ref", "price")
+
+    return A.stored(spark, d, "events", build)
 
 
 def _subjects(spark: SparkSession, d: str) -> DataFrame:

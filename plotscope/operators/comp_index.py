@@ -183,20 +183,31 @@ def points_of(pool: DataFrame) -> DataFrame:
     return pool.groupBy(*KEYS, "living_area", "year_built", "tercile", "psf").agg(F.count("*").alias("w"))
 
 
-def _rectangle_blocks(asked: DataFrame, points: DataFrame, rows: int):
-    """Lookups and points by date and neighbourhood, in blocks of about ``rows`` rectangles. So
-    points are copied as often as there are rectangles to serve, however many lookups share
-    them. A rectangle of more than ``rows`` lookups counts as several."""
+def own_sales(pool: DataFrame) -> DataFrame:
+    """The sales of every parcel as a list (``own``), alike ones counted. They are few and mostly
+    differ, so they are brought together once, as they are, and counted there."""
+    sold = pool.select(*KEYS, F.col("parcel_id").alias("excluded"), "living_area", "year_built", "tercile", "psf")
+    alike = sold.repartition(*KEYS, "excluded").groupBy(*sold.columns).agg(F.count("*").alias("w"))
+    sale = F.struct("living_area", "year_built", "tercile", "psf", "w")
+    return alike.groupBy(*KEYS, "excluded").agg(F.collect_list(sale).alias("own"))
+
+
+def _rectangle_blocks(lookups: DataFrame, points: DataFrame, rows: int, own: DataFrame | None = None):
+    """Lookups, with their ``own`` sales if given, and points by date and neighbourhood, in blocks of about
+    ``rows`` rectangles. So points are copied as often as there are rectangles to serve, however
+    many lookups share them. A rectangle of more than ``rows`` lookups counts as several."""
     corner = [*KEYS, "living_area", "year_built"]
-    parts = asked.groupBy(*corner).agg(F.ceil(F.count("*") / rows).cast("int").alias("_parts"))
+    parts = lookups.groupBy(*corner).agg(F.ceil(F.count("*") / rows).cast("int").alias("_parts"))
     sizes = parts.groupBy(*KEYS).agg(F.ceil(F.sum("_parts") / rows).cast("int").alias("_blocks"))
     parts = parts.join(sizes, KEYS)
     part = F.pmod(F.xxhash64("excluded"), F.col("_parts"))
     spot = F.pmod(F.xxhash64("living_area", "year_built", part), F.col("_blocks")).cast("int")
-    left = asked.join(parts, corner).withColumn("block", spot).drop("_parts", "_blocks")
+    left = lookups.join(parts, corner).withColumn("block", spot).drop("_parts", "_blocks")
+    if own is not None:
+        left = left.join(own, [*KEYS, "excluded"], "left").withColumn("band", F.col("tercile"))
     copies = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     right = points.join(sizes, KEYS).withColumn("block", copies).drop("_blocks")
-    tasks = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(lookups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sides = (df.repartition(tasks, *KEYS, "block").groupBy(*KEYS, "block") for df in (left, right))
     return next(sides).cogroup(next(sides))
 
@@ -208,15 +219,11 @@ def whole_statistics(
     of rectangles, with all their lookups, meets the points of its neighbourhood. A lookup
     brings the sales that it leaves out."""
     names = lookups.columns
-    sale = F.struct("living_area", "year_built", "tercile", "psf", "w")
-    alike = pool.groupBy(*KEYS, F.col("parcel_id").alias("excluded"), "living_area", "year_built", "tercile", "psf")
-    own = alike.agg(F.count("*").alias("w")).groupBy(*KEYS, "excluded").agg(F.collect_list(sale).alias("own"))
-    asked = lookups.join(own, [*KEYS, "excluded"], "left").withColumn("band", F.col("tercile"))
     run = comp_cells.whole_summaries(
         settings.area_tolerance, settings.year_tolerance, settings.iqr_multiplier, names, list(columns)
     )
     types = ", ".join(f"{c} {'bigint' if c.endswith('_n') else 'double'}" for c in columns)
-    blocks = _rectangle_blocks(materialize(asked), points, settings.max_block_lookups)
+    blocks = _rectangle_blocks(lookups, points, settings.max_block_lookups, own_sales(pool))
     return blocks.applyInArrow(run, _schema(lookups, names, types))
 
 

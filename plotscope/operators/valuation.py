@@ -20,6 +20,10 @@ from plotscope.storage import materialize
 # All subjects with these values in common have the same comps.
 LOOKUP_KEY = ["as_of", "nbrhd_cd", "living_area", "year_built", "tercile", "excluded"]
 _STATS = ["n", "median", "q1", "q3"]
+#: What a valuation reads of the comp events.
+EVENT_COLUMNS = [
+    "parcel_id", "sale_date", "sale_year", "nbrhd_cd", "living_area", "year_built", "just_value", "price_per_sqft"
+]
 NO_EXCLUSION = ""
 
 
@@ -138,7 +142,7 @@ def comp_statistics(subjects: DataFrame, pool: DataFrame, settings: ValuationSet
     asked = materialize(asked.select("parcel_id", *LOOKUP_KEY))
     points = materialize(comp_index.points_of(pool))
     sizes = materialize(points.groupBy(*keys).agg((F.count("*") > settings.task_comps).alias("large")))
-    lookups = asked.select(*LOOKUP_KEY).distinct().join(sizes, keys)
+    lookups = materialize(asked.select(*LOOKUP_KEY).distinct().join(sizes, keys))
     pool = pool.join(sizes, keys)
     columns = [f"{prefix}_{s}" for prefix in ("all", "band") for s in _STATS]
     parts = []

@@ -12,7 +12,7 @@ from plotscope.operators.evaluation import evaluate, with_verdict
 from plotscope.operators.parcels import subjects_as_of
 from plotscope.operators.scoring import composite_score
 from plotscope.operators.signals import attach_outcomes, owner_signals
-from plotscope.operators.valuation import comp_events, value_as_of, with_spread
+from plotscope.operators.valuation import EVENT_COLUMNS, comp_events, value_as_of, with_spread
 from plotscope.params import AS_OF_SETTINGS, OUTCOME_WINDOW_MONTHS, ValuationSettings
 from plotscope.storage import materialize
 
@@ -28,7 +28,7 @@ def valued_subjects(
     subjects = subjects_as_of(snapshots, as_of_dates)
     if index == "asof":  # no sale on or after the last date may be used, so none is read
         sales = sales.filter(F.col("sale_date") < F.lit(max(as_of_dates)))
-    events = materialize(comp_events(sales, snapshots))
+    events = materialize(comp_events(sales, snapshots).select(*EVENT_COLUMNS))
     valued = value_as_of(subjects, events, as_of_dates, settings, index)
     return with_spread(subjects.join(valued, ["as_of", "parcel_id"], "left"))
 

@@ -12,7 +12,7 @@ from plotscope.operators.accuracy import accuracy_by_band, valuation_errors
 from plotscope.operators.index import index_asof
 from plotscope.operators.parcels import subjects_as_of
 from plotscope.operators.signals import owner_signals
-from plotscope.operators.valuation import comp_events, value_as_of
+from plotscope.operators.valuation import EVENT_COLUMNS, comp_events, value_as_of
 from plotscope.params import AS_OF_SETTINGS, TIE_BREAK_SEED, ValuationSettings
 from plotscope.storage import materialize
 
@@ -27,7 +27,7 @@ def accuracy_before_after(
 ) -> DataFrame:
     """Accuracy by date, index version and confidence band; only the index differs."""
     subjects = subjects_as_of(snapshots, as_of_dates)
-    events = materialize(comp_events(sales, snapshots))
+    events = materialize(comp_events(sales, snapshots).select(*EVENT_COLUMNS))
     errors = None
     for strategy, label in VERSIONS.items():
         valued = value_as_of(subjects, events, as_of_dates, settings, strategy)
@@ -63,7 +63,7 @@ def invariance(
     subjects = subjects_as_of(snapshots, [as_of])
     if sample is not None:
         subjects = materialize(seeded_sample(subjects, sample))
-    events = materialize(comp_events(sales, snapshots))
+    events = materialize(comp_events(sales, snapshots).select(*EVENT_COLUMNS))
     past_events, past_sales = (df.filter(F.col("sale_date") < F.lit(as_of)) for df in (events, sales))
     signal_columns = ["parcel_id", "absentee", "ownership_tenure_years", "equity_proxy"]
     pairs = {

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plotscope.operators.order_stats import with_row_numbers
 from plotscope.operators.parcels import subjects_as_of
 from plotscope.operators.scoring import motivation_score
-from plotscope.operators.valuation import comp_events, value_as_of, with_spread
+from plotscope.operators.valuation import EVENT_COLUMNS, comp_events, value_as_of, with_spread
 from plotscope.params import AS_OF_SETTINGS, MIN_DOLLAR_SPREAD, MOTIVATION_WEIGHTS, ValuationSettings
 from plotscope.storage import materialize
 
@@ -48,7 +48,8 @@ def screen_base(
         "as_of", "parcel_id", "nbrhd_cd", "living_area", "year_built", "just_value"
     )
     # No sale on or after the date may be used, so none is read.
-    events = materialize(comp_events(sales.filter(F.col("sale_date") < F.lit(as_of)), snapshots))
+    past = sales.filter(F.col("sale_date") < F.lit(as_of))
+    events = materialize(comp_events(past, snapshots).select(*EVENT_COLUMNS))
     valued = value_as_of(subjects, events, [as_of], settings).drop("used_value_band")
     engine = subjects.select("as_of", "parcel_id", "just_value").join(valued, ["as_of", "parcel_id"], "left")
     engine = engine.withColumn("high_confidence", F.coalesce("high_confidence", F.lit(False)))

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from catalog import adapters
 from plotscope.operators import index as I
-from plotscope.operators.valuation import comp_events
-from plotscope.plans import leakage
+from plotscope.operators.valuation import EVENT_COLUMNS, comp_events
+from plotscope.plans import backtest, leakage
 from plotscope.plans.leakage import _difference
 
 D = dt.date(2000, 1, 1)
@@ -33,3 +33,13 @@ def test_sample_is_exact_and_repeatable(spark, tiny):
     one = leakage.seeded_sample(df, 40)
     other = leakage.seeded_sample(df.repartition(5), 40)
     assert one.count() == 40 and _difference(one, other).count() == 0
+
+
+def test_only_what_a_valuation_reads_of_the_events_is_written(spark, tiny, monkeypatch):
+    written = []
+    monkeypatch.setattr(backtest, "materialize", lambda df: written.append(df.columns) or df)
+    monkeypatch.setattr(backtest, "value_as_of", lambda subjects, *_: subjects.select("as_of", "parcel_id").withColumns(
+        {"arv_estimate": F.lit(1.0)}
+    ))
+    backtest.valued_subjects(adapters.history(spark, tiny), adapters.snapshots(spark, tiny), adapters.AS_OF_DATES)
+    assert written == [EVENT_COLUMNS]

@@ -296,6 +296,15 @@ def test_copies_are_one_point_and_lookups_of_one_rectangle_one_block(spark):
     assert [tuple(r) for r in blocks.collect()] == [(2500, 2)]
 
 
+def test_own_sales_are_brought_together_once(spark):
+    sold = pool(spark, same(3, 100.0, nb="n", pid="a") + same(1, 90.0, nb="n", pid="a")).withColumn("tercile", F.lit(0))
+    lists = comp_index.own_sales(sold)
+    assert lists._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    found = {r.excluded: sorted((s.psf, s.w) for s in r.own) for r in lists.collect()}
+    assert len(found) == sold.select("parcel_id").distinct().count()
+    assert sum(w for own in found.values() for _, w in own) == 4
+
+
 def test_own_sales_at_one_price_in_two_areas(spark):
     sold = [("p", "n", area, 1980.0, 1.0, 50.0) for area in (1000.0, 1000.0, 1100.0)]
     others = [c for i in range(9) for c in same(1, 40.0 + 5 * (i // 2), nb="n", pid=f"o{i}")]
