@@ -65,8 +65,9 @@ def read_zips(
 
 
 def staged(rows: DataFrame, out: str, by: str) -> DataFrame:
-    """The rows written once to Parquet, a folder per ``by``, and read from there."""
-    write_table(rows, out, [by])
+    """The rows written once to Parquet and read from there. A task reads one member, so its
+    files hold one ``by`` as they are: the rows are not shuffled for it."""
+    write_table(rows, out)
     return read_table(rows.sparkSession, out).select(*rows.columns)
 
 

@@ -155,3 +155,15 @@ def test_parquet_scan_is_pruned(spark, folder):
     assert "vintage_year" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert "GreaterThan(living_area,0.0)" in plan and "own_addr1" not in plan.split("ReadSchema")[1]
     assert got.count() == 1
+
+
+def test_staged_rows_stay_with_their_member(spark, folder, monkeypatch):
+    for year in (2016, 2017):
+        put_zip(f"{folder}/{year}F.zip", "a.csv", rolls.SALE_COLUMNS, [{"PARCEL_ID": f"{year}-{i}"} for i in range(3)])
+    raw = rolls.read_sale_files(spark, folder, [2016, 2017])
+    monkeypatch.setattr(type(raw), "hint", lambda *_: pytest.fail("shuffled"))
+    staged = rolls.staged(raw, f"{folder}/staged", "source_year")
+    assert staged.schema["source_year"].dataType == raw.schema["source_year"].dataType
+    assert rows(staged, "PARCEL_ID") == rows(raw, "PARCEL_ID")
+    files = staged.groupBy(F.input_file_name()).agg(F.count_distinct("source_year").alias("n"))
+    assert [r.n for r in files.collect()] == [1, 1]
