@@ -8,9 +8,15 @@ about ``page_comps``, and above the pages stand levels of nodes with ``fan_out``
 as many as the largest neighbourhood needs. A node knows its comps as cells: the number
 of one area, year and tercile in one child. A lookup counts its matches at the root once, from
 running counts over cells; a wanted rank, or price, then leads down to one page, and only
-that page gives the exact value. So a lookup meets cells and a few pages, at any size of
+that page gives the exact value. So a request meets cells and a few pages, at any size of
 the neighbourhood, and no comp is ever joined with a subject.
 
+What is asked is asked per rectangle (area and year) and tercile, however many lookups share
+it: own sales, of which a lookup has few, move its ranks by few places, so all its lookups find
+their values in one span of prices around the rectangle's own. A rectangle's spans and its lookups
+then meet once. Lookups that leave many sales out, and those of rectangles where the fences may
+lie far apart, are asked one by one.
+
 The quartiles of all matches give the fences; the matches inside the fences are a run of
 the same order, so their quartiles are ranks again.
 """
@@ -37,6 +43,14 @@ _QUARTILES = (("q1", 0.25), ("q3", 0.75))
 _SUMMARY = (("q1", 0.25), ("median", 0.5), ("q3", 0.75))
 _REQUEST = ["lookup", *KEYS, "living_area", "year_built", "own", "band"]
 _WANT = ["label", "kind", "x", "base", "node"]
+_SPAN = ["label", "kind", "lo", "hi", "base", "node"]
+CORNER = [*KEYS, "living_area", "year_built"]
+#: Own sales of a lookup that shares its rectangle's spans; a span of fences may hold so many times
+#: the prices that own sales account for.
+SHARED_OWN = 64
+_FENCE_SLACK = 64
+#: Rectangles counted at the root together, and lookups that meet their spans, as blocks.
+_LIGHT_BLOCKS = 16
 
 
 def paged(pool: DataFrame, page_comps: int) -> DataFrame:
@@ -95,6 +109,7 @@ class PriceIndex:
         self.reach = (settings.area_tolerance, settings.year_tolerance)
         point = [*KEYS, "page", "living_area", "year_built", "tercile", "psf"]
         self.points = materialize(pool.groupBy(*point).agg(F.count("*").alias("w")))
+        self._cells: dict[int, DataFrame] = {}
         last = self.points.agg(F.max("page")).first()[0] or 0
         self.levels = max(1, math.ceil(math.log(last + 1, settings.fan_out) - 1e-9))
         while settings.fan_out**self.levels <= last:
@@ -104,7 +119,12 @@ class PriceIndex:
         return self.settings.fan_out**level
 
     def cells(self, level: int) -> DataFrame:
-        """Cells of the nodes ``level`` levels above the pages."""
+        """Cells of the nodes ``level`` levels above the pages, written once."""
+        if level not in self._cells:
+            self._cells[level] = materialize(self._counted(level))
+        return self._cells[level]
+
+    def _counted(self, level: int) -> DataFrame:
         child = F.floor(F.col("page") / self._span(level - 1)).cast("long")
         node = F.floor(F.col("page") / self._span(level)).cast("long")
         placed = self.points.withColumns({"child": child, "node": node})
@@ -112,12 +132,12 @@ class PriceIndex:
             F.sum("w").alias("w"), F.min("psf").alias("lo")
         )
 
-    def at_root(self, lookups: DataFrame) -> DataFrame:
+    def at_root(self, lookups: DataFrame, blocks: int = 1) -> DataFrame:
         """Per request the matches before each child of the root (``running``), in all (``n``),
         and the least prices of the children (``starts``)."""
         cells = self.cells(self.levels)
         names = ["lookup", "band"]
-        counted = _in_blocks(lookups, cells, KEYS, self.settings.max_block_lookups).applyInArrow(
+        counted = _in_blocks(lookups, cells, KEYS, blocks * self.settings.max_block_lookups).applyInArrow(
             comp_cells.running_counts(*self.reach, self.settings.fan_out, self._span(self.levels - 1), names),
             _schema(lookups, names, "running array<bigint>"),
         )
@@ -153,6 +173,72 @@ class PriceIndex:
         columns = [F.max(F.when(F.col("label") == label, F.col("value"))).alias(label) for label, _ in labels]
         return values.groupBy("lookup", "band").agg(*columns)
 
+    def spans(self, root: DataFrame, wants: Sequence[tuple[str, int, Column, Column]]) -> DataFrame:
+        """Per rectangle and wanted label the prices at the places, or in the range, between two
+        ends, in pieces: ``pos`` (place of the first), ``psf`` and ``w``."""
+        names = [*_REQUEST, *_SPAN]
+        ends = [x.cast("double").alias(f"{label}_{end}") for label, _, lo, hi in wants for end, x in (("lo", lo), ("hi", hi))]
+        known = root.select(*_REQUEST, "running", "starts", *ends)
+        kinds = dict(known.dtypes)
+        kinds |= {"label": "string", "kind": "int", "lo": "double", "hi": "double", "base": "bigint", "node": "bigint"}
+        schema = ", ".join(f"{n} {kinds[n]}" for n in names)
+        fan_out, rows, by = self.settings.fan_out, self.settings.max_block_lookups, [*KEYS, "node"]
+        labels = [(label, kind) for label, kind, _, _ in wants]
+        asked = known.mapInArrow(comp_cells.first_spans(labels, fan_out, names), schema)
+        for level in range(self.levels - 1, 0, -1):
+            step = comp_cells.descend_spans(*self.reach, fan_out, self._span(level - 1), names)
+            asked = _in_blocks(materialize(asked), self.cells(level), by, rows).applyInArrow(step, schema)
+        pages = self.points.withColumnRenamed("page", "node")
+        kept = ["lookup", "band", *CORNER, "label"]
+        step = comp_cells.page_spans(*self.reach, [*kept, "pos", "psf", "w"])
+        schema = _schema(asked, kept, "pos bigint, psf array<double>, w array<bigint>")
+        return _in_blocks(materialize(asked), pages, by, rows).applyInArrow(step, schema)
+
+    def shared(self, rectangles: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """For rectangles whose lookups leave out up to ``most`` sales each: the spans of prices that hold
+        all that their lookups ask for, and the rectangles that have no such narrow spans."""
+        n, most, m = F.col("n"), F.col("most"), self.settings.iqr_multiplier
+        root = materialize(self.at_root(rectangles, _LIGHT_BLOCKS))
+
+        def places(p: float, start: tuple[Column, Column], stop: tuple[Column, Column]) -> tuple[Column, Column]:
+            low, high = (a + F.floor(p * (b - a - 1)) for a, b in zip(start, stop))
+            return F.greatest(low, F.lit(0)), F.least(high + 1 + most, n - 1)
+
+        none = (F.lit(0), F.lit(0))
+        wants = [(name, comp_cells.PLACES, *places(p, none, (n - most, n))) for name, p in _QUARTILES]
+        quartiles = materialize(self.spans(root, wants))
+        ends = [
+            agg(F.when(F.col("label") == name, inner("psf"))).alias(f"{name}_{end}")
+            for name, _ in _QUARTILES
+            for end, agg, inner in (("lo", F.min, F.array_min), ("hi", F.max, F.array_max))
+        ]
+        q1, q3 = ((F.col(f"{name}_lo"), F.col(f"{name}_hi")) for name, _ in _QUARTILES)
+        least, widest = q3[0] - q1[1], q3[1] - q1[0]
+        known = root.join(quartiles.groupBy("lookup").agg(*ends), "lookup").withColumns(
+            {"low_lo": q1[0] - m * widest, "low_hi": q1[1] - m * least, "high_lo": q3[0] + m * least, "high_hi": q3[1] + m * widest}
+        )
+        width = F.greatest(F.col("low_hi") - F.col("low_lo"), F.col("high_hi") - F.col("high_lo"))
+        narrow = (least > 0) & (width * n <= _FENCE_SLACK * (2 * most + 2) * least)
+        known = materialize(known.withColumn("narrow", F.coalesce(narrow, F.lit(False))))
+        fenced = known.filter("narrow")
+        wants = [(name, comp_cells.PRICES, F.col(f"{name}_lo"), F.col(f"{name}_hi")) for name in ("low", "high")]
+        fences = materialize(self.spans(fenced, wants))
+        held = F.aggregate("w", F.lit(0).cast("bigint"), lambda a, b: a + b)
+        counts = [
+            agg(F.when(F.col("label") == name, x)).alias(f"{name}_{end}")
+            for name in ("low", "high")
+            for end, agg, x in (("at", F.min, F.col("pos")), ("held", F.sum, held))
+        ]
+        inside = materialize(fenced.join(fences.groupBy("lookup").agg(*counts), "lookup"))
+        start, stop = (
+            (F.greatest(F.col(f"{name}_at") - most, F.lit(0)), F.col(f"{name}_at") + F.col(f"{name}_held")) for name in ("low", "high")
+        )
+        final = self.spans(inside, [(f"in_{name}", comp_cells.PLACES, *places(p, start, stop)) for name, p in _SUMMARY])
+        empty = {"psf": F.array().cast("array<double>"), "w": F.array().cast("array<bigint>")}
+        totals = fenced.withColumns({"label": F.lit("n"), "pos": n, **empty}).select(*final.columns)
+        spans = totals.unionByName(quartiles).unionByName(fences).unionByName(final)
+        return spans, known.filter("NOT narrow").select(*CORNER, "band")
+
     def summaries(self, requests: DataFrame) -> DataFrame:
         """lookup, band, n, q1, median and q3 of the matches inside the quartile fences, bounds
         included; of all matches where the quartiles coincide."""
@@ -239,20 +325,58 @@ def _in_reach(settings: ValuationSettings) -> Column:
     )
 
 
+def _with_spans(lookups: DataFrame, spans: DataFrame, rows: int):
+    """Lookups and the spans of their rectangles in blocks of about ``rows`` lookups. A rectangle
+    of more lookups goes to several blocks."""
+    parts = lookups.groupBy(*CORNER).agg(F.count("*").alias("_n"))
+    blocks = parts.groupBy(*KEYS).agg(F.ceil(F.sum("_n") / rows).cast("int").alias("_blocks"))
+    parts = parts.withColumn("_parts", F.ceil(F.col("_n") / rows).cast("int")).drop("_n").join(blocks, KEYS)
+
+    def spot(part: Column) -> Column:
+        return F.pmod(F.xxhash64("living_area", "year_built", part.cast("int")), F.col("_blocks")).cast("int")
+
+    part = F.pmod(F.xxhash64("excluded"), F.col("_parts"))
+    left = lookups.join(parts, CORNER).withColumn("block", spot(part)).drop("_parts", "_blocks")
+    spots = F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), spot))
+    right = spans.join(parts, CORNER).withColumn("block", F.explode(spots)).drop("_parts", "_blocks")
+    tasks = int(lookups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sides = (df.repartition(tasks, *KEYS, "block").groupBy(*KEYS, "block") for df in (left, right))
+    return next(sides).cogroup(next(sides))
+
+
 def paged_statistics(lookups: DataFrame, pool: DataFrame, settings: ValuationSettings, columns: Sequence[str]) -> DataFrame:
     """The same from neighbourhoods of any size, through the price index."""
     pool = materialize(paged(pool, settings.page_comps))
+    index = PriceIndex(pool, settings)
     sale = F.struct("living_area", "year_built", "tercile", "psf", "page")
-    own = pool.groupBy(*KEYS, F.col("parcel_id").alias("excluded")).agg(F.array_sort(F.collect_list(sale)).alias("own"))
+    sold = pool.select(*KEYS, F.col("parcel_id").alias("excluded"), sale.alias("sale")).repartition(*KEYS, "excluded")
+    own = sold.groupBy(*KEYS, "excluded").agg(F.collect_list("sale").alias("own"))
     none = F.array().cast(own.schema["own"].dataType)
     every = lookups.join(own, [*KEYS, "excluded"], "left").withColumn("own", F.coalesce(_in_reach(settings), none))
+    every = materialize(every)
+    bands = F.explode(F.when(F.col("tercile") >= 0, F.array(F.lit(-1), F.col("tercile"))).otherwise(F.array(F.lit(-1))))
+    few = every.filter(F.size("own") <= SHARED_OWN).select(*CORNER, bands.alias("band"), F.size("own").alias("most"))
+    few = few.groupBy(*CORNER, "band").agg(F.max("most").alias("most"))
+    rectangles = materialize(few.withColumns({"own": none, "lookup": F.monotonically_increasing_id()}))
+    spans, loose = index.shared(rectangles)
+    marked = every.join(loose.groupBy(*CORNER).agg(F.collect_set("band").alias("_loose")), CORNER, "left")
+    in_loose = F.array_contains("_loose", -1) | F.array_contains("_loose", F.col("tercile"))
+    alone = (F.size("own") > SHARED_OWN) | F.coalesce(in_loose, F.lit(False))
+    marked = marked.withColumn("_alone", alone).drop("_loose")
+    sold = F.transform("own", lambda s: F.struct(s["tercile"].alias("tercile"), s["psf"].alias("psf")))
+    sharing = marked.filter("NOT _alone").drop("_alone").withColumn("own", sold)
+    types = ", ".join(f"{c} {'bigint' if c.endswith('_n') else 'double'}" for c in columns)
+    run = comp_cells.shared_summaries(settings.iqr_multiplier, lookups.columns, list(columns))
+    blocks = _with_spans(sharing, spans, _LIGHT_BLOCKS * settings.max_block_lookups)
+    shared = blocks.applyInArrow(run, _schema(lookups, lookups.columns, types))
+    every = materialize(marked.filter("_alone").drop("_alone").withColumn("own", F.array_sort("own")))
+    if every.isEmpty():
+        return shared
     # Parcels alike that leave alike sales out share one request.
     alike = [*KEYS, "living_area", "year_built", "tercile", "own"]
-    every = materialize(every)
     asked = materialize(every.select(*alike).distinct().withColumn("lookup", F.monotonically_increasing_id()))
-    bands = F.when(F.col("tercile") >= 0, F.array(F.lit(-1), F.col("tercile"))).otherwise(F.array(F.lit(-1)))
-    found = PriceIndex(pool, settings).summaries(asked.withColumn("band", F.explode(bands)))
+    found = index.summaries(asked.withColumn("band", bands))
     pick = {"all": F.col("band") < 0, "band": F.col("band") >= 0}
     stats = [F.max(F.when(pick[c.split("_")[0]], F.col(c.split("_")[1]))).alias(c) for c in columns]
     known = asked.join(found.groupBy("lookup").agg(*stats), "lookup")
-    return every.join(known, alike).select(*lookups.columns, *columns)
+    return shared.unionByName(every.join(known, alike).select(*lookups.columns, *columns))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from plotscope.operators import comp_index
+from plotscope.operators import comp_cells, comp_index
 from plotscope.operators import index as I
 from plotscope.operators import valuation as V
 from plotscope.params import AS_OF_SETTINGS, SINGLE_ROLL_SETTINGS
@@ -320,3 +320,38 @@ def test_equal_prices_through_an_index_with_empty_children(spark, page, children
     settings = dataclasses.replace(AS_OF_SETTINGS, task_comps=1, page_comps=page, fan_out=children)
     got = as_dict(V.estimate(subjects(spark, parcels), pool(spark, sold), settings))
     assert got == brute(parcels, sold) and got["q"][1] == 9 and got["c0"][1] == 8
+
+
+def test_lookups_of_one_rectangle_are_asked_once_through_the_index(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    parcels = [(f"p{i}", "n", 1000.0 + 100 * (i % 2), 1980.0, float(50 + i % 30)) for i in range(300)]
+    sold = [(*parcels[i], float(np.round(rng.lognormal(4.6, 0.35), 1))) for i in rng.integers(0, 300, 1200)]
+    sold += [(*parcels[7], 90.0)] * 70  # too many own sales to share
+    asked = []
+
+    def at_root(self, requests, *more, before=comp_index.PriceIndex.at_root):
+        asked.append(requests.count())
+        return before(self, requests, *more)
+
+    monkeypatch.setattr(comp_index.PriceIndex, "at_root", at_root)
+    settings = dataclasses.replace(AS_OF_SETTINGS, task_comps=10, page_comps=40)
+    got = as_dict(V.estimate(subjects(spark, parcels), pool(spark, sold), settings))
+    assert got == brute(parcels, sold)
+    assert sum(asked) <= 2 * 4 + 2  # areas by bands, and the one parcel's own
+
+
+def test_spans_that_own_sales_cut_into():
+    """Every place of every rectangle, less own sales that lie before, at both ends of, in and after its span."""
+    prices = np.array([1.0, 2, 2, 2, 3, 3, 4, 5, 5, 6, 7, 8])
+    for own in ([1.0, 2.0], [2.0, 2.0, 2.0], [3.0, 5.0], [7.0, 8.0], [2.0, 3.0, 8.0], []):
+        own = np.array(own)
+        left = list(prices)
+        for x in own:
+            left.remove(x)
+        for at in range(len(left)):
+            begin, end = at, min(at + 1 + len(own), len(prices) - 1)
+            piece = {"pos": [begin], "psf": [prices[begin : end + 1]], "w": [[1] * (end + 1 - begin)]}
+            span = comp_cells.Spans(pa.table(piece), np.array([0]), 1)
+            row = np.zeros(len(own), int)
+            free = span.below(row, own, "left") - own.searchsorted(own, "left")
+            assert span.price(np.array([0]), np.array([at + (free <= at).sum()]))[0] == left[at]
