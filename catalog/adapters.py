@@ -37,6 +37,10 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return _tables[key]
 
 
+def is_stored(spark: SparkSession, sf_dir: str, name: str) -> bool:
+    return (spark.sparkContext.applicationId, sf_dir, name) in _tables
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -60,14 +64,21 @@ _LINE_COLUMNS = [
 _PART_COLUMNS = ["p_name", "p_brand", "p_type", "p_size"]
 
 
-def _recorded_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _recorded_sales(spark: SparkSession, sf_dir: str, stored_rows: bool = True) -> DataFrame:
     """Every line is a sale. Some parcels only sold early and some only late, so that
-    all owner signals and outcomes occur."""
+    all owner signals and outcomes occur. Rows that are not stored need no order: they look
+    orders up by hash, and stay where their parcel is (``PARCEL_ID``)."""
     orders = table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey AS l_orderkey", "year(o_orderdate) AS order_year", "month(o_orderdate) AS sale_month"
     )
     parts = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_type", "p_size")
     lines = spread(spark, sf_dir, "lineitem", "l_orderkey", *_LINE_COLUMNS).withColumn("p_partkey", F.col("l_partkey"))
+    parcel = "p_partkey"
+    if not stored_rows:
+        parcel = "PARCEL_ID"
+        lines = lines.withColumn(parcel, F.col("p_partkey").cast("string"))
+        parts = parts.select(F.col("p_partkey").cast("string").alias(parcel), "p_type", "p_size").hint("shuffle_hash")
+        orders = orders.hint("shuffle_hash")
     price = (
         f"floor({_area20('sale_year')} * 20 * (100 + (l_extendedprice / l_quantity) % 50) * (sale_year - 1975) / 20"
         " * CASE WHEN l_tax >= 75e-3 THEN 25e-1 WHEN l_tax < 15e-3 THEN 7e-1 ELSE 1e0 END + 5e-1)"
@@ -76,38 +87,46 @@ def _recorded_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN p_partkey % 7 = 3 THEN 2000 + order_year % 2 WHEN p_partkey % 3 = 1 THEN 1995 + order_year % 2"
         " ELSE order_year END"
     )
-    joined = lines.join(orders, "l_orderkey").join(parts, "p_partkey").withColumn("sale_year", F.expr(year))
+    joined = lines.join(orders, "l_orderkey").join(parts, parcel).withColumn("sale_year", F.expr(year))
     return joined.withColumn("price", F.expr(price).cast("long"))
 
 
+def _raw_sales(spark: SparkSession, sf_dir: str, stored_rows: bool = True) -> DataFrame:
+    copies = F.expr(
+        "filter(array(named_struct('back', 0, 'extra', 0L, 'present', true),"
+        " named_struct('back', 1, 'extra', 0L, 'present', l_suppkey % 4 = 0),"
+        " named_struct('back', 1, 'extra', 1000L, 'present', l_suppkey % 10 = 1)), c -> c.present)"
+    )
+    rows = _recorded_sales(spark, sf_dir, stored_rows).select("*", F.inline(copies))
+    return rows.selectExpr(
+        "CAST(p_partkey AS STRING) AS PARCEL_ID" if stored_rows else "PARCEL_ID",
+        "CASE WHEN p_partkey % 20 = 7 THEN '004' ELSE '001' END AS DOR_UC",
+        "p_type AS NBRHD_CD",
+        "CAST(l_orderkey AS STRING) AS SALE_ID_CD",
+        "CASE WHEN l_linestatus = 'F' THEN 'I' ELSE 'V' END AS VI_CD",
+        "CASE WHEN l_linenumber <> 7 THEN CAST(l_orderkey AS STRING) END AS OR_BOOK",
+        "CASE WHEN l_linenumber <> 7 THEN CAST(l_linenumber AS STRING) END AS OR_PAGE",
+        "CASE WHEN l_linenumber = 7 AND l_suppkey % 3 <> 0 THEN CAST(l_orderkey AS STRING) END AS CLERK_NO",
+        "CASE l_returnflag WHEN 'A' THEN '11' WHEN 'N' THEN '01' ELSE '02' END AS QUAL_CD",
+        "CAST(sale_year AS STRING) AS SALE_YR",
+        "CAST(CASE WHEN l_suppkey % 97 = 96 THEN 13 ELSE sale_month END AS STRING) AS SALE_MO",
+        "CASE WHEN l_suppkey % 89 = 88 THEN 'n/a' ELSE CAST(price + extra AS STRING) END AS SALE_PRC",
+        "CASE WHEN l_discount >= 95e-3 THEN 'M' END AS MULTI_PAR_SAL",
+        "sale_year + 1 - back AS source_year",
+    )
+
+
 def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sale records of all file years, with exact and conflicting copies."""
+    return stored(spark, sf_dir, "raw_sales", lambda: _raw_sales(spark, sf_dir))
 
-    def build() -> DataFrame:
-        copies = F.expr(
-            "filter(array(named_struct('back', 0, 'extra', 0L, 'present', true),"
-            " named_struct('back', 1, 'extra', 0L, 'present', l_suppkey % 4 = 0),"
-            " named_struct('back', 1, 'extra', 1000L, 'present', l_suppkey % 10 = 1)), c -> c.present)"
-        )
-        rows = _recorded_sales(spark, sf_dir).select("*", F.inline(copies))
-        return rows.selectExpr(
-            "CAST(p_partkey AS STRING) AS PARCEL_ID",
-            "CASE WHEN p_partkey % 20 = 7 THEN '004' ELSE '001' END AS DOR_UC",
-            "p_type AS NBRHD_CD",
-            "CAST(l_orderkey AS STRING) AS SALE_ID_CD",
-            "CASE WHEN l_linestatus = 'F' THEN 'I' ELSE 'V' END AS VI_CD",
-            "CASE WHEN l_linenumber <> 7 THEN CAST(l_orderkey AS STRING) END AS OR_BOOK",
-            "CASE WHEN l_linenumber <> 7 THEN CAST(l_linenumber AS STRING) END AS OR_PAGE",
-            "CASE WHEN l_linenumber = 7 AND l_suppkey % 3 <> 0 THEN CAST(l_orderkey AS STRING) END AS CLERK_NO",
-            "CASE l_returnflag WHEN 'A' THEN '11' WHEN 'N' THEN '01' ELSE '02' END AS QUAL_CD",
-            "CAST(sale_year AS STRING) AS SALE_YR",
-            "CAST(CASE WHEN l_suppkey % 97 = 96 THEN 13 ELSE sale_month END AS STRING) AS SALE_MO",
-            "CASE WHEN l_suppkey % 89 = 88 THEN 'n/a' ELSE CAST(price + extra AS STRING) END AS SALE_PRC",
-            "CASE WHEN l_discount >= 95e-3 THEN 'M' END AS MULTI_PAR_SAL",
-            "sale_year + 1 - back AS source_year",
-        )
 
-    return stored(spark, sf_dir, "raw_sales", build)
+def raw_sales_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records for a single pass over them: unless they are stored already, they are
+    not written first. They come dealt by parcel, so their history needs no shuffle of its own."""
+    if is_stored(spark, sf_dir, "raw_sales"):
+        return raw_sales(spark, sf_dir)
+    return _raw_sales(spark, sf_dir, stored_rows=False)
 
 
 _OWNER_COLUMNS = [
@@ -135,15 +154,20 @@ def _roll_columns(year: str) -> list[str]:
     ]
 
 
+def _raw_rolls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    years = F.explode(F.sequence(F.lit(VINTAGES[0]), F.lit(VINTAGES[1]))).alias("vintage_year")
+    rows = spread(spark, sf_dir, "part", "p_partkey", *_PART_COLUMNS).select("*", years)
+    return rows.selectExpr(*_roll_columns("vintage_year"), *_OWNER_COLUMNS, "vintage_year")
+
+
 def raw_rolls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Yearly rolls of all parcels; the first sale year has none, on purpose."""
+    return stored(spark, sf_dir, "raw_rolls", lambda: _raw_rolls(spark, sf_dir))
 
-    def build() -> DataFrame:
-        years = F.explode(F.sequence(F.lit(VINTAGES[0]), F.lit(VINTAGES[1]))).alias("vintage_year")
-        rows = spread(spark, sf_dir, "part", "p_partkey", *_PART_COLUMNS).select("*", years)
-        return rows.selectExpr(*_roll_columns("vintage_year"), *_OWNER_COLUMNS, "vintage_year")
 
-    return stored(spark, sf_dir, "raw_rolls", build)
+def raw_rolls_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rolls for a single pass over them, not written first unless they are already."""
+    return raw_rolls(spark, sf_dir) if is_stored(spark, sf_dir, "raw_rolls") else _raw_rolls(spark, sf_dir)
 
 
 def stability_rolls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,11 +248,11 @@ def raw_county_roll(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "history", lambda: sale_history(raw_sales(spark, sf_dir)))
+    return stored(spark, sf_dir, "history", lambda: sale_history(raw_sales_once(spark, sf_dir)))
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "snapshots", lambda: build_snapshots(raw_rolls(spark, sf_dir)))
+    return stored(spark, sf_dir, "snapshots", lambda: build_snapshots(raw_rolls_once(spark, sf_dir)))
 
 
 def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:

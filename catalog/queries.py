@@ -211,7 +211,7 @@ def sale_flags(spark, d):
 
 @query
 def qual_by_year(spark, d):
-    return sales.codes_by_file_year(A.raw_sales(spark, d))
+    return sales.codes_by_file_year(A.raw_sales_once(spark, d))
 
 
 @query
