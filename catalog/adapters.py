@@ -9,16 +9,13 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
-import zipfile
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalog.zipping import write_zips
 from plotscope.operators.parcels import build_parcels, build_snapshots
 from plotscope.operators.sales import sale_history
-from plotscope.sources import zips
 from plotscope.storage import materialize, shared_folder
 
 AS_OF_DATES = [dt.date(1999, 1, 1), dt.date(2000, 1, 1)]
@@ -183,29 +180,11 @@ def stability_rolls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "stability_rolls", build)
 
 
-def zipped(df: DataFrame, label: str, name: str, member: str = "rows.csv") -> str:
+def zipped(df: DataFrame, label: str, name: str, member: str = "rows.csv") -> tuple[str, list[str]]:
     """The folder of ``df`` as zipped CSV files, one per ``label``, named as ``name`` (with {}
-    for the label) says. Each is written by one task, as a file has to be."""
+    for the label) says, and their labels."""
     folder = f"{shared_folder(df.sparkSession)}/zips-{uuid.uuid4().hex}"
-    columns = [c for c in df.columns if c != label]
-
-    def write(key, batches):
-        store, inner = zips.open_store(f"{folder}/{name.format(key[0].as_py())}")
-        store.create_dir(inner.rpartition("/")[0])
-        count = 0
-        with store.open_output_stream(inner) as raw, zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as archive:
-            with archive.open(member, "w") as text:
-                text.write((",".join(columns) + "\n").encode())
-                for batch in batches:
-                    count += batch.num_rows
-                    pa.Table.from_batches([batch]).select(columns).to_pandas().to_csv(text, header=False, index=False)
-        yield pa.RecordBatch.from_pydict({"rows": [count]})
-
-    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return write(key, batches)
-
-    df.groupBy(label).applyInArrow(run, "rows BIGINT").agg(F.sum("rows")).collect()
-    return folder
+    return folder, write_zips(df, label, folder, name, member)
 
 
 def raw_county_roll(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -491,9 +491,9 @@ def _job_folder(spark: SparkSession, name: str) -> str:
 
 @query
 def sale_history_from_zips(spark, d):
-    raw = A.raw_sales(spark, d)
-    years = range(*raw.agg(F.min("source_year"), F.max("source_year") + 1).first())
-    folder = A.zipped(raw, "source_year", "{}F.zip")
+    folder, labels = A.zipped(A.raw_sales_once(spark, d), "source_year", "{}F.zip")
+    found = [int(label) for label in labels if label != "None"]
+    years = range(min(found), max(found) + 1)
     built = history.build_history_table(spark, folder, years, _job_folder(spark, "zipped-history"))
     return built.select(*sales.HISTORY_COLUMNS)
 
@@ -501,7 +501,7 @@ def sale_history_from_zips(spark, d):
 @query
 def snapshots_from_zips(spark, d):
     raw = A.raw_rolls(spark, d)
-    folder = A.zipped(raw, "vintage_year", "{}F.zip")
+    folder, _ = A.zipped(raw, "vintage_year", "{}F.zip")
     years = range(A.VINTAGES[0], A.VINTAGES[1] + 1)
     built = history.build_snapshot_table(spark, folder, years, _job_folder(spark, "zipped-snapshots"))
     return built.select(*A.snapshots(spark, d).columns)
@@ -511,7 +511,7 @@ def snapshots_from_zips(spark, d):
 def parcels_from_zips(spark, d):
     files = {county: (f"{county}.zip", "roll.csv") for county in ("North", "South")}
     unused = {c: F.lit(None).cast("string") for c in ("OWN_ADDR2", "PHY_ADDR2")}
-    folder = A.zipped(A.raw_county_roll(spark, d).withColumns(unused), "county", "{}.zip", "roll.csv")
+    folder, _ = A.zipped(A.raw_county_roll(spark, d).withColumns(unused), "county", "{}.zip", "roll.csv")
     rows = rolls.staged(
         rolls.read_county_rolls(spark, folder, list(files), files), _job_folder(spark, "zipped-parcels"), "county"
     )
@@ -520,7 +520,7 @@ def parcels_from_zips(spark, d):
 
 
 def _stability_job(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    folder = A.zipped(A.stability_rolls(spark, d), "vintage_year", "{}F.zip")
+    folder, _ = A.zipped(A.stability_rolls(spark, d), "vintage_year", "{}F.zip")
     years = range(A.VINTAGES[0], A.VINTAGES[1] + 1)
     return history.build_stability_report(spark, folder, years, _job_folder(spark, "zipped-stability"))
 

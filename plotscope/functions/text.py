@@ -15,7 +15,8 @@ def strip(c: Column) -> Column:
 
 
 def clean_text(c: Column) -> Column:
-    """Stripped text, with empty text as null."""
+    """Stripped text, with empty text as null. The reader of zips does the same in Arrow
+    (``sources.zips.cleaned``)."""
     return F.nullif(strip(c), F.lit(""))
 
 

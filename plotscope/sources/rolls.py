@@ -1,6 +1,6 @@
 """Zipped yearly text files and the tables staged from them.
 
-A zip cannot be split, so each of its members is a partition of its own. Staging streams them
+Each member of a zip is a partition of its own, a large one several. Staging streams them
 into a Parquet table once; every later step scans that table.
 """
 
@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plotscope.functions.text import clean_text
 from plotscope.sources import zips
 from plotscope.sources.tables import read_table, write_table
 
@@ -60,12 +59,12 @@ def read_zips(
         raise RuntimeError("no input files found")
     zips.register(spark)
     listed = json.dumps([[label, path, member] for label, (path, member) in files.items()])
-    rows = spark.read.format(zips.FORMAT).schema(text_schema([*columns, zips.LABEL])).option("files", listed).load()
-    return rows.select(*[clean_text(F.col(c)).alias(c) for c in columns], zips.LABEL)
+    source = spark.read.format(zips.FORMAT).schema(text_schema([*columns, zips.LABEL]))
+    return source.options(files=listed, tasks=2 * spark.sparkContext.defaultParallelism).load()
 
 
 def staged(rows: DataFrame, out: str, by: str) -> DataFrame:
-    """The rows written once to Parquet and read from there. A task reads one member, so its
+    """The rows written once to Parquet and read from there. A task reads one member or a part of it, so its
     files hold one ``by`` as they are: the rows are not shuffled for it."""
     write_table(rows, out)
     return read_table(rows.sparkSession, out).select(*rows.columns)
